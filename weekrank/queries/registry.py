@@ -1,9 +1,9 @@
 """All registered queries and their SQL."""
 
-from weekrank.queries import weekly
+from weekrank.queries import cleaning, weekly
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (weekly,):
+for _module in (weekly, cleaning):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)

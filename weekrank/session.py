@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
+from pyspark.errors import PySparkAttributeError
 from pyspark.sql import DataFrame, SparkSession
 
 # Needed for right results (UTC) or for run-time re-planning; resource sizes stay with the cluster.
@@ -46,8 +48,8 @@ def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of a plan (no job is run); None where it cannot be read."""
     try:
         stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
-    except Exception:
+        return int(str(stats.sizeInBytes()))
+    except (AttributeError, ValueError, NotImplementedError, PySparkAttributeError):
         return None
 
 
@@ -82,10 +84,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder once, so that several readers share one result.
+    """Write `df` once as Parquet in the checkpoint folder, so that several readers share one result.
 
     The stored copy survives lost executors, and values that depend on how rows were placed
-    (partition ids, sort positions) stay the same for every reader.
+    (partition ids, sort positions) stay the same for every reader. Unlike a checkpointed RDD it is
+    columnar: each reader scans only its columns, and Catalyst knows its size. `drop_cuts` removes
+    the copies when their readers are done.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/weekrank-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _CUTS.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_CUTS: list[str] = []
+
+
+def drop_cuts(spark: SparkSession) -> int:
+    """Delete the tables `cut` wrote in this process; returns how many."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    dropped = 0
+    while _CUTS:
+        target = jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        dropped += bool(target.getFileSystem(conf).delete(target, True))
+    return dropped
