@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weekrank import schemas
 
@@ -24,13 +25,14 @@ def _collapse(c: Column) -> Column:
     return F.regexp_replace(trim_all(c), rf"(?U){_SPACE}+", " ")
 
 
-@F.pandas_udf("string")
-def _fold_unicode(names: pd.Series) -> pd.Series:
+def _fold_unicode(c: Column) -> Column:
     """NFKC and case folding, which Spark has no expression for."""
-    def fold(name):
-        return " ".join(unicodedata.normalize("NFKC", name).split()).casefold()
 
-    return names.map(fold, na_action="ignore")
+    def fold(names: pd.Series) -> pd.Series:
+        return names.map(lambda name: " ".join(unicodedata.normalize("NFKC", name).split()).casefold(),
+                         na_action="ignore")
+
+    return F.pandas_udf(fold, T.StringType())(c)
 
 
 def canonical_key(c: Column) -> Column:

@@ -104,10 +104,10 @@ SQL["parse_display_dates"] = """
 WITH p AS (SELECT event_id, event_type, ts, CASE event_type WHEN 'error' THEN 'soon'
     WHEN 'view' THEN strftime(ts, '%Y-%m-%d %H:%M:%S') ELSE strftime(ts, '%d %b %Y, %H:%M') END AS printed FROM events),
 q AS (SELECT *, CASE event_type WHEN 'error' THEN NULL WHEN 'view' THEN date_trunc('second', ts)
-    ELSE date_trunc('minute', ts) END AS at FROM p)
-SELECT event_id, printed, strftime(at, '%Y-%m-%d %H:%M:%S') AS iso,
-  CAST(CASE WHEN event_type NOT IN ('error', 'view') THEN epoch(at) END AS BIGINT) AS epoch,
-  (dayofweek(at) + 6) % 7 AS weekday, CAST(CAST(at AS DATE) AS VARCHAR) AS day FROM q"""
+    ELSE date_trunc('minute', ts) END AS tm FROM p)
+SELECT event_id, printed, strftime(tm, '%Y-%m-%d %H:%M:%S') AS iso,
+  CAST(CASE WHEN event_type NOT IN ('error', 'view') THEN epoch(tm) END AS BIGINT) AS epoch,
+  (dayofweek(tm) + 6) % 7 AS weekday, CAST(CAST(tm AS DATE) AS VARCHAR) AS day FROM q"""
 
 # A genre-like list per part: its name, a genre chosen by its type, and a second one chosen by its size.
 _GENRES = {"ECONOMY": "garage rock", "SMALL": "k-pop", "MEDIUM": "indie pop", "PROMO": "Hip Hop", "STANDARD": "therapy",

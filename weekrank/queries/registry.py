@@ -1,9 +1,9 @@
 """All registered queries and their SQL."""
 
-from weekrank.queries import cleaning, weekly
+from weekrank.queries import cleaning, joining, weekly
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (weekly, cleaning):
+for _module in (weekly, cleaning, joining):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)

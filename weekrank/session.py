@@ -92,17 +92,23 @@ def cut(df: DataFrame) -> DataFrame:
     the copies when their readers are done.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/weekrank-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "cut")
     df.write.parquet(path)
-    _CUTS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 _CUTS: list[str] = []
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for a table in the shared checkpoint folder."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/weekrank-{name}-{uuid.uuid4().hex}"
+    _CUTS.append(path)
+    return path
+
+
 def drop_cuts(spark: SparkSession) -> int:
-    """Delete the tables `cut` wrote in this process; returns how many."""
+    """Delete the tables this process wrote to the checkpoint folder; returns how many."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     dropped = 0
     while _CUTS:
