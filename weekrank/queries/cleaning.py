@@ -57,25 +57,25 @@ QUERIES["text_keys"] = text_keys
 def partial_dates(spark: SparkSession, folder: str) -> DataFrame:
     """Order dates printed as year, month, day, day and time, or badly: standard day, granularity, timestamp."""
     orders = tables(spark, folder, "orders")
-    printed = orders.select("o_orderkey", _printed().alias("printed"))
+    printed = orders.select("o_orderkey", printed_dates().alias("printed"))
     return report(columns.standardise_release(printed.withColumn("day", F.col("printed")), "day", "granularity")
                   .withColumn("normalised", dates.normalise_partial(F.col("printed")))
                   .withColumn("parsed", dates.release_timestamp(F.col("printed"))))
 
 
-def _printed() -> F.Column:
+def printed_dates() -> F.Column:
     at, kind = F.col("o_orderdate"), F.substring("o_orderpriority", 1, 1)
     return (F.when(kind == "1", F.date_format(at, " yyyy ")).when(kind == "2", F.date_format(at, "yyyy-MM"))
             .when(kind == "3", F.date_format(at, "yyyy-MM-dd")).when(kind == "4", F.date_format(at, "yyyy-MM-dd HH:mm:ss"))
             .otherwise(F.date_format(at, "yyyy-'13'-dd")))
 
 
-_PRINTED_SQL = """CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN strftime(o_orderdate, ' %Y ') WHEN '2' THEN strftime(o_orderdate, '%Y-%m')
+PRINTED_SQL = """CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN strftime(o_orderdate, ' %Y ') WHEN '2' THEN strftime(o_orderdate, '%Y-%m')
   WHEN '3' THEN strftime(o_orderdate, '%Y-%m-%d') WHEN '4' THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')
   ELSE strftime(o_orderdate, '%Y-13-%d') END"""
 QUERIES["partial_dates"] = partial_dates
 SQL["partial_dates"] = f"""
-WITH p AS (SELECT o_orderkey, {_PRINTED_SQL} AS printed, substr(o_orderpriority, 1, 1) AS k, o_orderdate FROM orders)
+WITH p AS (SELECT o_orderkey, {PRINTED_SQL} AS printed, substr(o_orderpriority, 1, 1) AS k, o_orderdate FROM orders)
 SELECT o_orderkey, printed,
   CASE k WHEN '1' THEN strftime(o_orderdate, '%Y-01-01') WHEN '2' THEN strftime(o_orderdate, '%Y-%m-01')
     WHEN '3' THEN printed WHEN '4' THEN substr(printed, 1, 10) ELSE printed END AS day,
@@ -114,13 +114,13 @@ _GENRES = {"ECONOMY": "garage rock", "SMALL": "k-pop", "MEDIUM": "indie pop", "P
            "LARGE": "post-rock"}
 
 
-def _genre_text() -> F.Column:
+def genre_text() -> F.Column:
     by_type = F.create_map(*[F.lit(x) for pair in _GENRES.items() for x in pair])[F.col("p_type")]
     return F.when(F.col("p_size") < 5, "").otherwise(F.concat_ws(
         ", ", "p_name", by_type, F.when(F.col("p_size") > 30, "rock"), F.when(F.col("p_size") > 40, " Soul ")))
 
 
-_GENRE_SQL = ("CASE WHEN p_size < 5 THEN '' ELSE concat_ws(', ', p_name, CASE p_type "
+GENRE_SQL = ("CASE WHEN p_size < 5 THEN '' ELSE concat_ws(', ', p_name, CASE p_type "
               + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _GENRES.items())
               + " END, CASE WHEN p_size > 30 THEN 'rock' END, CASE WHEN p_size > 40 THEN ' Soul ' END) END")
 
@@ -135,28 +135,28 @@ def bucket_sql(c: str) -> str:
 
 def category_buckets(spark: SparkSession, folder: str) -> DataFrame:
     """Bucket of every listed genre of every part."""
-    part = tables(spark, folder, "part").withColumn("spotify_genres", _genre_text())
+    part = tables(spark, folder, "part").withColumn("spotify_genres", genre_text())
     items = part.select("p_partkey", F.posexplode(text.split_list(F.col("spotify_genres"))).alias("place", "genre"))
     return report(items.withColumn("bucket", text.bucket_of(F.col("genre"))))
 
 
-_ITEMS_CTE = f"""g AS (SELECT p_partkey, {_GENRE_SQL} AS genres FROM part),
+ITEMS_CTE = f"""g AS (SELECT p_partkey, {GENRE_SQL} AS genres FROM part),
 s AS (SELECT p_partkey, unnest(list_filter(list_transform(string_split(lower(genres), ','), lambda x: trim(x)), lambda x: x <> '')) AS genre,
   generate_subscripts(list_filter(list_transform(string_split(lower(genres), ','), lambda x: trim(x)), lambda x: x <> ''), 1) AS pos FROM g),
 b AS (SELECT p_partkey, genre, pos, {bucket_sql('genre')} AS bucket FROM s)"""
 QUERIES["category_buckets"] = category_buckets
-SQL["category_buckets"] = f"WITH {_ITEMS_CTE} SELECT p_partkey, pos - 1 AS place, genre, bucket FROM b"
+SQL["category_buckets"] = f"WITH {ITEMS_CTE} SELECT p_partkey, pos - 1 AS place, genre, bucket FROM b"
 
 
 def array_mode(spark: SparkSession, folder: str) -> DataFrame:
     """Most frequent bucket per part (smallest on ties, unknown for none) and the empty flag."""
-    part = tables(spark, folder, "part").withColumn("spotify_genres", _genre_text())
+    part = tables(spark, folder, "part").withColumn("spotify_genres", genre_text())
     return report(columns.genre_bucket(part).select("p_partkey", "genre_bucket", "genre_missing"))
 
 
 QUERIES["array_mode"] = array_mode
 SQL["array_mode"] = f"""
-WITH {_ITEMS_CTE}, c AS (SELECT p_partkey, bucket, count(*) AS n FROM b GROUP BY p_partkey, bucket),
+WITH {ITEMS_CTE}, c AS (SELECT p_partkey, bucket, count(*) AS n FROM b GROUP BY p_partkey, bucket),
 m AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY n DESC, bucket) AS rn FROM c)
 SELECT p.p_partkey, coalesce(bucket, 'unknown') AS genre_bucket, CAST(bucket IS NULL AS BIGINT) AS genre_missing
 FROM part p LEFT JOIN m ON p.p_partkey = m.p_partkey AND rn = 1"""
@@ -311,7 +311,7 @@ def _raw_events(spark: SparkSession, folder: str) -> DataFrame:
     """Line items with part and supplier facts, as an uncleaned listening table."""
     lineitem, part, supplier = tables(spark, folder, "lineitem", "part", "supplier")
     wide = joins.lookup(lineitem.withColumnRenamed("l_partkey", "p_partkey"),
-                        part.withColumn("spotify_genres", _genre_text()), ["p_partkey"], spread_by=["l_orderkey", "l_linenumber"])
+                        part.withColumn("spotify_genres", genre_text()), ["p_partkey"], spread_by=["l_orderkey", "l_linenumber"])
     wide = joins.lookup(wide.withColumnRenamed("l_suppkey", "s_suppkey"), supplier, ["s_suppkey"],
                         spread_by=["l_orderkey", "l_linenumber"])
     shown = F.col("l_returnflag")
@@ -333,7 +333,7 @@ def clean_events(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES["clean_events"] = clean_events
 SQL["clean_events"] = f"""
-WITH {_ITEMS_CTE}, c AS (SELECT p_partkey, bucket, count(*) AS n FROM b GROUP BY p_partkey, bucket),
+WITH {ITEMS_CTE}, c AS (SELECT p_partkey, bucket, count(*) AS n FROM b GROUP BY p_partkey, bucket),
 m AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY n DESC, bucket) AS rn FROM c),
 e AS (SELECT s.s_name, p.p_name, l.*, g.genres, p.p_size, m.bucket,
     CASE WHEN l_returnflag <> 'R' THEN l_quantity END AS lis, CASE WHEN l_returnflag = 'A' THEN l_tax END AS pop

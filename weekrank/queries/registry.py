@@ -1,9 +1,9 @@
 """All registered queries and their SQL."""
 
-from weekrank.queries import cleaning, joining, weekly
+from weekrank.queries import cleaning, joining, profiling, weekly
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (weekly, cleaning, joining):
+for _module in (weekly, cleaning, joining, profiling):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)

@@ -214,7 +214,7 @@ SELECT c_name, o_orderpriority, CAST(week AS VARCHAR) AS week_saturday_utc, {r('
   CAST(coalesce(d >= 0 AND d <= 28, false) AS BIGINT) AS released_within_28d FROM d"""
 
 
-def _feature_table(spark: SparkSession, folder: str) -> DataFrame:
+def feature_table(spark: SparkSession, folder: str) -> DataFrame:
     """Weekly feature table of segments; catalogue attributes come from the latest order of a week."""
     events = _order_releases(spark, folder).withColumns({
         "spotify_popularity": F.col("c_acctbal"), "artist_listeners": F.col("o_totalprice")})
@@ -222,7 +222,7 @@ def _feature_table(spark: SparkSession, folder: str) -> DataFrame:
                               carry=["spotify_release_date", "spotify_popularity", "artist_listeners"])
 
 
-_TABLE_CTE = f"""{ORDERS_CTE}, {weekly_cte('w', 'oe', SEGMENT, 'o_orderdate', 'label')},
+TABLE_CTE = f"""{ORDERS_CTE}, {weekly_cte('w', 'oe', SEGMENT, 'o_orderdate', 'label')},
 lst AS (SELECT *, {_RELEASE_SQL} AS rel_text, {_RELEASE_TS_SQL} AS rel_ts,
   row_number() OVER (PARTITION BY {_keys(SEGMENT)}, week ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM oe),
 j AS (SELECT w.*, rel_text AS spotify_release_date, c_acctbal AS spotify_popularity, o_totalprice AS artist_listeners,
@@ -241,12 +241,12 @@ _FEATURES_SQL = (
 
 def core_features(spark: SparkSession, folder: str) -> DataFrame:
     """The complete weekly feature table."""
-    return report(_feature_table(spark, folder))
+    return report(feature_table(spark, folder))
 
 
 QUERIES["core_features"] = core_features
 SQL["core_features"] = (
-    f"WITH {_TABLE_CTE} SELECT {_keys(SEGMENT)}, {WEEKLY_COLUMNS}, spotify_release_date, "
+    f"WITH {TABLE_CTE} SELECT {_keys(SEGMENT)}, {WEEKLY_COLUMNS}, spotify_release_date, "
     f"{r('spotify_popularity')} AS spotify_popularity, {r('artist_listeners')} AS artist_listeners, {_FEATURES_SQL} "
     f"prior_weeks_with_scrobbles, weeks_since_first_scrobble, {r('days')} AS days_since_release FROM t")
 
@@ -255,11 +255,11 @@ _VIEW_START = "1996-01-06"
 
 def model_view(spark: SparkSession, folder: str) -> DataFrame:
     """The modelling view: label period, filled release age, leaky and redundant columns gone."""
-    return report(plans.model_view(_feature_table(spark, folder), _VIEW_START))
+    return report(plans.model_view(feature_table(spark, folder), _VIEW_START))
 
 
 _VIEW_CTE = (
-    f"{_TABLE_CTE}, p AS (SELECT * FROM t WHERE week >= DATE '{_VIEW_START}'), "
+    f"{TABLE_CTE}, p AS (SELECT * FROM t WHERE week >= DATE '{_VIEW_START}'), "
     "v AS (SELECT *, CAST(days IS NULL AS BIGINT) AS days_since_release_was_missing, "
     "coalesce(days, (SELECT median(days) FROM p)) AS days_since_release FROM p)")
 QUERIES["model_view"] = model_view
@@ -271,7 +271,7 @@ SQL["model_view"] = (
 
 def select_xy(spark: SparkSession, folder: str) -> DataFrame:
     """Model inputs in their fixed order (absent ones 0) and the label."""
-    view = plans.model_view(_feature_table(spark, folder), _VIEW_START)
+    view = plans.model_view(feature_table(spark, folder), _VIEW_START)
     keyed = columns.with_defaults(view, schemas.CORE_FEATURES)
     x, _ = columns.split_features_label(keyed)
     return report(columns.drop_identifiers(keyed).select(*x.columns, schemas.LABEL))
