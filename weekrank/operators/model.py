@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekrank import schemas
+from weekrank import schemas, session
 from weekrank.operators import columns, evaluate, ordered
 
 # The regularisation grid and the chosen strength.
@@ -49,7 +49,7 @@ def fit_logistic(df: DataFrame, features: Sequence[str], label: str = schemas.LA
     stages.append(LogisticRegression(
         featuresCol="_scaled" if scale else "_features", labelCol=label, regParam=1.0 / (c * max(n, 1)),
         elasticNetParam=0.0, standardization=False, maxIter=max_iter, **_OUTPUT))
-    return Pipeline(stages=stages).fit(df)
+    return Pipeline(stages=stages).fit(session.compact(df))
 
 
 def fit_trees(df: DataFrame, features: Sequence[str], label: str = schemas.LABEL, seed: int = 42,
@@ -68,9 +68,10 @@ def fit_trees(df: DataFrame, features: Sequence[str], label: str = schemas.LABEL
         settings["featureSubsetStrategy"] = "all" if subset >= 1.0 else str(subset)
     weighted = df.withColumn("_weight", F.when(F.col(label) == 1, F.lit(float(weight))).otherwise(F.lit(1.0)))
     trees = GBTClassifier(featuresCol="_features", labelCol=label, weightCol="_weight", seed=seed,
-                          **_OUTPUT, **settings)
+                          predictionCol="_prediction", **settings)
+    trees = trees.setProbabilityCol("_probability").setRawPredictionCol("_raw")
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
-    return Pipeline(stages=[assembler, trees]).fit(weighted)
+    return Pipeline(stages=[assembler, trees]).fit(session.compact(weighted))
 
 
 def with_probability(df: DataFrame, model: PipelineModel, name: str = "probability") -> DataFrame:

@@ -31,14 +31,16 @@ def prepare(view: DataFrame, *, label: str = schemas.LABEL, week: str = schemas.
             min_freq: int = 20, prefix: str = "genre", boundary: str = "exclusive") -> Prepared:
     """Split by weeks, fit the encoder on the training weeks, same feature list everywhere.
 
-    The three spans are read many times by the iterative fits, so they are stored once.
+    The view is stored once: the cut weeks, the levels and the iterative fits all read it, and the
+    spans are week filters that reach its scan.
     """
+    view = session.cut(view)
     split = encode.time_split(view, week, boundary=boundary)
     train, validation, test = split.train(view), split.validation(view), split.test(view)
     encoder = encode.fit_one_hot(train, category, min_freq, prefix)
     spans = [encoder.fit_transform(train), encoder.transform(validation), encoder.transform(test)]
     wanted = columns.feature_columns(spans[0])
-    return Prepared(*[session.cut(model.model_input(s, wanted, label)) for s in spans], encoder, wanted)
+    return Prepared(*[model.model_input(s, wanted, label) for s in spans], encoder, wanted)
 
 
 def train_final(data: Prepared, *, label: str = schemas.LABEL, c: float = model.BEST_C, max_iter: int = 1000) -> Trained:

@@ -1,9 +1,9 @@
 """All registered queries and their SQL."""
 
-from weekrank.queries import cleaning, joining, profiling, weekly
+from weekrank.queries import cleaning, joining, modelling, profiling, weekly
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (weekly, cleaning, joining, profiling):
+for _module in (weekly, cleaning, joining, profiling, modelling):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)

@@ -255,7 +255,7 @@ _VIEW_START = "1996-01-06"
 
 def model_view(spark: SparkSession, folder: str) -> DataFrame:
     """The modelling view: label period, filled release age, leaky and redundant columns gone."""
-    return report(plans.model_view(feature_table(spark, folder), _VIEW_START))
+    return report(plans.model_view(session.cut(feature_table(spark, folder)), _VIEW_START))
 
 
 _VIEW_CTE = (
@@ -271,7 +271,7 @@ SQL["model_view"] = (
 
 def select_xy(spark: SparkSession, folder: str) -> DataFrame:
     """Model inputs in their fixed order (absent ones 0) and the label."""
-    view = plans.model_view(feature_table(spark, folder), _VIEW_START)
+    view = plans.model_view(session.cut(feature_table(spark, folder)), _VIEW_START)
     keyed = columns.with_defaults(view, schemas.CORE_FEATURES)
     x, _ = columns.split_features_label(keyed)
     return report(columns.drop_identifiers(keyed).select(*x.columns, schemas.LABEL))

@@ -53,6 +53,12 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """Fewer partitions for a small table that an iterative fit scans again and again (no shuffle)."""
+    size = estimated_bytes(df)
+    return df if size is None else df.coalesce(max(1, math.ceil(size / BYTES_PER_SHUFFLE_PARTITION)))
+
+
 def broadcast_limit(spark: SparkSession) -> int:
     """`spark.sql.autoBroadcastJoinThreshold` in bytes; -1 when broadcasting is off."""
     text = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).strip().lower()
