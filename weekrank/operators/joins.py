@@ -31,11 +31,16 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], newest: Sequence[str]) ->
     return first_per_key(df, keys, [F.col(c).desc_nulls_last() for c in newest])
 
 
-def _same(pairs) -> Column:
+def same(pairs) -> Column:
     """Null-safe equality of column pairs whose names are all different."""
     return reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col(b)) for a, b in pairs])
 
 
+def key_counts(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows per key in `n`; combined map-side, so a hot key is one row per task."""
+    return df.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+
+
 def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], *, spread_by: Sequence[str],
                 counts: DataFrame | None = None, weight: str | None = None, how: str = "left",
                 null_safe: bool = False, parts: int = HOT_PARTS, salts: int = SALTS) -> DataFrame:
@@ -43,20 +48,21 @@ def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], *, spread_
 
     The hot keys are found by counting (at most `parts` of them, hence a safe broadcast). Their left
     rows go to a piece chosen by a hash of `spread_by`, their right rows to every piece; all other
-    keys stay whole. Rows with a null key are spread too. `right` holds few rows per key. `counts` has
-    the left rows per key in `n` where the caller knows them; `weight` names the column of `right`
+    keys stay whole. Rows with a null key are spread too. `right` holds few rows per key.
+
+    `counts` has the left rows per key in `n`. Counting reads `left` again, so give counts taken from
+    the table the keys come from when `left` is itself a join. `weight` names the column of `right`
     that repeats this number (it is dropped), so that the right side needs no marking join.
     """
     on = list(on)
-    if counts is None:
-        counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
+    counts = key_counts(left, on) if counts is None else counts
     total = counts.agg(F.sum("n")).scalar()
     hot = F.broadcast(counts.filter(F.col("n") * parts > total)
                       .select(*[F.col(c).alias(f"_hot_{c}") for c in on], F.lit(True).alias("_hot")))
 
     def marked(side: DataFrame) -> DataFrame:
         pairs = [(c, f"_hot_{c}") for c in on]
-        return side.join(hot, _same(pairs), "left").drop(*[b for _, b in pairs])
+        return side.join(hot, same(pairs), "left").drop(*[b for _, b in pairs])
 
     piece = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     salted_left = marked(left).withColumn("_salt", F.when(F.col("_hot"), piece).otherwise(F.lit(0))).drop("_hot")
@@ -65,7 +71,7 @@ def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], *, spread_
     extra = [c for c in right.columns if c not in on and c != weight]
     salted_right = known.select(*[F.col(c).alias(f"_r_{c}") for c in on], *extra, F.explode(pieces).alias("_r_salt"))
     pairs = [(c, f"_r_{c}") for c in on]
-    keys = _same(pairs) if null_safe else reduce(lambda a, b: a & b, [F.col(x) == F.col(y) for x, y in pairs])
+    keys = same(pairs) if null_safe else reduce(lambda a, b: a & b, [F.col(x) == F.col(y) for x, y in pairs])
     joined = salted_left.join(salted_right, keys & (F.col("_salt") == F.col("_r_salt")), how)
     return joined.drop("_salt", "_r_salt", *[f"_r_{c}" for c in on])
 
@@ -83,7 +89,8 @@ def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], *, spread_by: S
 
 
 def attach(left: DataFrame, right: DataFrame | None, on: Sequence[str], *, spread_by: Sequence[str],
-           newest: Sequence[str] = (), skip: Sequence[str] = ("artist_name", "track_name", "album_name")) -> DataFrame:
+           newest: Sequence[str] = (), counts: DataFrame | None = None,
+           skip: Sequence[str] = ("artist_name", "track_name", "album_name")) -> DataFrame:
     """Metadata join: one right row per key, columns the left side already has are not taken.
 
     An absent table, or one without the keys, leaves `left` as it is.
@@ -95,17 +102,17 @@ def attach(left: DataFrame, right: DataFrame | None, on: Sequence[str], *, sprea
     usable = right.dropna(subset=list(on))
     one = first_per_key(usable, on, [F.col(c).desc_nulls_last() if newest else F.col(c).asc_nulls_last()
                                      for c in order]) if order else usable.distinct()
-    return lookup(left, one.select(*on, *extra), on, spread_by=spread_by)
+    return lookup(left, one.select(*on, *extra), on, spread_by=spread_by, counts=counts)
 
 
 def attach_labels(left: DataFrame, labels: DataFrame | None, on: Sequence[str], *, spread_by: Sequence[str],
-                  label: str = schemas.LABEL, added: str = "added_at_utc") -> DataFrame:
+                  label: str = schemas.LABEL, added: str = "added_at_utc", counts: DataFrame | None = None) -> DataFrame:
     """Label join: the newest label per key, 0 where there is none; never adds rows."""
     if labels is None or not set(on) <= set(labels.columns):
         return left
     kept = labels.select(*[c for c in [*on, label, added] if c in labels.columns])
     one = latest_per_key(kept.dropna(subset=list(on)), on, [c for c in (added, label) if c in kept.columns])
-    out = lookup(left, one, on, spread_by=spread_by)
+    out = lookup(left, one, on, spread_by=spread_by, counts=counts)
     return out.withColumn(label, F.coalesce(F.col(label), F.lit(0)).cast("int")) if label in out.columns else out
 
 
@@ -122,8 +129,7 @@ def with_keys(df: DataFrame, names: dict[str, str] = KEY_NAMES) -> DataFrame:
 
 def name_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct name combinations with their keys and `n`, the number of rows of each."""
-    names = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-    return with_keys(names, {c: KEY_NAMES[c] for c in columns if c in KEY_NAMES})
+    return with_keys(key_counts(df, columns), {c: KEY_NAMES[c] for c in columns if c in KEY_NAMES})
 
 
 # --- unmatched and two-pass matches -------------------------------------------------------------
@@ -138,7 +144,7 @@ def pending_keys(candidates: DataFrame, known: DataFrame | None, keys: Sequence[
         return wanted
     seen = known.select(*[F.col(k).alias(f"_seen_{k}") for k in keys]).distinct()
     if keep_null:
-        return wanted.join(seen, _same([(k, f"_seen_{k}") for k in keys]), "left_anti")
+        return wanted.join(seen, same([(k, f"_seen_{k}") for k in keys]), "left_anti")
     on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_seen_{k}") for k in keys])
     return wanted.join(seen, on, "left_anti")
 
@@ -174,7 +180,7 @@ def iso_countries(spark: SparkSession) -> DataFrame:
     """Country codes and English names known to the Java locale data (about 250 rows)."""
     locale = spark._jvm.java.util.Locale
     english = locale.ENGLISH
-    rows = [(code, locale.of("", code).getDisplayCountry(english)) for code in locale.getISOCountries()]
+    rows = [(code, locale("", code).getDisplayCountry(english)) for code in locale.getISOCountries()]
     return spark.createDataFrame(rows, "code string, country string")
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from weekrank import schemas
+from weekrank import schemas, session
 from weekrank.operators import columns, joins, weekly
 
 NAME_COLUMNS = ("artist_name", "track_name", "album_name")
@@ -25,7 +26,8 @@ def unify(events: DataFrame, *, artists: DataFrame | None = None, tracks: DataFr
     """
     event_columns = events.columns
     names = columns.present(events, [*NAME_COLUMNS, "artist_mbid"])
-    combos = joins.name_keys(events, names)
+    # Stored: the joins, their key counts and the final join all read it.
+    combos = session.cut(joins.name_keys(events, names))
     meta_key = ["artist_key"]
     if artist_metadata is not None and "artist_name" not in artist_metadata.columns:
         meta_key = ["artist_mbid"]
@@ -43,11 +45,20 @@ def unify(events: DataFrame, *, artists: DataFrame | None = None, tracks: DataFr
         orders.append([c for c in keyed.columns if c not in event_columns])
         # A column the events carry themselves is not taken from metadata.
         keyed = keyed.drop(*[c for c in keyed.columns if c in taken and c not in on])
-        wide = joins.attach(wide, keyed, on, spread_by=names)
+        wide = joins.attach(wide, keyed, on, spread_by=names, counts=joins.key_counts(combos, on))
     anchored = weekly.anchor_week(events)
     out = joins.spread_join(anchored, wide, names, spread_by=event_id, counts=combos.select(*names, "n"), weight="n",
                             null_safe=True)
     if favorites is not None:
         keyed = joins.with_keys(favorites, {"artist_name": "artist_key", "track_name": "track_key"})
-        out = joins.attach_labels(out, keyed, ["artist_key", "track_key", schemas.WEEK], spread_by=event_id)
+        # Labels are few. Should they outgrow a broadcast, the week of a name is counted on the events.
+        key = ["artist_key", "track_key", schemas.WEEK]
+        counts = None
+        if not session.fits_broadcast(keyed):
+            per_week = joins.key_counts(anchored, [*names, schemas.WEEK]).withColumnRenamed("n", "_rows")
+            keys = [c for c in ("artist_key", "track_key") if c in combos.columns]
+            matched = per_week.join(combos.select(*[F.col(c).alias(f"_c_{c}") for c in names], *keys),
+                                    joins.same([(c, f"_c_{c}") for c in names]))
+            counts = matched.groupBy(*key).agg(F.sum("_rows").alias("n"))
+        out = joins.attach_labels(out, keyed, key, spread_by=event_id, counts=counts)
     return columns.order_columns(out, event_columns, *orders, tail=[schemas.WEEK, "added_at_utc", schemas.LABEL])

@@ -313,7 +313,8 @@ def _raw_events(spark: SparkSession, folder: str) -> DataFrame:
     wide = joins.lookup(lineitem.withColumnRenamed("l_partkey", "p_partkey"),
                         part.withColumn("spotify_genres", genre_text()), ["p_partkey"], spread_by=["l_orderkey", "l_linenumber"])
     wide = joins.lookup(wide.withColumnRenamed("l_suppkey", "s_suppkey"), supplier, ["s_suppkey"],
-                        spread_by=["l_orderkey", "l_linenumber"])
+                        spread_by=["l_orderkey", "l_linenumber"],
+                        counts=joins.key_counts(lineitem.withColumnRenamed("l_suppkey", "s_suppkey"), ["s_suppkey"]))
     shown = F.col("l_returnflag")
     return wide.select(
         F.concat(F.lit(" "), "s_name", F.lit("\t")).alias("artist_name"), F.concat(F.lit(" "), "p_name").alias("track_name"),

@@ -44,9 +44,11 @@ def join_spread(spark: SparkSession, folder: str) -> DataFrame:
     wide = joins.spread_join(lineitem, flags, ["l_returnflag"], spread_by=["l_orderkey", "l_linenumber"],
                              counts=flags.select("l_returnflag", "n"), weight="n")
     side = orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
-    wide = joins.spread_join(wide, side, ["l_orderkey"], spread_by=["l_linenumber"])
+    wide = joins.spread_join(wide, side, ["l_orderkey"], spread_by=["l_linenumber"],
+                             counts=joins.key_counts(lineitem, ["l_orderkey"]))
     names = part.select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    wide = joins.spread_join(wide, names, ["l_partkey"], spread_by=["l_orderkey", "l_linenumber"])
+    wide = joins.spread_join(wide, names, ["l_partkey"], spread_by=["l_orderkey", "l_linenumber"],
+                             counts=joins.key_counts(lineitem, ["l_partkey"]))
     return report(wide.groupBy("l_returnflag", "o_orderpriority", "p_brand").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity") - F.col("flag_quantity")).alias("excess")))
 

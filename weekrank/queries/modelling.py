@@ -289,7 +289,8 @@ def batch_score(spark: SparkSession, folder: str) -> DataFrame:
         F.to_json(F.struct(F.sort_array(F.collect_list("c")).alias("tracks"))).alias("payload"))
     parsed = score.parse_requests(requests, candidate)
     scored = score.score(parsed, stored.model, stored.encoder, stored.features, stored.threshold)
-    return report(score.decide(scored.select("request_id", "index", "probability"), stored.threshold))
+    scored = session.cut(scored.select("request_id", "index", "probability"))  # read by the winners and by the rows
+    return report(score.decide(scored, stored.threshold))
 
 
 for _query in (logreg_scores, logreg_baselines, logreg_grid, gbt_grid, coef_leaderboard, model_comparison, batch_score):
