@@ -56,7 +56,8 @@ def estimated_bytes(df: DataFrame) -> int | None:
 def compact(df: DataFrame) -> DataFrame:
     """Fewer partitions for a small table that an iterative fit scans again and again (no shuffle)."""
     size = estimated_bytes(df)
-    return df if size is None else df.coalesce(max(1, math.ceil(size / BYTES_PER_SHUFFLE_PARTITION)))
+    few = None if size is None else max(1, math.ceil(size / BYTES_PER_SHUFFLE_PARTITION))
+    return df.coalesce(few) if few is not None and few < df.sparkSession.sparkContext.defaultParallelism else df
 
 
 def broadcast_limit(spark: SparkSession) -> int:
