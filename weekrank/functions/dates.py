@@ -97,8 +97,8 @@ def release_granularity(c: Column) -> Column:
 def release_timestamp(c: Column) -> Column:
     """Timestamp of a release date; null when unreadable or outside 1678..2261."""
     text = trim_all(c)
-    full = (F.when(text.rlike(_YEAR), F.concat(text, F.lit("-01-01")))
-            .when(text.rlike(r"^\d{4}-..$"), F.concat(text, F.lit("-01")))
+    full = (F.when(F.length(text) == 4, F.concat(text, F.lit("-01-01")))
+            .when((F.length(text) == 7) & (F.substring(text, 5, 1) == "-"), F.concat(text, F.lit("-01")))
             .otherwise(text))
-    parsed = parse_text(full)
-    return F.when(F.year(parsed).between(1678, 2261), parsed)
+    year = F.substring(text, 1, 4).try_cast("int")
+    return F.when(year.between(1678, 2261), full.try_cast("timestamp"))

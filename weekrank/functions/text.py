@@ -12,17 +12,18 @@ from pyspark.sql import types as T
 
 from weekrank import schemas
 
-# Unicode white space plus the four ASCII separators (FS..US), in Java regex syntax.
-_SPACE = r"[\s\x1c-\x1f]"
+# The characters that count as white space.
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+               "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def trim_all(c: Column) -> Column:
-    """Strip every kind of Unicode white space from both ends."""
-    return F.regexp_replace(c, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    """Strip every kind of Unicode white space from both ends (a native trim, no pattern)."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def _collapse(c: Column) -> Column:
-    return F.regexp_replace(trim_all(c), rf"(?U){_SPACE}+", " ")
+    return F.regexp_replace(trim_all(c), f"[{WHITE_SPACE}]+", " ")
 
 
 def _fold_unicode(c: Column) -> Column:

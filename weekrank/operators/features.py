@@ -121,7 +121,8 @@ def add_days_since_release(df: DataFrame, *, entity: Sequence[str] = schemas.ENT
         return df.withColumn("days_since_release", F.lit(None).cast("double"))
     else:
         side = lookup.select(*entity, F.col("release_dt").alias("_release"))
-        staged = joins.lookup(df, side, entity, spread_by=[week])
+        # No spreading: an entity has at most one weekly row per week, so no key is hot.
+        staged = df.join(side, list(entity), "left")
     return staged.withColumn("days_since_release", dates.days_between(F.col(week), F.col("_release"))).drop("_release")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,6 +88,18 @@ def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], *, spread_by: S
     return spread_join(left, right, on, spread_by=spread_by, counts=counts)
 
 
+def by_distinct(df: DataFrame, columns: Sequence[str], derive: Callable[[DataFrame], DataFrame],
+                spread_by: Sequence[str] = ()) -> DataFrame:
+    """Add columns that depend on a few values only: derived once per distinct value, then looked up.
+
+    For costly expressions on repetitive columns. The distinct values are stored, so their size is
+    known: a small table is broadcast, a large one goes through `spread_join`. Rows with a null in
+    `columns` get null.
+    """
+    values = df.select(*columns).dropna().distinct()
+    return lookup(df, session.cut(derive(values)), columns, spread_by=list(spread_by) or df.columns)
+
+
 def attach(left: DataFrame, right: DataFrame | None, on: Sequence[str], *, spread_by: Sequence[str],
            newest: Sequence[str] = (), counts: DataFrame | None = None,
            skip: Sequence[str] = ("artist_name", "track_name", "album_name")) -> DataFrame:

@@ -63,5 +63,6 @@ def in_week_order(weekly: DataFrame, entity: Sequence[str] = schemas.ENTITY, wee
 def release_lookup(df: DataFrame, *, entity: Sequence[str] = schemas.ENTITY,
                    release: str = "spotify_release_date") -> DataFrame:
     """Earliest readable release time per entity."""
-    parsed = df.select(*entity, dates.release_timestamp(F.col(release)).alias("release_dt"))
-    return parsed.dropna(subset=["release_dt", *entity]).groupBy(*entity).agg(F.min("release_dt").alias("release_dt"))
+    parsed = df.dropna(subset=list(entity)).select(*entity, dates.release_timestamp(F.col(release)).alias("_at"))
+    # Filtered after the aggregate: a filter before it would read each date twice.
+    return parsed.groupBy(*entity).agg(F.min("_at").alias("release_dt")).dropna(subset=["release_dt"])

@@ -50,7 +50,7 @@ def unify(events: DataFrame, *, artists: DataFrame | None = None, tracks: DataFr
     out = joins.spread_join(anchored, wide, names, spread_by=event_id, counts=combos.select(*names, "n"), weight="n",
                             null_safe=True)
     if favorites is not None:
-        keyed = joins.with_keys(favorites, {"artist_name": "artist_key", "track_name": "track_key"})
+        keyed = joins.by_distinct(favorites, list(schemas.ENTITY), joins.with_keys)
         # Labels are few. Should they outgrow a broadcast, the week of a name is counted on the events.
         key = ["artist_key", "track_key", schemas.WEEK]
         counts = None

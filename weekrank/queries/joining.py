@@ -178,7 +178,7 @@ def unified_table(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("scrobble_number"), "l_partkey", "l_suppkey",
         F.col("l_shipdate").alias("date"), F.upper("p_brand").alias("artist_name"), F.col("p_name").alias("track_name"),
         F.when(F.col("l_returnflag") != "N", F.col("l_linestatus")).alias("album_name"),
-        F.concat(F.lit("m"), F.length("p_name")).alias("artist_mbid"))
+        F.concat(F.lit("m"), F.length("p_name")).alias("artist_mbid"), "l_quantity")
     brand = part.select(F.concat(F.lit(" "), F.lower("p_brand")).alias("artist_name"), "p_name", "p_size", "p_retailprice")
     artists = brand.groupBy("artist_name").agg(F.max("p_size").alias("artist_listeners"))
     tracks = brand.groupBy("artist_name", F.col("p_name").alias("track_name")).agg(F.max("p_size").alias("track_duration"))
@@ -188,22 +188,22 @@ def unified_table(spark: SparkSession, folder: str) -> DataFrame:
         F.max("p_type").alias("mb_artist_type"))
     catalog = brand.groupBy("artist_name", F.col("p_name").alias("track_name")).agg(
         F.max("p_retailprice").alias("spotify_popularity"), F.max("p_size").alias("track_duration"))
-    favorites = events.filter("scrobble_number > 100000").select(
+    favorites = events.filter("l_quantity >= 49 and album_name = 'F'").select(
         F.lower("artist_name").alias("artist_name"), "track_name", dates.week_ending_saturday(F.col("date")).alias(schemas.WEEK),
         F.col("date").alias("added_at_utc"), F.lit(1).alias(schemas.LABEL))
     return report(unify(events, artists=artists, tracks=tracks, albums=albums, artist_metadata=metadata, catalog=catalog,
-                        favorites=favorites).drop("l_partkey", "l_suppkey"))
+                        favorites=favorites).drop("l_partkey", "l_suppkey", "l_quantity"))
 
 
 QUERIES["unified_table"] = unified_table
 SQL["unified_table"] = f"""
 WITH e AS (SELECT l_orderkey * 8 + l_linenumber AS scrobble_number, l_shipdate, upper(p_brand) AS artist_name, p_name AS track_name,
     CASE WHEN l_returnflag <> 'N' THEN l_linestatus END AS album_name, 'm' || length(p_name) AS artist_mbid,
-    lower(p_brand) AS artist_key, {saturday('l_shipdate')} AS week FROM lineitem LEFT JOIN part ON l_partkey = p_partkey),
+    lower(p_brand) AS artist_key, l_quantity, {saturday('l_shipdate')} AS week FROM lineitem LEFT JOIN part ON l_partkey = p_partkey),
 ar AS (SELECT lower(p_brand) AS k, max(p_size) AS listeners, min(p_size) AS low FROM part GROUP BY 1),
 tr AS (SELECT lower(p_brand) AS k, p_name, max(p_size) AS duration, max(p_retailprice) AS price FROM part GROUP BY 1, 2),
 mb AS (SELECT 'm' || length(p_name) AS id, max(p_type) AS kind FROM part GROUP BY 1),
-fav AS (SELECT artist_key, track_name, week, max(l_shipdate) AS added FROM e WHERE scrobble_number > 100000 GROUP BY 1, 2, 3)
+fav AS (SELECT artist_key, track_name, week, max(l_shipdate) AS added FROM e WHERE l_quantity >= 49 AND album_name = 'F' GROUP BY 1, 2, 3)
 SELECT scrobble_number, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS date, artist_name, e.track_name, album_name, artist_mbid,
   e.artist_key, lower(e.track_name) AS track_key, lower(album_name) AS album_key, CAST(listeners AS BIGINT) AS artist_listeners,
   CAST(duration AS BIGINT) AS track_duration, CAST(CASE WHEN album_name = 'F' THEN low END AS BIGINT) AS album_listeners,
