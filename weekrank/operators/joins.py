@@ -12,10 +12,6 @@ from pyspark.sql import Window as W
 from weekrank import schemas, session
 from weekrank.functions import text
 
-HOT_PARTS = 1000  # a key is hot when it holds more than 1/HOT_PARTS of the left rows
-SALTS = 64        # pieces a hot key is split into
-
-
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """One row per key, the first in the given (total) order.
 
@@ -43,12 +39,14 @@ def key_counts(df: DataFrame, on: Sequence[str]) -> DataFrame:
 
 def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], *, spread_by: Sequence[str],
                 counts: DataFrame | None = None, weight: str | None = None, how: str = "left",
-                null_safe: bool = False, parts: int = HOT_PARTS, salts: int = SALTS) -> DataFrame:
-    """Equi-join in which hot left keys are cut into `salts` pieces; keeps the columns of both sides.
+                null_safe: bool = False, parts: int | None = None) -> DataFrame:
+    """Equi-join in which hot left keys are cut into pieces; keeps the columns of both sides.
 
-    The hot keys are found by counting (at most `parts` of them, hence a safe broadcast). Their left
-    rows go to a piece chosen by a hash of `spread_by`, their right rows to every piece; all other
-    keys stay whole. Rows with a null key are spread too. `right` holds few rows per key.
+    With `parts` shuffle partitions (the session's number by default) a key is hot when it holds more
+    than 1/parts of the left rows, and it is cut so that no piece holds more: a key with a third of
+    all rows becomes a third of all partitions. There are fewer than `parts` hot keys, so their list
+    is a safe broadcast. Left rows go to a piece by a hash of `spread_by`, right rows to every piece;
+    all other keys stay whole. Rows with a null key are spread too. `right` holds few rows per key.
 
     `counts` has the left rows per key in `n`. Counting reads `left` again, so give counts taken from
     the table the keys come from when `left` is itself a join. `weight` names the column of `right`
@@ -56,20 +54,25 @@ def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], *, spread_
     """
     on = list(on)
     counts = key_counts(left, on) if counts is None else counts
+    parts = session.shuffle_width(left.sparkSession) if parts is None else parts
     total = counts.agg(F.sum("n")).scalar()
-    hot = F.broadcast(counts.filter(F.col("n") * parts > total)
-                      .select(*[F.col(c).alias(f"_hot_{c}") for c in on], F.lit(True).alias("_hot")))
+
+    def pieces_of(n: Column) -> Column:
+        return F.when(n * parts > total, F.ceil(n * F.lit(float(parts)) / total).cast("int"))
+
+    hot = counts.filter(F.col("n") * parts > total).select(
+        *[F.col(c).alias(f"_hot_{c}") for c in on], pieces_of(F.col("n")).alias("_pieces"))
 
     def marked(side: DataFrame) -> DataFrame:
         pairs = [(c, f"_hot_{c}") for c in on]
-        return side.join(hot, same(pairs), "left").drop(*[b for _, b in pairs])
+        return side.join(F.broadcast(hot), same(pairs), "left").drop(*[b for _, b in pairs])
 
-    piece = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    salted_left = marked(left).withColumn("_salt", F.when(F.col("_hot"), piece).otherwise(F.lit(0))).drop("_hot")
-    known = right.withColumn("_hot", F.col(weight) * parts > total) if weight else marked(right)
-    pieces = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    piece = F.pmod(F.xxhash64(*spread_by), F.col("_pieces").cast("long")).cast("int")
+    salted_left = marked(left).withColumn("_salt", F.coalesce(piece, F.lit(0))).drop("_pieces")
+    known = right.withColumn("_pieces", pieces_of(F.col(weight))) if weight else marked(right)
+    every = F.sequence(F.lit(0), F.coalesce(F.col("_pieces"), F.lit(1)) - 1)
     extra = [c for c in right.columns if c not in on and c != weight]
-    salted_right = known.select(*[F.col(c).alias(f"_r_{c}") for c in on], *extra, F.explode(pieces).alias("_r_salt"))
+    salted_right = known.select(*[F.col(c).alias(f"_r_{c}") for c in on], *extra, F.explode(every).alias("_r_salt"))
     pairs = [(c, f"_r_{c}") for c in on]
     keys = same(pairs) if null_safe else reduce(lambda a, b: a & b, [F.col(x) == F.col(y) for x, y in pairs])
     joined = salted_left.join(salted_right, keys & (F.col("_salt") == F.col("_r_salt")), how)

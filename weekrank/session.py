@@ -44,6 +44,11 @@ def _set_by_user(spark: SparkSession, key: str) -> bool:
     return spark.conf.get(key, None) is not None and not ours
 
 
+def shuffle_width(spark: SparkSession) -> int:
+    """Partitions a shuffle starts with."""
+    return int(spark.conf.get(INITIAL_PARTITIONS, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of a plan (no job is run); None where it cannot be read."""
     try:

@@ -30,6 +30,15 @@ def _stored(spark: SparkSession, path: str, before: int | None = None) -> DataFr
     return table if before is None else table.filter(F.col(BATCH) < before)
 
 
+def _last_batch(spark: SparkSession, path: str, before: int) -> int | None:
+    """Highest stored batch number below `before`, from the folder names (empty batches have no folder)."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    entries = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
+    names = [entry.getPath().getName() for entry in entries]
+    numbers = [int(name.split("=")[1]) for name in names if name.startswith(f"{BATCH}=")]
+    return max((n for n in numbers if n < before), default=None)
+
+
 def _append(df: DataFrame, path: str, batch: int) -> None:
     df.withColumn(BATCH, F.lit(batch).cast("long")).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(path)
@@ -43,9 +52,16 @@ def new_rows(incoming: DataFrame, stored: DataFrame | None, ts: str = "date", un
 
 def append_new_rows(incoming: DataFrame, path: str, batch: int, order: Sequence[str], ts: str = "date",
                     number: str = "scrobble_number", until=None) -> None:
-    """Append the rows after the high-water mark, numbered on from the highest stored number."""
-    stored = _stored(incoming.sparkSession, path, batch)
-    start = 0 if stored is None else profile.high_water_mark(stored, ts, number).first()["last_number"]
+    """Append the rows after the high-water mark, numbered on from the highest stored number.
+
+    Every batch lies after the one before it, so the mark is in the last stored batch: only that
+    partition is read, not the whole table.
+    """
+    spark = incoming.sparkSession
+    stored, start = _stored(spark, path, batch), 0
+    if stored is not None:
+        stored = stored.filter(F.col(BATCH) == _last_batch(spark, path, batch))
+        start = profile.high_water_mark(stored, ts, number).first()["last_number"]
     fresh = new_rows(incoming, stored, ts, until)
     _append(ordered.running_number(fresh, order, number, start), path, batch)
 
