@@ -56,6 +56,22 @@ def test_labels_differing_in_case_count_once(spark, rows):
     assert rows(out, "scrobble_number", "is_week_favorite", "artist_key") == [(1, 1, "a"), (2, 1, "a"), (3, 0, None)]
 
 
+def test_large_label_tables_give_the_same_result(spark, rows):
+    plays = spark.createDataFrame([(i, f"A{i % 4}", "T", f"2021-01-{2 + i % 20:02d} 10:00:00") for i in range(80)],
+                                  "scrobble_number long, artist_name string, track_name string, date string")
+    labels = spark.createDataFrame([("a1", "t", "2021-01-09", 1), ("a2", "T", "2021-01-16", 1)],
+                                   "artist_name string, track_name string, week_saturday_utc string, is_week_favorite int").withColumn(
+        "week_saturday_utc", F.col("week_saturday_utc").cast("date"))
+    columns = ["scrobble_number", "is_week_favorite", "artist_key"]
+    small = rows(unify(plays, favorites=labels), *columns)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = rows(unify(plays, favorites=labels), *columns)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert small == large and sum(r[1] for r in small) > 0
+
+
 def test_unify_sources(spark):
     plays = spark.createDataFrame([(i, f"Ar{i % 3}", f"T{i % 5}", None if i % 4 else "AL", f"m{i % 3}", "2021-01-05 00:00:00") for i in range(60)],
                                   "scrobble_number long, artist_name string, track_name string, album_name string, artist_mbid string, date string")

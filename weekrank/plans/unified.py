@@ -50,8 +50,9 @@ def unify(events: DataFrame, *, artists: DataFrame | None = None, tracks: DataFr
     out = joins.spread_join(anchored, wide, names, spread_by=event_id, counts=combos.select(*names, "n"), weight="n",
                             null_safe=True)
     if favorites is not None:
-        keyed = joins.by_distinct(favorites, list(schemas.ENTITY), joins.with_keys)
-        # Labels are few. Should they outgrow a broadcast, the week of a name is counted on the events.
+        # Stored, so that their size is known. Labels are few; should they outgrow a broadcast, the weeks
+        # of each name are counted on the events.
+        keyed = session.cut(joins.by_distinct(favorites, list(schemas.ENTITY), joins.with_keys))
         key = ["artist_key", "track_key", schemas.WEEK]
         counts = None
         if not session.fits_broadcast(keyed):
