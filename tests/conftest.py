@@ -13,6 +13,8 @@ def spark(tmp_path_factory):
     session = (SparkSession.builder.master("local[8]").appName("tests")
                .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
+               # Tiny inputs: compiling generated code would take most of the time. tests/compare.py runs with it on.
+               .config("spark.sql.codegen.wholeStage", "false")
                .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
                .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint"))).getOrCreate())
     session.sparkContext.setLogLevel("ERROR")

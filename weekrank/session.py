@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 import uuid
 
@@ -91,7 +93,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return named
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="weekrank-checkpoint-"))
+    local = tempfile.mkdtemp(prefix="weekrank-checkpoint-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
+    context.setCheckpointDir(local)
     return context.getCheckpointDir()
 
 
