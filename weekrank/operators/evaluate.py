@@ -19,17 +19,13 @@ def _safe(a: Column, b: Column) -> Column:
 def score_curve(df: DataFrame, score: str = "probability", label: str = schemas.LABEL) -> DataFrame:
     """True and false positives at every distinct threshold (score >= threshold).
 
-    Columns: threshold, pos and neg at the score, tp and fp from the top down to it.
+    Columns: threshold, pos and neg at the score, tp and fp from the top down to it, P and N overall.
     """
     y = F.col(label)
     by_score = df.groupBy(F.col(score).alias("threshold")).agg(
         F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
     totals = ordered.running_totals(by_score, "threshold", ["pos", "neg"], descending=True)
-    return totals.withColumnsRenamed({"pos_through": "tp", "neg_through": "fp"})
-
-
-def _with_totals(curve: DataFrame) -> DataFrame:
-    return curve.withColumns({"P": curve.agg(F.sum("pos")).scalar(), "N": curve.agg(F.sum("neg")).scalar()})
+    return totals.withColumnsRenamed({"pos_through": "tp", "neg_through": "fp", "pos_total": "P", "neg_total": "N"})
 
 
 def area_metrics(df: DataFrame, score: str = "probability", label: str = schemas.LABEL,
@@ -48,15 +44,15 @@ def area_metrics(df: DataFrame, score: str = "probability", label: str = schemas
 def roc_points(df: DataFrame, score: str = "probability", label: str = schemas.LABEL,
                curve: DataFrame | None = None) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score; the origin is implied."""
-    totals = _with_totals(score_curve(df, score, label) if curve is None else curve)
-    return totals.select("threshold", F.try_divide("fp", "N").alias("fpr"), F.try_divide("tp", "P").alias("tpr"))
+    curve = score_curve(df, score, label) if curve is None else curve
+    return curve.select("threshold", F.try_divide("fp", "N").alias("fpr"), F.try_divide("tp", "P").alias("tpr"))
 
 
 def threshold_table(df: DataFrame, score: str = "probability", label: str = schemas.LABEL,
                     curve: DataFrame | None = None) -> DataFrame:
     """Precision, recall and F1 at every distinct threshold."""
-    totals = _with_totals(score_curve(df, score, label) if curve is None else curve)
-    return totals.select(
+    curve = score_curve(df, score, label) if curve is None else curve
+    return curve.select(
         "threshold", _safe(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
         _safe(F.col("tp"), F.col("P")).alias("recall"),
         _safe(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("P")).alias("f1"))

@@ -20,7 +20,8 @@ from weekrank import session
 
 def running_totals(df: DataFrame, order: Column | str, sums: Sequence[str], group: Sequence[str] = (),
                    descending: bool = False) -> DataFrame:
-    """Add `<c>_through`, the running total of each column of `sums` up to and including the row.
+    """Add `<c>_through`, the running total of each column of `sums` up to and including the row, and
+    `<c>_total`, the total of the group.
 
     `df` has one row per (group, order): aggregate first, so that a hot value is a single row.
     """
@@ -31,8 +32,10 @@ def running_totals(df: DataFrame, order: Column | str, sums: Sequence[str], grou
                          .withColumn("_part", F.spark_partition_id()))
     parts = placed.groupBy(*group, "_part").agg(*[F.sum(c).alias(f"_in_{c}") for c in sums])
     before = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = parts.select(*group, "_part", *[F.coalesce(F.sum(f"_in_{c}").over(before), F.lit(0)).alias(f"_off_{c}")
-                                              for c in sums])
+    whole = W.partitionBy(*group)
+    offsets = parts.select(
+        *group, "_part", *[F.coalesce(F.sum(f"_in_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in sums],
+        *[F.sum(f"_in_{c}").over(whole).alias(f"{c}_total") for c in sums])
     so_far = W.partitionBy(*group, "_part").orderBy(key).rowsBetween(W.unboundedPreceding, 0)
     local = placed.withColumns({f"{c}_through": F.sum(c).over(so_far) for c in sums})
     # One row per partition (and per group inside it): bounded by the shuffle width.
@@ -71,21 +74,17 @@ def quantiles(df: DataFrame, columns: Sequence[str], fractions: dict[str, float]
     of a column in one task.
     """
     spread = running_totals(value_counts_long(df, columns), "value", ["n"], ["column"])
-    size = F.max("n_through")
 
     def at(row: Column) -> Column:
         return F.min(F.when(F.col("n_through") > row, F.col("value")))
 
-    # One size per profiled column.
-    sizes = F.broadcast(spread.groupBy("column").agg(size.alias("_size")))
-    placed = spread.join(sizes, "column")
     aggregates = []
     for name, fraction in fractions.items():
-        place = (F.col("_size") - 1) * F.lit(float(fraction))
+        place = (F.col("n_total") - 1) * F.lit(float(fraction))
         low, high = at(F.floor(place)), at(F.ceil(place))
         share = F.max(place - F.floor(place))
         aggregates.append((low + (high - low) * share).alias(name))
-    return placed.groupBy("column").agg(*aggregates)
+    return spread.groupBy("column").agg(*aggregates)
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:

@@ -88,7 +88,7 @@ def _scored(spark: SparkSession, folder: str) -> DataFrame:
 
 def score_curve(spark: SparkSession, folder: str) -> DataFrame:
     """Positives and negatives at and above every distinct score."""
-    return report(evaluate.score_curve(_scored(spark, folder)))
+    return report(evaluate.score_curve(_scored(spark, folder)).drop("P", "N"))
 
 
 QUERIES["score_curve"] = score_curve
