@@ -1,14 +1,12 @@
 import json
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weekrank import schemas
 from weekrank.sources import landed
 from weekrank.streaming import ingest
 
-LANDED = "artist_name string, track_name string, date string"
-
-
 def land(folder, name, records):
     folder.mkdir(exist_ok=True)
     (folder / name).write_text("\n".join(json.dumps(r) for r in records))
@@ -29,9 +27,7 @@ def test_stream_appends_once_and_a_repeated_batch_changes_nothing(spark, tmp_pat
     def lookup(batch, number):
         ingest.append_unseen(batch, known, number, ["artist_name"], lambda d: d.withColumn("found", F.upper("artist_name")))
 
-    from pyspark.sql.types import _parse_datatype_string
-
-    schema = _parse_datatype_string(LANDED)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("artist_name", "track_name", "date")])
 
     def run():
         ingest.each_batch(ingest.watch(spark, str(folder), schema), state, store, lookup).start().awaitTermination()

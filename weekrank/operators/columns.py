@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -168,8 +169,6 @@ def with_week_timestamp(df: DataFrame, typed: str = schemas.WEEK_TS, named: str
 
 def label_start(value: str | None = schemas.LABEL_START) -> str:
     """The configured first label week, or the default when it is no date."""
-    import datetime
-
     try:
         return datetime.date.fromisoformat(str(value)[:10]).isoformat()
     except ValueError:

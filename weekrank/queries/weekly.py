@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weekrank import schemas, session
 from weekrank.functions import dates
-from weekrank.operators import columns, features, weekly
+from weekrank.operators import columns, features, joins, weekly
 from weekrank.plans import weekly_table as plans
 from weekrank.queries.common import (
     CUSTOMER, EVENT_ENTITY, EVENTS_CTE, ORDERS_CTE, SEGMENT, WEEKLY_COLUMNS, order_events, order_weekly, r, report,
@@ -71,8 +71,6 @@ WHERE rn = 1"""
 def weekly_given_week(spark: SparkSession, folder: str) -> DataFrame:
     """Weekly base with a week that does not come from the event time: the week of the order's shipping."""
     lineitem, part = tables(spark, folder, "lineitem", "part")
-    from weekrank.operators import joins
-
     events = joins.lookup(lineitem.withColumnRenamed("l_partkey", "p_partkey"), part.select("p_partkey", "p_brand"),
                           ["p_partkey"], spread_by=["l_orderkey", "l_linenumber"])
     shifted = events.withColumn(schemas.WEEK, F.date_add(dates.week_ending_saturday(F.col("l_shipdate")),
