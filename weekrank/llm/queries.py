@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekrank.llm import common, decontaminate
+from weekrank.llm import common, decontaminate, url_filters
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -28,3 +28,26 @@ def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                         hex_of(F.concat_ws(",", "items")).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+# The rules every page is judged by.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+@query
+def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path, longest fitting rule and verdict of every page."""
+    pages = common.table(spark, folder, "pages").select("page_id", "url")
+    return url_filters.judge(pages, url_filters.rule_table(spark, URL_RULES)).drop("url")
+
+
+_FITS = "(host = {h!r} OR ends_with(host, {dot!r})) AND starts_with(path, {p!r})"
+_LONGEST = sorted(((r[:r.index("/")], r[r.index("/"):], r, v) for r, v in URL_RULES), key=lambda x: -len(x[2]))
+SQL["op1_url_filters"] = (
+    "WITH rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages), "
+    "parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    "'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest) "
+    "SELECT page_id, host, path, CASE "
+    + " ".join(f"WHEN {_FITS.format(h=h, dot='.' + h, p=p)} THEN '{r}'" for h, p, r, _ in _LONGEST) + " END AS rule, CASE "
+    + " ".join(f"WHEN {_FITS.format(h=h, dot='.' + h, p=p)} THEN '{v}'" for h, p, _, v in _LONGEST)
+    + " ELSE 'allow' END AS verdict FROM parts")
