@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekrank.llm import common, decontaminate, url_filters
+from weekrank.llm import common, decontaminate, quality, url_filters
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -51,3 +51,12 @@ SQL["op1_url_filters"] = (
     + " ".join(f"WHEN {_FITS.format(h=h, dot='.' + h, p=p)} THEN '{r}'" for h, p, r, _ in _LONGEST) + " END AS rule, CASE "
     + " ".join(f"WHEN {_FITS.format(h=h, dot='.' + h, p=p)} THEN '{v}'" for h, p, _, v in _LONGEST)
     + " ELSE 'allow' END AS verdict FROM parts")
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Probability of good quality of every document, learned outside the held-out fold."""
+    docs, labels = common.table(spark, folder, "documents"), common.table(spark, folder, "labels")
+    scored = quality.score(docs.select("doc_id", "text"), quality.train(docs, labels))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score",
+                         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
