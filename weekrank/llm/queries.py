@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekrank.llm import common, decontaminate, quality, url_filters
+from weekrank.llm import common, decontaminate, phrase_dedup, quality, suffix_dedup, url_filters
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -60,3 +60,17 @@ def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     scored = quality.score(docs.select("doc_id", "text"), quality.train(docs, labels))
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score",
                          (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document that repeat a 100-byte string from earlier in the corpus."""
+    found = suffix_dedup.dedup(common.table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", hex_of(F.col("kept")).alias("kept_sha256"))
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that stand in a 50-word window of an earlier document."""
+    found = phrase_dedup.dedup(common.table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", hex_of(F.col("kept")).alias("kept_sha256"))
