@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekrank.llm import common, decontaminate, phrase_dedup, quality, suffix_dedup, url_filters
+from weekrank.llm import bpe, common, decontaminate, phrase_dedup, quality, suffix_dedup, url_filters
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -74,3 +75,14 @@ def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that stand in a 50-word window of an earlier document."""
     found = phrase_dedup.dedup(common.table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", hex_of(F.col("kept")).alias("kept_sha256"))
+
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op3_bpe_encode_decode(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every whole document, and the text they decode to."""
+    found = bpe.decode(bpe.encode(common.table(spark, folder, "documents"), WORD_BPE), bpe.pieces(spark, WORD_BPE))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        hex_of(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), hex_of(F.col("decoded")).alias("decoded_sha256"))

@@ -120,7 +120,8 @@ def find(store: DataFrame, units: Units, resolve, by_start: bool) -> common.Stor
     rows = found.df.drop("content", "h").join(owner, ["k1", "k2"])
     later = rows.filter(~own).select("shard", "row", F.col("start").alias("first"), (F.col("start") + F.col("windows") - 1).alias("last"))
     first = rows.filter(own).join(partly, ["k1", "k2"]).select(
-        "shard", "row", (F.col("start") + F.explode("earlier")).alias("first")).withColumn("last", F.col("first"))
+        "shard", "row", "start", F.explode("earlier").alias("offset")).select(
+        "shard", "row", (F.col("start") + F.col("offset")).alias("first"), (F.col("start") + F.col("offset")).alias("last"))
     out = common.stored(later.unionByName(first))
     owners.drop()
     found.drop()
