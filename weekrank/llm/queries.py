@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekrank.llm import bpe, common, decontaminate, phrase_dedup, quality, suffix_dedup, url_filters
+from weekrank.llm import bpe, common, decontaminate, minhash, phrase_dedup, quality, suffix_dedup, url_filters
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -86,3 +86,9 @@ def op3_bpe_encode_decode(spark: SparkSession, folder: str) -> DataFrame:
     found = bpe.decode(bpe.encode(common.table(spark, folder, "documents"), WORD_BPE), bpe.pieces(spark, WORD_BPE))
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         hex_of(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), hex_of(F.col("decoded")).alias("decoded_sha256"))
+
+
+@query
+def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Group of near-duplicates (five-word shingles, similarity from 0.8) of every document."""
+    return minhash.groups(common.table(spark, folder, "documents")).select("doc_id", "class_id")
