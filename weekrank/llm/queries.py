@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekrank.llm import bpe, common, decontaminate, minhash, phrase_dedup, quality, suffix_dedup, url_filters
+from weekrank.llm import bpe, common, decontaminate, licenses, minhash, phrase_dedup, quality, suffix_dedup, url_filters
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -92,3 +92,10 @@ def op3_bpe_encode_decode(spark: SparkSession, folder: str) -> DataFrame:
 def op5_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Group of near-duplicates (five-word shingles, similarity from 0.8) of every document."""
     return minhash.groups(common.table(spark, folder, "documents")).select("doc_id", "class_id")
+
+
+@query
+def op8_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """Places of the base phrases and labels of all signature rules in every whole document."""
+    found = licenses.scan(common.table(spark, folder, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
