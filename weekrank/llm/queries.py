@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekrank.llm import bpe, common, decontaminate, licenses, minhash, phrase_dedup, quality, suffix_dedup, url_filters
+from weekrank.llm import bpe, common, decontaminate, licenses, maxent, minhash, phrase_dedup, quality, suffix_dedup, url_filters
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -99,3 +99,10 @@ def op8_license_scans(spark: SparkSession, folder: str) -> DataFrame:
     """Places of the base phrases and labels of all signature rules in every whole document."""
     found = licenses.scan(common.table(spark, folder, "documents"))
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
+@query
+def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Log10 probability of every whole document, learned outside the held-out fold."""
+    found = maxent.score(common.table(spark, folder, "documents"), ~maxent.held_out())
+    return found.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
