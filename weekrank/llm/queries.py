@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekrank.llm import bpe, common, decontaminate, licenses, maxent, minhash, phrase_dedup, quality, suffix_dedup, url_filters
+from weekrank.llm import bpe, common, decontaminate, graph, licenses, maxent, minhash, phrase_dedup, quality, suffix_dedup, url_filters
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -106,3 +106,10 @@ def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     """Log10 probability of every whole document, learned outside the held-out fold."""
     found = maxent.score(common.table(spark, folder, "documents"), ~maxent.held_out())
     return found.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op2_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors, by inner product, of every vector whose id is divisible by 20."""
+    vectors = graph.usable(common.table(spark, folder, "embeddings"))
+    return graph.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
