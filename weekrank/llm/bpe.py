@@ -82,7 +82,7 @@ def encoder(path: str) -> WordEncoder:
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and the ids of the whole text, for every row of `docs`."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    store = shards.stored(docs.select("doc_id", "text"), 2 * shards.BYTES)
+    store = shards.stored(docs.select("doc_id", "text"), 4 * shards.BYTES)
 
     def split(shard, table):
         slots: dict[str, int] = {}

@@ -69,7 +69,8 @@ def find(store: DataFrame, units: Units, resolve, by_start: bool) -> common.Stor
 
     seen = common.stored(shards.each(store, grams_of, "h long, n int, shard long"))
     again = seen.df.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
-    known = seen.df.select("h", "shard").join(again, "h")
+    known = common.stored(seen.df.select("h", "shard").join(again, "h"))
+    seen.drop()
 
     def stretches_of(table: pa.Table, rows: pa.Table) -> pa.Table:
         values, at, data, starts, ends = units.read(table)
@@ -78,30 +79,29 @@ def find(store: DataFrame, units: Units, resolve, by_start: bool) -> common.Stor
         first, last, h = first[keep], last[keep], h[keep]
         row = np.searchsorted(at, first, "right") - 1
         stop = last + units.window
-        k1 = words.window_hashes(values, first, stop, words.BASE)
-        k2 = words.window_hashes(values, first, stop, words.GRAM)
+        k = words.window_hashes(values, first, stop, words.BASE)  # with the gram's hash: 128 bits
         place = first - at[row]
         doc = ids_of(table)[row]
         # The bytes go along once per shard, with the earliest place.
-        by = np.lexsort((place, doc, k2, k1))
+        by = np.lexsort((place, doc, k, h))
         head = np.ones(len(by), bool)
-        head[1:] = (k1[by][1:] != k1[by][:-1]) | (k2[by][1:] != k2[by][:-1])
-        lead = np.zeros(len(by), bool)
-        lead[by] = head
+        head[1:] = (k[by][1:] != k[by][:-1]) | (h[by][1:] != h[by][:-1])
+        lead = by[head]
         low, high = (first, stop) if starts is None else (starts[first], ends[stop - 1])
-        content = [data[a:b].tobytes() if x else None for a, b, x in zip(low.tolist(), high.tolist(), lead.tolist())]
+        content = [data[a:b].tobytes() for a, b in zip(low[lead].tolist(), high[lead].tolist())]
+        n, m = len(h), len(lead)
         shard = rows.column("shard")[0].as_py() if rows.num_rows else 0
-        return pa.table({"k1": k1.view(np.int64), "k2": k2.view(np.int64), "h": h.view(np.int64), "doc": doc, "start": place,
-                         "windows": (last - first + 1).astype(np.int32), "shard": np.full(len(h), shard, np.int64), "row": row.astype(np.int32),
-                         "content": pa.array(content, pa.binary())})
-
-    found = common.stored(shards.each_with(store, known, stretches_of,
-                                           "k1 long, k2 long, h long, doc long, start long, windows int, shard long, row int, content binary"))
-    seen.drop()
-    key = F.struct("doc", "start")
-    owners = common.stored(found.df.groupBy("k1", "k2", "h").agg(
-        F.min(key).alias("own"), F.min(F.when(F.col("content").isNotNull(), F.struct("doc", "start", "content"))).alias("lead")).select(
-        "k1", "k2", "h", F.col("own.doc").alias("own_doc"), F.col("own.start").alias("own_start"), F.col("lead.content").alias("content")))
+        every = np.concatenate([np.arange(n), lead])
+        return pa.table({"h": h[every].view(np.int64), "k": k[every].view(np.int64), "doc": doc[every], "start": place[every],
+                         "windows": (last - first + 1).astype(np.int32)[every], "shard": np.full(n + m, shard, np.int64), "row": row.astype(np.int32)[every],
+                         "content": pa.array([None] * n + content, pa.binary()), "lead": pa.array(np.arange(n + m) >= n)})
+
+    found = common.stored(shards.each_with(store, known.df, stretches_of, "h long, k long, doc long, start long, windows int, shard long, row int, "
+                                           "content binary, lead boolean"), "lead")
+    known.drop()
+    leads = found.df.filter("lead").groupBy("h", "k").agg(F.min(F.struct("doc", "start", "content")).alias("own"))
+    owners = common.stored(leads.select("h", "k", F.col("own.doc").alias("own_doc"), F.col("own.start").alias("own_start"), F.col("own.content").alias("content")))
+    found.drop("lead=true")
     several = owners.df.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     groups = max(1, math.ceil(owners.df.count() / GROUP_STRETCHES))
 
@@ -109,20 +109,20 @@ def find(store: DataFrame, units: Units, resolve, by_start: bool) -> common.Stor
         table = table.combine_chunks()
         contents = table.column("content").to_pylist()
         ranges = resolve(contents, table.column("own_doc").to_numpy(), table.column("own_start").to_numpy(), table.column("h").to_numpy())
-        return pa.table({"k1": table.column("k1"), "k2": table.column("k2"), "earlier": pa.array(ranges, pa.list_(pa.int32()))})
+        return pa.table({"h": table.column("h"), "k": table.column("k"), "earlier": pa.array(ranges, pa.list_(pa.int32()))})
 
-    partly = owners.df.join(several, "h").groupBy(F.pmod("h", F.lit(groups)).alias("g")).applyInArrow(
-        resolved, "k1 long, k2 long, earlier array<int>").filter(F.size("earlier") > 0)
-    owner = owners.df.select("k1", "k2", "own_doc", "own_start")
+    partly = common.stored(owners.df.join(several, "h").groupBy(F.pmod("h", F.lit(groups)).alias("g")).applyInArrow(
+        resolved, "h long, k long, earlier array<int>").filter(F.size("earlier") > 0))
     own = F.col("doc") == F.col("own_doc")
     if by_start:
         own = own & (F.col("start") == F.col("own_start"))
-    rows = found.df.drop("content", "h").join(owner, ["k1", "k2"])
-    later = rows.filter(~own).select("shard", "row", F.col("start").alias("first"), (F.col("start") + F.col("windows") - 1).alias("last"))
-    first = rows.filter(own).join(partly, ["k1", "k2"]).select(
-        "shard", "row", "start", F.explode("earlier").alias("offset")).select(
-        "shard", "row", (F.col("start") + F.col("offset")).alias("first"), (F.col("start") + F.col("offset")).alias("last"))
-    out = common.stored(later.unionByName(first))
+    owner = owners.df.select("h", "k", "own_doc", "own_start").join(partly.df, ["h", "k"], "left")
+    rows = found.df.filter("NOT lead").drop("content", "lead").join(owner, ["h", "k"])
+    start = F.col("start")
+    ranges = F.when(own, F.transform("earlier", lambda o: F.struct((start + o).alias("first"), (start + o).alias("last")))).otherwise(
+        F.array(F.struct(start.alias("first"), (start + F.col("windows") - 1).alias("last"))))
+    out = common.stored(rows.select("shard", "row", F.explode(ranges).alias("r")).select("shard", "row", "r.first", "r.last"))
+    partly.drop()
     owners.drop()
     found.drop()
     return out

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from weekrank.llm import common
 
-BYTES = 4 * 1024 * 1024  # text bytes of a shard; a longer text is a shard of its own
+BYTES = 2 * 1024 * 1024  # text bytes of a shard; a longer text is a shard of its own
 
 
 def pack(table: pa.Table) -> bytes:
