@@ -22,6 +22,7 @@ from tokenizers import Tokenizer
 
 from weekrank.llm import common, shards
 
+SHARD_BYTES = 12 * 1024 * 1024  # text bytes whose distinct words are listed together
 MOST_PIECES = 1_000_000  # largest vocabulary that decode() takes into the tasks
 
 
@@ -82,7 +83,7 @@ def encoder(path: str) -> WordEncoder:
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and the ids of the whole text, for every row of `docs`."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    store = shards.stored(docs.select("doc_id", "text"), 4 * shards.BYTES)
+    store = shards.stored(docs.select("doc_id", "text"), SHARD_BYTES)
 
     def split(shard, table):
         slots: dict[str, int] = {}
@@ -94,21 +95,28 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         slot = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         sequence = shards.pack(pa.table({"doc_id": table.column("doc_id"), "slots": common.grouped(slot, np.concatenate([[0], np.cumsum(counts)]), pa.int32())}))
         n = len(slots)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n + 1, shard)), pa.array([-1, *range(n)], pa.int32()),
-                                          pa.array([None, *slots], pa.string()), pa.array([sequence] + [None] * n, pa.binary())],
-                                         ["shard", "slot", "word", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n + 1, shard)), pa.array([-1, *range(n)], pa.int32()), pa.array([None, *slots], pa.string()),
+                                          pa.array([sequence] + [None] * n, pa.binary()), pa.array([False] + [True] * n)],
+                                         ["shard", "slot", "word", "blob", "listed"])
 
-    cut = common.stored(shards.each(store.df, split, "shard long, slot int, word string, blob binary"))
+    cut = common.stored(shards.each(store.df, split, "shard long, slot int, word string, blob binary, listed boolean"), "listed")
     store.drop()
-    words = cut.df.filter("word IS NOT NULL").select("shard", "slot", "word")
+    # All rows of a word come one after the other in one task, which encodes it once.
+    words = cut.df.filter("listed").select("word", "shard", "slot").repartition("word").sortWithinPartitions("word")
 
     def once(batches):
+        last, known = None, None
         for batch in batches:
-            ids = encoder(path).ids(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            word = batch.column(0)
+            coded = word.dictionary_encode()
+            new = coded.dictionary.to_pylist()
+            ids = encoder(path).ids(new[1:] if new[:1] == [last] else new)
+            ids = [known, *ids] if new[:1] == [last] else ids
+            last, known = new[-1:][0] if new else last, ids[-1] if ids else known
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(ids, pa.list_(pa.int32())).take(coded.indices)], ["shard", "slot", "ids"])
 
-    table = words.select("word").distinct().mapInArrow(once, "word string, ids array<int>")
-    back = words.join(table, "word").select("shard", "slot", "ids")
+    back = common.stored(words.mapInArrow(once, "shard long, slot int, ids array<int>"))
+    cut.drop("listed=true")
 
     def place(found: pa.Table, rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks().sort_by("slot").combine_chunks()
@@ -122,7 +130,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         bounds = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
         return pa.table({"doc_id": found.column("doc_id"), "ids": common.grouped(values[at] if len(at) else at, ends[bounds], pa.int32())})
 
-    return shards.each_with(cut.df.filter("word IS NULL").select("shard", "blob"), back, place, f"doc_id {kind}, ids array<int>")
+    return shards.each_with(cut.df.filter("NOT listed").select("shard", "blob"), back.df, place, f"doc_id {kind}, ids array<int>")
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
