@@ -122,3 +122,16 @@ def test_upsert_is_idempotent(spark, rows, tmp_path):
         merge.upsert_partitions(newer, path, ["k", "w"], ["at"], "w", exists=True)
         assert rows(spark.read.schema(new.schema).parquet(path), "k", "w", "at") == [("a", "w1", 5), ("b", "w2", 1), ("c", "w3", 1)]
     assert schemas.LABEL == "is_week_favorite"
+
+
+def test_lookup_keeps_the_column_order_for_any_size(spark):
+    left = spark.createDataFrame([("x", 1, "a")], "v string, k int, w string")
+    right = spark.createDataFrame([(1, "m")], "k int, more string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    found = {}
+    for limit in ("10485760", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        df = joins.lookup(left, right, ["k"], spread_by=["v"])
+        found[limit] = (df.columns, df.collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found["-1"] == found["10485760"] and found["-1"][0] == ["v", "k", "w", "more"]

@@ -61,3 +61,8 @@ def test_nested(spark):
     assert [r[0] for r in tags.select(nested.top_by_count(F.col("t"))).collect()] == ["b", None, None]
     images = spark.createDataFrame([([("s", "x"), ("l", "y")],), ([("l", "")],)], "t array<struct<size:string,`#text`:string>>")
     assert [r[0] for r in images.select(nested.text_of(F.col("t"), "size", "l")).collect()] == ["y", None]
+
+
+def test_credit_cut_after_a_no_break_space(spark):
+    df = spark.createDataFrame([("Ann feat. Bob",), ("Ann [live]",)], "c string")
+    assert [r[0] for r in df.select(text.clean_credit(F.col("c"))).collect()] == ["Ann", "Ann"]

@@ -9,7 +9,7 @@ from weekrank.functions.text import trim_all
 
 DISPLAY_FORMAT = "dd MMM yyyy, HH:mm"
 _DAY = r"^\d{4}-\d{2}-\d{2}$"
-_DAY_TIME = r"^\d{4}-\d{2}-\d{2}\s\d{2}:\d{2}:\d{2}$"
+_DAY_TIME = r"^\d{4}-\d{2}-\d{2}(?U:\s)\d{2}:\d{2}:\d{2}$"
 _MONTH = r"^\d{4}-\d{2}$"
 _YEAR = r"^\d{4}$"
 DATE_PATTERNS = {"yyyy_only": _YEAR, "yyyy_mm": _MONTH, "yyyy_mm_dd": _DAY, "datetime": _DAY_TIME}

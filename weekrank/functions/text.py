@@ -47,8 +47,8 @@ def canonical_key(c: Column) -> Column:
 
 
 def clean_credit(c: Column) -> Column:
-    """Cut an artist credit at the first rule that matches, in rule order."""
-    cuts = [F.when(c.rlike(cut), trim_all(F.regexp_replace(c, rf"(?s){cut}.*$", ""))) for cut in schemas.CREDIT_CUTS]
+    """Cut an artist credit at the first rule that matches, in rule order; any Unicode blank counts as one."""
+    cuts = [F.when(c.rlike(f"(?U){cut}"), trim_all(F.regexp_replace(c, rf"(?sU){cut}.*$", ""))) for cut in schemas.CREDIT_CUTS]
     return F.coalesce(*cuts, trim_all(c))
 
 

@@ -84,11 +84,12 @@ def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], *, spread_by: S
     """Left join to a side with at most one row per key; the row count of `left` stays.
 
     A side whose files are below the broadcast limit is left to Catalyst, which broadcasts it; a
-    larger one goes through `spread_join`.
+    larger one goes through `spread_join`. Either way the left columns come first, in their order.
     """
-    if session.fits_broadcast(right):
-        return left.join(right, list(on), "left")
-    return spread_join(left, right, on, spread_by=spread_by, counts=counts)
+    names = [*left.columns, *[c for c in right.columns if c not in on]]
+    joined = (left.join(right, list(on), "left") if session.fits_broadcast(right)
+              else spread_join(left, right, on, spread_by=spread_by, counts=counts))
+    return joined.select(*[F.col(f"`{c}`") for c in names])
 
 
 def by_distinct(df: DataFrame, columns: Sequence[str], derive: Callable[[DataFrame], DataFrame],

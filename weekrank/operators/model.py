@@ -53,11 +53,12 @@ def fit_logistic(df: DataFrame, features: Sequence[str], label: str = schemas.LA
 
 
 def fit_trees(df: DataFrame, features: Sequence[str], label: str = schemas.LABEL, seed: int = 42,
-              **settings) -> PipelineModel:
-    """Boosted trees with positives weighted by negatives / positives."""
+              weight: float | None = None, **settings) -> PipelineModel:
+    """Boosted trees with positives weighted by negatives / positives, or by `weight` (that of an earlier fit)."""
     settings = dict(settings)
     balance = df.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q")).first()
-    weight = balance["q"] / balance["p"] if balance["p"] else 1.0
+    if weight is None:
+        weight = balance["q"] / balance["p"] if balance["p"] else 1.0
     rows = balance["p"] + balance["q"]
     leaf = settings.pop("minChildWeight", None)
     if leaf is not None:
@@ -100,10 +101,10 @@ def model_summary(name: str, scored: DataFrame, threshold: float, k: int = 3, la
 
 def sweep_logistic(train: DataFrame, validation: DataFrame, features: Sequence[str], label: str = schemas.LABEL,
                    grid: Sequence[float] = C_GRID) -> DataFrame:
-    """Validation metrics per regularisation strength."""
+    """Validation metrics per regularisation strength, best average precision first."""
     n = train.count()
     fits = {str(c): fit_logistic(train, features, label, c=c, rows=n) for c in grid}
-    return compare(fits, validation, label).withColumn("C", F.col("model").cast("double")).drop("model")
+    return compare(fits, validation, label).withColumn("C", F.col("model").cast("double")).drop("model").orderBy(F.desc("pr_auc"), "C")
 
 
 def sweep_trees(train: DataFrame, validation: DataFrame, features: Sequence[str], grid: dict[str, Sequence],

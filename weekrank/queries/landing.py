@@ -126,12 +126,12 @@ SELECT p_brand AS artist_name, p_name AS track_name, 't' || p_partkey AS spotify
 
 
 def _playlist(events: DataFrame) -> DataFrame:
-    """Large events as playlist pages, one pick to a page; errors have no track."""
+    """Events as playlist pages, one pick to a page; errors have no track."""
     track: Column = F.struct(F.concat(F.lit("t"), F.col("event_id")).alias("id"), F.col("event_type").alias("name"),
                              F.array(F.struct(F.concat(F.lit("user "), F.col("user_id")).alias("name"))).alias("artists"))
     item = F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("added_at"),
                     F.when(F.col("event_type") != "error", track).alias("track"))
-    return events.filter("value > 50").select(F.to_json(F.struct(F.array(item).alias("items"))).alias("payload"))
+    return events.select(F.to_json(F.struct(F.array(item).alias("items"))).alias("payload"))
 
 
 def landed_favorites(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,7 +146,7 @@ QUERIES["landed_favorites"] = landed_favorites
 SQL["landed_favorites"] = f"""
 SELECT 'user ' || user_id AS artist_name, CASE event_type WHEN 'view' THEN 'viewed' ELSE event_type END AS track_name,
   't' || event_id AS spotify_track_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS added_at_utc, CAST({_NEAREST} AS VARCHAR) AS week_saturday_utc,
-  CAST(1 AS BIGINT) AS is_week_favorite FROM events WHERE value > 50 AND event_type <> 'error'"""
+  CAST(1 AS BIGINT) AS is_week_favorite FROM events WHERE event_type <> 'error'"""
 
 
 def landed_profile(spark: SparkSession, folder: str) -> DataFrame:
@@ -229,7 +229,7 @@ def stream_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES["stream_labels"] = stream_labels
 SQL["stream_labels"] = f"""
-WITH e AS (SELECT *, {_NEAREST} AS near FROM events WHERE value > 50 AND event_type <> 'error'),
+WITH e AS (SELECT *, {_NEAREST} AS near FROM events WHERE event_type <> 'error'),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, near ORDER BY date_trunc('second', ts) DESC, 't' || event_id DESC) AS rn FROM e)
 SELECT 'user ' || user_id AS artist_name, event_type AS track_name, 't' || event_id AS spotify_track_id,
   strftime(ts, '%Y-%m-%d %H:%M:%S') AS added_at_utc, CAST(near AS VARCHAR) AS week_saturday_utc, CAST(1 AS BIGINT) AS is_week_favorite

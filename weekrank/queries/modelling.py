@@ -269,9 +269,14 @@ def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
     """Logistic regression against boosted trees on the test weeks: areas, hit rates, threshold metrics."""
     data = _prepared(spark, folder)
     trained = training.train_final(data)
-    trees = model.fit_trees(data.train.unionByName(data.validation), data.features, maxDepth=4, maxIter=5, stepSize=0.1)
-    rows = [model.model_summary(name, scored, trained.artifacts.threshold, tie_break=SEGMENT)
-            for name, scored in (("logreg", trained.scored_test), ("gbt", model.with_probability(data.test, trees)))]
+    settings = dict(maxDepth=4, maxIter=5, stepSize=0.1)
+    first = model.fit_trees(data.train, data.features, **settings)
+    own = evaluate.best_threshold(model.with_probability(data.validation, first)).first()["threshold"]
+    classes = data.train.agg(F.count_if(F.col(schemas.LABEL) == 1).alias("p"), F.count_if(F.col(schemas.LABEL) == 0).alias("q")).first()
+    weight = classes["q"] / classes["p"] if classes["p"] else 1.0
+    trees = model.fit_trees(data.train.unionByName(data.validation), data.features, weight=weight, **settings)
+    rows = [model.model_summary(name, scored, threshold, tie_break=SEGMENT)
+            for name, scored, threshold in (("logreg", trained.scored_test, trained.artifacts.threshold), ("gbt", model.with_probability(data.test, trees), own))]
     return report(ordered.union_all(*rows))
 
 

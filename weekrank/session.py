@@ -36,7 +36,7 @@ def configure(spark: SparkSession, *inputs: DataFrame) -> SparkSession:
         if all(size is not None for size in sizes):
             wanted = math.ceil(sum(sizes) / BYTES_PER_SHUFFLE_PARTITION)
             parallel = spark.sparkContext.defaultParallelism
-            spark.conf.set(INITIAL_PARTITIONS, str(max(parallel, min(wanted, 200_000))))
+            spark.conf.set(INITIAL_PARTITIONS, str(max(parallel, wanted)))
             spark.conf.set("weekrank.initialPartitionsSet", "true")
     return spark
 
