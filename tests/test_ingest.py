@@ -67,3 +67,10 @@ def test_new_rows_bounds(spark, rows):
     incoming = spark.createDataFrame([("2021-01-01 00:00:00",), ("2021-01-02 00:00:00",), ("2021-01-09 00:00:00",)], "date string")
     assert rows(ingest.new_rows(incoming, stored, until="2021-01-02 00:00:00")) == [("2021-01-02 00:00:00",)]
     assert ingest.new_rows(incoming, None).count() == 3
+
+
+def test_empty_first_batch(spark, tmp_path):
+    rows = spark.createDataFrame([("2024-01-06 10:00:00", "a")], "date string, name string")
+    ingest.append_new_rows(rows.limit(0), str(tmp_path / "t"), 0, ["date"])
+    ingest.append_new_rows(rows, str(tmp_path / "t"), 1, ["date"])
+    assert [(r["name"], r["scrobble_number"]) for r in spark.read.parquet(str(tmp_path / "t")).collect()] == [("a", 1)]

@@ -23,20 +23,24 @@ BATCH = "ingest_batch"
 
 
 def _stored(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The appended table, without the given batch and later ones."""
-    if not exists(spark, path):
+    """The appended table, without the given batch and later ones; None while no batch with rows is stored."""
+    if not exists(spark, path) or not _batches(spark, path):
         return None
     table = spark.read.parquet(path)
     return table if before is None else table.filter(F.col(BATCH) < before)
 
 
-def _last_batch(spark: SparkSession, path: str, before: int) -> int | None:
-    """Highest stored batch number below `before`, from the folder names (empty batches have no folder)."""
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """Stored batch numbers, from the folder names (empty batches have no folder)."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     entries = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
     names = [entry.getPath().getName() for entry in entries]
-    numbers = [int(name.split("=")[1]) for name in names if name.startswith(f"{BATCH}=")]
-    return max((n for n in numbers if n < before), default=None)
+    return [int(name.split("=")[1]) for name in names if name.startswith(f"{BATCH}=")]
+
+
+def _last_batch(spark: SparkSession, path: str, before: int) -> int | None:
+    """Highest stored batch number below `before`."""
+    return max((n for n in _batches(spark, path) if n < before), default=None)
 
 
 def _append(df: DataFrame, path: str, batch: int) -> None:
@@ -59,8 +63,9 @@ def append_new_rows(incoming: DataFrame, path: str, batch: int, order: Sequence[
     """
     spark = incoming.sparkSession
     stored, start = _stored(spark, path, batch), 0
+    last = None if stored is None else _last_batch(spark, path, batch)
+    stored = None if last is None else stored.filter(F.col(BATCH) == last)
     if stored is not None:
-        stored = stored.filter(F.col(BATCH) == _last_batch(spark, path, batch))
         start = profile.high_water_mark(stored, ts, number).first()["last_number"]
     fresh = new_rows(incoming, stored, ts, until)
     _append(ordered.running_number(fresh, order, number, start), path, batch)
