@@ -22,7 +22,7 @@ from tokenizers import Tokenizer
 
 from weekrank.llm import common, shards
 
-SHARD_BYTES = 12 * 1024 * 1024  # text bytes whose distinct words are listed together
+SHARD_BYTES = 4 * 1024 * 1024  # text bytes whose distinct words are listed together
 MOST_PIECES = 1_000_000  # largest vocabulary that decode() takes into the tasks
 
 
