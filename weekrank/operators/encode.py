@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekrank import schemas
+from weekrank import schemas, session
+from weekrank.operators import joins, ordered
 
 MIN_WEEKS = 5
-MAX_LEVELS = 10_000
 
 
 @dataclass(frozen=True)
@@ -59,13 +59,6 @@ def time_split(df: DataFrame, week: str = schemas.WEEK_TS, train_share: float =
     return TimeSplit(week_at(train_at), week_at(validate_at), week)
 
 
-def kept_levels(df: DataFrame, column: str, min_freq: int = 20) -> DataFrame:
-    """Levels frequent enough for a column of their own (missing counts as `unknown`)."""
-    level = F.coalesce(F.col(column).cast("string"), F.lit("unknown"))
-    counts = df.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.filter(F.col("n") >= max(1, int(min_freq)))
-
-
 @dataclass(frozen=True)
 class OneHot:
     """Fitted levels of one categorical column; each becomes a 0/1 column `prefix__level`."""
@@ -96,14 +89,39 @@ class OneHot:
 
 
 def fit_one_hot(df: DataFrame, column: str = "genre_bucket", min_freq: int = 20, prefix: str | None = "genre") -> OneHot:
-    """Find the levels; their number is checked, since each becomes a column."""
+    """Levels as named 0/1 columns, so their names reach the driver; `fit_levels` keeps many levels a table."""
     if column not in df.columns:
         return OneHot(column, (), (), prefix or column)
-    kept = [r["level"] for r in kept_levels(df, column, min_freq).select("level").limit(MAX_LEVELS + 1).collect()]
-    if len(kept) > MAX_LEVELS:
-        raise ValueError(f"{column!r} has more than {MAX_LEVELS} frequent levels: raise min_freq")
+    levels = fit_levels(df, column, min_freq).collect()
+    return OneHot(column, tuple(sorted({r["level"] for r in levels})), tuple(sorted(r["level"] for r in levels if r["own"])), prefix or column)
+
+
+def fit_levels(df: DataFrame, column: str, min_freq: int = 20) -> DataFrame:
+    """The fitted levels as a table (level, own, n) of any size, stored once; nothing reaches the driver.
+
+    `own` is true for a frequent level. All rare ones together are one row `other` with `own` false. A frequent level
+    that is itself called `other` is a row of its own.
+    """
     level = F.coalesce(F.col(column).cast("string"), F.lit("unknown"))
-    rare = df.filter(~level.isin(*kept)) if kept else df
-    levels = set(kept) | ({"other"} if rare.limit(1).count() else set())
-    return OneHot(column, tuple(sorted(levels)), tuple(sorted(kept)), prefix or column)
+    counts = df.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    own = F.col("n") >= max(1, int(min_freq))
+    return session.cut(counts.groupBy(F.when(own, F.col("level")).otherwise("other").alias("level"), own.alias("own")).agg(F.sum("n").alias("n")))
+
+
+def numbered_levels(levels: DataFrame) -> DataFrame:
+    """(level, level_index): one number from 0 for every different level, in the order of the levels."""
+    return ordered.running_number(levels.select("level").distinct(), ["level"], "level_index", -1)
 
+
+def with_level(df: DataFrame, column: str, levels: DataFrame, fitting: bool, name: str = "level") -> DataFrame:
+    """Adds the level that marks a row. Rare levels are `other` with `fitting` and null (all zeros) without it.
+
+    Without `fitting` a value `other` meets a fitted level of that name, as for named columns.
+    """
+    known = levels.filter("own") if fitting else levels
+    known = known.select(F.col("level").alias("_level")).distinct().withColumn("_found", F.col("_level"))
+    value = F.coalesce(F.col(column).cast("string"), F.lit("unknown"))
+    keys = df.columns
+    joined = joins.lookup(df.withColumn("_level", value), session.cut(known), ["_level"], spread_by=keys)
+    found = F.coalesce("_found", F.lit("other")) if fitting else F.col("_found")
+    return joined.withColumn(name, found).drop("_level", "_found")

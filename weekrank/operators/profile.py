@@ -208,11 +208,11 @@ def weekday_share(df: DataFrame, ts: str = "date", label: str = schemas.LABEL) -
 
 def positive_vs_rest(weekly: DataFrame, *, week: str = schemas.WEEK, measure: str = "plays",
                      label: str = "is_fav") -> DataFrame:
-    """Per week: plays of the favourite, mean and maximum of the others; weeks that have both."""
+    """Per week: plays of the favourite, mean and maximum of the others, label rate; weeks that have both."""
     fav = F.when(F.col(label) == 1, F.col(measure))
     rest = F.when(F.col(label) == 0, F.col(measure))
     out = weekly.dropna(subset=[week]).groupBy(week).agg(F.max(fav).alias("fav_plays"), F.avg(rest).alias("avg_nonfav_plays"),
-                                  F.max(rest).alias("max_nonfav_plays"))
+                                  F.max(rest).alias("max_nonfav_plays"), F.avg(label).alias("favorite_rate"))
     return out.dropna(subset=["fav_plays", "avg_nonfav_plays"])
 
 
@@ -252,19 +252,30 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int,
         F.coalesce(F.try_divide(F.col("n") * F.lit(100.0), total), F.lit(0.0)).alias("percent"))
 
 
+def lift_tables(df: DataFrame, edges: dict[str, Sequence[float]], label: str = schemas.LABEL) -> DataFrame:
+    """Label rate and label count per feature and half-open bin [a, b), for all features in one pass.
+
+    Empty bins stay, values past the edges do not.
+    """
+    pairs = {f: list(zip(map(float, e[:-1]), map(float, e[1:]))) for f, e in edges.items()}
+
+    def place(feature: str) -> Column:
+        value, out = F.col(feature).cast("double"), F.lit(None).cast("int")
+        for i, (a, b) in enumerate(pairs[feature]):
+            out = F.when((value >= a) & (value < b), F.lit(i)).otherwise(out)
+        return out.alias(feature)
+
+    long = df.select(F.col(label).alias("_label"), *[place(f) for f in pairs]).unpivot("_label", list(pairs), "feature", "bin")
+    counts = long.filter("bin IS NOT NULL").groupBy("feature", "bin").agg(F.avg("_label").alias("favorite_rate"), F.count("_label").alias("count"))
+    frame = df.sparkSession.createDataFrame([(f, i, a, b) for f, bins in pairs.items() for i, (a, b) in enumerate(bins)],
+                                            "feature string, bin int, low double, high double")
+    # One row per feature and bin.
+    return frame.join(F.broadcast(counts), ["feature", "bin"], "left").fillna(0, ["count"])
+
+
 def lift_bins(df: DataFrame, feature: str, label: str = schemas.LABEL, edges: Sequence[float] | None = None) -> DataFrame:
-    """Label rate and label count per half-open bin [a, b); empty bins stay, values past the edges do not."""
-    edges = [float(e) for e in (edges or schemas.LIFT_BINS[feature])]
-    pairs = list(zip(edges[:-1], edges[1:]))
-    value = F.col(feature).cast("double")
-    place = F.lit(None).cast("int")
-    for i, (a, b) in reversed(list(enumerate(pairs))):
-        place = F.when((value >= a) & (value < b), F.lit(i)).otherwise(place)
-    counts = df.groupBy(place.alias("bin")).agg(F.avg(label).alias("favorite_rate"), F.count(label).alias("count"))
-    frame = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)],
-                                            "bin int, low double, high double")
-    # One row per bin.
-    return frame.join(F.broadcast(counts), "bin", "left").fillna(0, ["count"])
+    """The lift table of one feature."""
+    return lift_tables(df, {feature: edges or schemas.LIFT_BINS[feature]}, label).drop("feature")
 
 
 # --- correlation and information ----------------------------------------------------------------

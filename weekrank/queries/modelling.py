@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekrank import schemas, session
-from weekrank.operators import encode, evaluate, model, ordered, score
+from weekrank.operators import encode, evaluate, joins, model, ordered, score
 from weekrank.plans import training
 from weekrank.plans.weekly_table import model_view
-from weekrank.queries.common import ORDERS_CTE, SEGMENT, order_events, order_weekly, r, report
+from weekrank.queries.common import ORDERS_CTE, SEGMENT, order_events, order_weekly, r, report, tables
 from weekrank.queries.weekly import TABLE_CTE, feature_table
 from weekrank.sources import artifacts
 
@@ -71,6 +71,27 @@ kept AS (SELECT category AS kc FROM s WHERE split = 'train' GROUP BY category HA
 SELECT 'cat__' || CASE WHEN kc IS NULL THEN 'other' ELSE category END AS feature, count(*) AS n, split
 FROM s LEFT JOIN kept ON category = kc WHERE split = 'train' OR kc IS NOT NULL GROUP BY 1, 3"""
 
+
+def one_hot_many_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows per level and span where nearly every line item is a level of its own, and no level is a column."""
+    items = tables(spark, folder, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", F.col("l_linenumber") % 3).alias("key"), F.date_trunc("week", "l_shipdate").alias("week"))
+    items = session.cut(items)
+    split = encode.time_split(items, "week")
+    levels = encode.fit_levels(split.train(items), "key", 1)
+    train = encode.with_level(split.train(items), "key", levels, True)
+    rest = encode.with_level(items.filter(F.col("week") > F.lit(split.train_until)), "key", levels, False)
+    marked = split.labelled(train.unionByName(rest)).filter("level IS NOT NULL").groupBy("level", "split").agg(F.count(F.lit(1)).alias("n"))
+    return report(joins.lookup(marked, session.cut(encode.numbered_levels(levels)), ["level"], spread_by=["level", "split"]))
+
+
+QUERIES["one_hot_many_levels"] = one_hot_many_levels
+SQL["one_hot_many_levels"] = f"""
+WITH w AS (SELECT concat_ws('-', l_orderkey, l_linenumber % 3) AS key, date_trunc('week', l_shipdate) AS week FROM lineitem), {_WEEKS},
+s AS (SELECT w.*, {_split_sql('exclusive')} AS split FROM w JOIN k ON w.week = k.week),
+kept AS (SELECT key AS level, row_number() OVER (ORDER BY key) - 1 AS level_index FROM s WHERE split = 'train' GROUP BY key)
+SELECT level, split, count(*) AS n, level_index FROM s JOIN kept ON key = level GROUP BY ALL"""
+
 # --- metrics with a score that is a column expression -------------------------------------------
 
 _LABEL_SQL = "CASE WHEN c_acctbal * 30 + o_totalprice > 500000 THEN 1 ELSE 0 END"

@@ -246,10 +246,7 @@ FROM d LEFT JOIN c ON position = p"""
 
 def positive_vs_rest(spark: SparkSession, folder: str) -> DataFrame:
     """Per week: orders of labelled segments against the mean and maximum of the others, beside the label rate."""
-    base = order_weekly(spark, folder)
-    compared = profile.positive_vs_rest(base, measure="scrobbles_week", label="is_week_favorite")
-    rate = profile.label_rate(base)
-    return report(profile.join_by_week(compared, rate))
+    return report(profile.positive_vs_rest(order_weekly(spark, folder), measure="scrobbles_week", label="is_week_favorite"))
 
 
 QUERIES["positive_vs_rest"] = positive_vs_rest
@@ -292,8 +289,7 @@ FROM s CROSS JOIN b LEFT JOIN c ON c.l_linestatus = s.l_linestatus AND c.bin = b
 def lift_bins(spark: SparkSession, folder: str) -> DataFrame:
     """Label rate by weekly orders and by prior orders."""
     table = _history(spark, folder)
-    reports = [profile.lift_bins(table, f).withColumn("feature", F.lit(f)) for f in ("scrobbles_week", "prior_scrobbles_all_time")]
-    return report(ordered.union_all(*reports).drop("low", "high"))
+    return report(profile.lift_tables(table, {f: schemas.LIFT_BINS[f] for f in ("scrobbles_week", "prior_scrobbles_all_time")}).drop("low", "high"))
 
 
 def _lift_sql(feature: str) -> str:
