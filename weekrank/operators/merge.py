@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from weekrank import session
 from weekrank.operators import joins, ordered
 from weekrank.operators.columns import conform
 
@@ -20,14 +23,21 @@ def upsert_partitions(new: DataFrame, path: str, keys: Sequence[str], newest: Se
                       exists: bool) -> None:
     """Upsert into a table stored by `partition`, one of the keys: only partitions with new rows are rewritten.
 
-    The stored rows to merge with are found by a semi join on the partition column, which prunes the
-    scan. Repeating the call with the same rows changes nothing.
+    The values of `partition` in the new rows (few, such as weeks) are listed, so that the scan reads those partitions
+    alone; partitions with a null value are not addressed by a list and are read as a whole where one occurs. The
+    merged rows are stored before anything is overwritten: a call that fails while it merges leaves the table as it
+    was, and repeating a call with the same rows changes nothing.
     """
     spark = new.sparkSession
     existing = None
     if exists:
-        touched = new.select(partition).distinct()
-        existing = spark.read.schema(new.schema).parquet(path).join(touched, partition, "left_semi")
-    merged = upsert(existing, new, keys, newest)
-    (merged.repartition(partition, *[k for k in keys if k != partition]).write.mode("overwrite")
+        touched = [row[0] for row in new.select(partition).distinct().collect()]
+        place = F.col(partition)
+        wanted = place.isin([v for v in touched if v is not None])
+        existing = spark.read.schema(new.schema).parquet(path).filter(wanted | place.isNull() if None in touched else wanted)
+    merged = session.cut(upsert(existing, new, keys, newest))
+    # A partition's rows go to as many tasks, and so files, as its share of the bytes needs.
+    files = max(1, math.ceil((session.estimated_bytes(merged) or 0) / session.BYTES_PER_SHUFFLE_PARTITION))
+    slot = F.pmod(F.xxhash64(*[k for k in keys if k != partition] or [partition]), F.lit(files))
+    (merged.repartition(F.col(partition), slot).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weekrank import schemas, session
 from weekrank.functions import dates
 from weekrank.operators import columns
 from weekrank.queries.common import r, report, tables
 from weekrank.sources import landed
+from weekrank.sources import tables as files
 from weekrank.streaming import ingest
 
 QUERIES: dict = {}
@@ -165,6 +167,43 @@ SQL["landed_profile"] = """
 SELECT c_name AS username, c_custkey AS user_playcount, CAST(7 AS BIGINT) AS user_artist_count, CAST(8 AS BIGINT) AS user_album_count,
   CAST(9 AS BIGINT) AS user_track_count, CASE WHEN c_acctbal > 0 THEN c_name END AS user_image, c_mktsegment AS user_country FROM customer"""
 
+# --- files written and read again ---------------------------------------------------------------
+
+
+def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers written as CSV in two parts, with tokens for missing names and bad numbers, read again.
+
+    A wanted column that the files lack is left out, and a second table that was never written adds no rows.
+    """
+    path = session.scratch_path(spark, "csv")
+    key = F.col("c_custkey")
+    rows = tables(spark, folder, "customer").select(
+        "c_custkey", F.when(key % 5 == 0, "N/A").otherwise(F.col("c_name")).alias("c_name"),
+        F.when(key % 7 == 0, "abc").otherwise(F.col("c_acctbal").cast("string")).alias("c_acctbal"))
+    files.write_csv(rows.filter(key % 2 == 0), path)
+    files.write_csv(rows.filter(key % 2 != 0), path, append=True)
+    back = files.read_csv(spark, path, ["c_custkey", "c_name", "c_acctbal", "absent"],
+                          {"c_custkey": T.LongType(), "c_acctbal": T.DoubleType()}, safe=True)
+    return report(back.unionByName(files.optional(spark, f"{path}-absent", back.schema)))
+
+
+QUERIES["csv_round_trip"] = csv_round_trip
+SQL["csv_round_trip"] = f"""
+SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS c_name, CASE WHEN c_custkey % 7 <> 0 THEN {r('c_acctbal')} END AS c_acctbal
+FROM customer"""
+
+
+def json_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers and their mean balance per segment, written as a JSON report and read again."""
+    path = session.scratch_path(spark, "report")
+    made = tables(spark, folder, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.avg("c_acctbal").alias("balance"))
+    files.write_report(made, path)
+    return report(spark.read.schema(made.schema).json(path))
+
+
+QUERIES["json_report"] = json_report
+SQL["json_report"] = f"SELECT c_mktsegment, count(*) AS n, {r('avg(c_acctbal)')} AS balance FROM customer GROUP BY 1"
+
 # --- incremental ingest as a stream -------------------------------------------------------------
 
 

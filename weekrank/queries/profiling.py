@@ -229,6 +229,16 @@ SQL["class_weight"] = (f"WITH {ORDERS_CTE} SELECT count(*) FILTER (WHERE label =
                        f"{r('avg(label)')} AS pos_rate, {r('count(*) FILTER (WHERE label = 0) / CAST(count(*) FILTER (WHERE label = 1) AS DOUBLE)')} AS pos_weight FROM oe")
 
 
+def mean_label_rate(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean over the weeks of the share of labelled segments."""
+    return report(profile.mean_of(profile.label_rate(order_weekly(spark, folder)), "favorite_rate", "mean_favorite_rate"))
+
+
+QUERIES["mean_label_rate"] = mean_label_rate
+SQL["mean_label_rate"] = f"""
+WITH {TABLE_CTE}, k AS (SELECT avg(is_week_favorite) AS rate FROM w GROUP BY week) SELECT {r('avg(rate)')} AS mean_favorite_rate FROM k"""
+
+
 def weekday_share(spark: SparkSession, folder: str) -> DataFrame:
     """Share of events per weekday for large and for other events."""
     events = tables(spark, folder, "events").withColumn("is_week_favorite", (F.col("value") > 100).cast("int"))
@@ -286,10 +296,13 @@ SELECT s.l_linestatus, b.bin, CAST(b.bin * 5000 + 2500 AS DOUBLE) AS center, coa
 FROM s CROSS JOIN b LEFT JOIN c ON c.l_linestatus = s.l_linestatus AND c.bin = b.bin"""
 
 
+_LIFTED = ["scrobbles_week", "scrobbles_last_fri_sat", "scrobbles_saturday", "momentum_4w_ratio", "prior_scrobbles_all_time"]
+
+
 def lift_bins(spark: SparkSession, folder: str) -> DataFrame:
-    """Label rate by weekly orders and by prior orders."""
+    """Label rate by orders of the week and of its last days, momentum and prior orders, in one pass."""
     table = _history(spark, folder)
-    return report(profile.lift_tables(table, {f: schemas.LIFT_BINS[f] for f in ("scrobbles_week", "prior_scrobbles_all_time")}).drop("low", "high"))
+    return report(profile.lift_tables(table, {f: schemas.LIFT_BINS[f] for f in _LIFTED}).drop("low", "high"))
 
 
 def _lift_sql(feature: str) -> str:
@@ -300,7 +313,7 @@ def _lift_sql(feature: str) -> str:
 
 
 QUERIES["lift_bins"] = lift_bins
-SQL["lift_bins"] = f"WITH {TABLE_CTE} {_lift_sql('scrobbles_week')} UNION ALL {_lift_sql('prior_scrobbles_all_time')}"
+SQL["lift_bins"] = f"WITH {TABLE_CTE} " + " UNION ALL ".join(map(_lift_sql, _LIFTED))
 
 # --- correlation and information ----------------------------------------------------------------
 
