@@ -151,3 +151,17 @@ def test_trees_learn(spark):
     df = scored(spark, 200).withColumn("x", F.col("is_week_favorite") + F.col("probability") / 10)
     fit = model.fit_trees(df, ["x"], maxDepth=2, maxIter=2, minChildWeight=1, featureSubset=0.6)
     assert evaluate.area_metrics(model.with_probability(df.drop("probability"), fit)).first()["roc_auc"] == 1.0
+
+
+def test_levels_as_a_table_agree_with_named_columns(spark):
+    train = spark.createDataFrame([("rock",)] * 3 + [("pop",)] * 2 + [("jazz",), (None,)], "g string")
+    later = spark.createDataFrame([("rock",), ("jazz",), ("other",), (None,)], "g string")
+    levels, named = encode.fit_levels(train, "g", 2), encode.fit_one_hot(train, "g", 2, "g")
+    assert {(r["level"], r["own"], r["n"]) for r in levels.collect()} == {("rock", True, 3), ("pop", True, 2), ("other", False, 2)}
+    assert [(r["level"], r["level_index"]) for r in encode.numbered_levels(levels).orderBy("level").collect()] == [("other", 0), ("pop", 1), ("rock", 2)]
+    assert named.levels == ("other", "pop", "rock")
+    for rows, fitting, wide in ((train, True, named.fit_transform(train)), (later, False, named.transform(later))):
+        got = {(r["g"], r["level"]) for r in encode.with_level(rows, "g", levels, fitting).collect()}
+        want = {(r["g"], next((n for n in named.levels if r[f"g__{n}"]), None)) for r in wide.collect()}
+        assert got == want
+    assert encode.fit_levels(train.limit(0), "g").count() == 0
