@@ -49,3 +49,21 @@ def test_weighted_agreement():
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert minhash.groups(empty).count() == minhash.keep_one(empty).count() == 0
+
+
+def test_a_bucket_of_similar_texts_keeps_its_pairs(spark):
+    # Thousands of texts at 0.75 with one template, and pairs of them at 0.8 and more that hardly meet the ends.
+    rng = np.random.default_rng(6)
+    template = " ".join(f"t{i}" for i in range(174))
+
+    def own(k):
+        return " ".join(f"w{i}" for i in rng.integers(0, 10 ** 9, k))
+
+    texts = [template + " " + own(28) for _ in range(3000)]
+    for i in range(0, 240, 2):
+        head, tail = texts[i].rsplit(" ", 22)[0], own(22)
+        texts[i + 1] = head + " " + tail
+    got = {r.doc_id: r.class_id for r in minhash.groups(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).collect()}
+    sets = [shingles(t) for t in texts[:242]]
+    assert 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.81 and 0.7 < len(sets[240] & sets[241]) / len(sets[240] | sets[241]) < 0.78
+    assert got == {i: i - 1 if i < 240 and i % 2 else i for i in range(3000)}

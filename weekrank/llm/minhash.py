@@ -7,7 +7,9 @@ signature; two sets agree in a coordinate with the probability of their weighted
 about k ln k / (total weight) are needed to fill k coordinates, so a text throws about k ln k darts whatever its length.
 
 Sets with the same elements are one set. Sets that share a band are linked to the first and the last set of that band,
-links are verified on the sets themselves, and linked sets are one group. A text of fewer words than a shingle is one
+links are verified on the sets themselves, and linked sets are one group. A band of four sets or more that this leaves
+in several groups is searched without its ends: its sets are compared by exact prefixes of their shingles, the rare ones
+first, so that every pair from the threshold on is verified or already linked. A text of fewer words than a shingle is one
 shingle; a text without words is in no group but its own. A row without an id takes part with its text.
 """
 
@@ -24,6 +26,7 @@ from weekrank.llm import common, words
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 5  # a pair at 0.8 shares no band once in 15,000 times
+KEY_SETS = 1000  # sets of one shingle that a piece of a hot one holds
 
 
 def _poisson(h: np.ndarray) -> np.ndarray:
@@ -153,16 +156,75 @@ def components(links: DataFrame) -> DataFrame:
             return now.df.select("name", "root")
 
 
+def _prefixes(sets: DataFrame, similar: float) -> DataFrame:
+    """key, name, root, size and `lead` of the rarest shingles of each set.
+
+    Two sets that reach the similarity share a shingle that is in the prefix of the larger (equal sizes: larger name) one
+    and among the `lead` ones of the other, whose prefix is shorter as their union is no smaller than twice its part.
+    """
+    each = sets.select("name", "root", F.size("grams").alias("size"), F.explode("grams").alias("key"))
+    rare = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Shingles of one set only are the rarest: they fill the prefix first, but nothing can meet there.
+    kept = each.join(rare, "key").groupBy("name", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("keys"))
+    alone = F.col("size") - F.size("keys")
+
+    def most(share: float):
+        # Rounded up a little: a prefix that is one too long loses nothing.
+        return F.floor(F.col("size") * (1 - share) + 1 + 1e-6).cast("int") - alone
+
+    wide = kept.withColumns({"wide": most(similar), "short": most(2 * similar / (1 + similar))}).filter("wide > 0")
+    return wide.select("name", "root", "size", "short", F.posexplode(F.slice("keys", F.lit(1), F.col("wide"))).alias("at", "k")).select(
+        F.col("k.key").alias("key"), "name", "root", "size", (F.col("at") < F.col("short")).alias("lead"))
+
+
+def _rest(sets: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b) of sets with different roots that can reach the similarity (all that do are among them).
+
+    A key with many sets is dealt in pieces: the sets outside its most frequent root meet all sets of the key.
+    """
+    found = common.stored(_prefixes(sets, similar))
+    kinds = found.df.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    keys = kinds.groupBy("key").agg(F.sum("n").alias("all"), F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    keys = common.stored(keys.select("key", "main", F.ceil(F.col("all") / KEY_SETS).cast("long").alias("parts")))
+    mine = found.df.join(keys.df, "key")
+    odd = mine.filter("root <> main").withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")))
+    every = mine.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    x, y = (d.select("key", "part", *[F.col(c).alias(f"{side}_{c}") for c in ("name", "root", "size", "lead")]) for d, side in ((odd, "x"), (every, "y")))
+    smaller = F.struct(F.col("x_size"), F.col("x_name")) < F.struct(F.col("y_size"), F.col("y_name"))
+    able = F.least("x_size", "y_size") >= F.greatest("x_size", "y_size") * (similar - 1e-9)
+    pairs = x.join(y, ["key", "part"]).filter((F.col("x_root") != F.col("y_root")) & able & F.when(smaller, F.col("x_lead")).otherwise(F.col("y_lead")))
+    return pairs.select(F.least("x_name", "y_name").alias("a"), F.greatest("x_name", "y_name").alias("b")).distinct()
+
+
+def _whole(keyed: DataFrame, ends: DataFrame, links: DataFrame, root: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """(name, root) as in `root`, after the bands that are in several groups are searched for the pairs without an end."""
+    names = keyed.join(ends.filter("n > 3"), ["band", "key"]).select("band", "key", "name").join(root, "name", "left").select(
+        "band", "key", "name", F.coalesce("root", "name").alias("root"))
+    names = common.stored(names)
+    split = names.df.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band", "key")
+    rest = names.df.join(split, ["band", "key"]).groupBy("name").agg(F.first("root").alias("root"))
+    rest = common.stored(rest.join(sets.select("name", "grams"), "name"))
+    names.drop()
+    if rest.df.isEmpty():
+        return root
+    more = common.stored(_verified(_rest(rest.df, similar), sets, similar))
+    rest.drop()
+    return root if more.df.isEmpty() else components(links.unionByName(more.df))
+
+
 def _members(docs: DataFrame, size: int, similar: float) -> DataFrame:
     """doc_id, text_key and the class (a set's name; null without words) of every row."""
     rows = common.stored(described(docs, size))
     sets = common.stored(rows.df.filter("name IS NOT NULL").dropDuplicates(["name"]).select("name", "grams", "bands"))
     keyed = sets.df.select("name", F.posexplode("bands").alias("band", "key"))
-    ends = keyed.groupBy("band", "key").agg(F.min("name").alias("low"), F.max("name").alias("high")).filter("low < high")
+    ends = keyed.groupBy("band", "key").agg(F.min("name").alias("low"), F.max("name").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
+    ends = common.stored(ends).df
     near = keyed.join(ends, ["band", "key"])
     pairs = near.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("name").alias("b")),
                                           F.struct(F.col("name").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*")
-    root = components(_verified(pairs.filter("a <> b").distinct(), sets.df, similar))
+    links = common.stored(_verified(pairs.filter("a <> b").distinct(), sets.df, similar))
+    root = _whole(keyed, ends, links.df, components(links.df), sets.df, similar)
+    links.drop()
     sets.drop()
     return rows.df.select("doc_id", "text_key", "name").join(root, "name", "left").select(
         "doc_id", "text_key", F.coalesce("root", "name").alias("class"))
