@@ -2,7 +2,7 @@ import random
 
 from helpers import blank_words, collected, corpus, frame, SCHEMA
 
-from weekrank.llm import phrase_dedup, suffix_dedup
+from weekrank.llm import phrase_dedup, repeats, suffix_dedup
 
 LAST = 2 ** 63 - 1
 
@@ -59,3 +59,27 @@ def test_empty_tables_and_whole_characters(spark):
     base = "é" * 3 + "".join(random.Random(5).choices("abcdefghijklmnop", k=150))
     left = suffix_dedup.remove(frame(spark, [(1, "ê" + base, None, None, None), (2, "è" + base + "!", None, None, None), (3, None, None, None, None)]))
     assert [(r.doc_id, r.text) for r in left.orderBy("doc_id").collect()] == [(1, "ê" + base), (2, "è!"), (3, None)]
+
+
+def test_hot_grams_are_not_gathered(spark, monkeypatch):
+    # A line shorter than a window in every text, with other surroundings, and some longer passages around it.
+    rng = random.Random(8)
+
+    def prose(k):
+        return " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(k))
+
+    line, around = prose(16), (prose(40), prose(40))
+    texts = [f"{prose(30)} {around[0] if i % 7 == 0 else prose(40)} {line} {around[1] if i % 5 == 0 else prose(40)} {prose(9)}" for i in range(60)]
+    rows = [(i * 2, t, None, None, None) for i, t in enumerate(texts)] + corpus(3, n=30)
+    rng.shuffle(rows)
+    monkeypatch.setattr(repeats, "HOT_STRETCHES", 3)
+    for module in (suffix_dedup, phrase_dedup):
+        resolve = module.resolve
+
+        def small(contents, docs, starts, grams, *rest, resolve=resolve):
+            assert max(grams.tolist().count(g) for g in set(grams.tolist())) <= 3
+            return resolve(contents, docs, starts, grams, *rest)
+        monkeypatch.setattr(module, "resolve", small)
+    got = collected(suffix_dedup.dedup(frame(spark, rows)))
+    assert [(a, b, c, d, bytes(e)) for a, b, c, d, e in got] == brute_bytes(rows, 100)
+    assert collected(phrase_dedup.dedup(frame(spark, rows))) == brute_words(rows, 50)

@@ -5,7 +5,8 @@
 2. Consecutive windows with one minimiser form a stretch. Equal stretches are one row with the earliest place, its
    owner: at every later place all its windows are repeats.
 3. Different stretches with the same gram may still share windows. They meet in a group of grams (by hash), where
-   `resolve` finds which windows of the owner's place occur earlier elsewhere.
+   `resolve` finds which windows of the owner's place occur earlier elsewhere. A gram with more than HOT_STRETCHES of
+   them is not gathered: its windows are dealt by their own hash, and the earliest place of each is taken in Spark.
 4. The repeated ranges go back to the shards of their documents.
 
 A document without an id counts as later than all others. Rows with the same id are one document: none of them is
@@ -22,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weekrank.llm import common, shards, words
+from weekrank.operators import joins
 
 LAST = np.iinfo(np.int64).max
 GROUP_STRETCHES = 20_000  # about as many different stretches are resolved together
+HOT_STRETCHES = 2_000  # different stretches of one gram that one task takes at most
 
 
 class Units:
@@ -53,6 +56,33 @@ def ids_of(table: pa.Table) -> np.ndarray:
     return table.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy().astype(np.int64)
 
 
+def _hot_ranges(owners: DataFrame, units: Units, by_start: bool):
+    """(h, k, earlier) as from `resolve`, for stretches of hot grams: each window meets its equals by its hash only."""
+    def windows_of(batches):
+        for batch in batches:
+            data, offsets = common.flat(batch.column("content").cast(pa.large_binary()).view(pa.large_string()))
+            values, at = (data, offsets) if not units.in_words else words.hashed(data, offsets, False)[::3]
+            counts = np.maximum(np.diff(at) - units.window + 1, 0)
+            row = np.repeat(np.arange(batch.num_rows), counts)
+            o = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            first = at[row] + o
+            x, y = (words.window_hashes(values, first, first + units.window, base).view(np.int64) for base in (words.BASE, words.GRAM))
+            h, k, doc, start = (batch.column(c).to_numpy()[row] for c in ("h", "k", "own_doc", "own_start"))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, k, x, y, doc, start + o if by_start else np.zeros(len(o), np.int64), o.astype(np.int32))],
+                                             ["h", "k", "x", "y", "doc", "start", "o"])
+
+    every = common.stored(owners.select("h", "k", "own_doc", "own_start", "content").mapInArrow(
+        windows_of, "h long, k long, x long, y long, doc long, start long, o int"))
+    first = every.df.groupBy("h", "x", "y").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = common.stored(first)
+    later = joins.spread_join(every.df, first.df.select("h", "x", "y", "first"), ["h", "x", "y"], spread_by=["k", "o"],
+                              counts=first.df.select("h", "x", "y", "n"), how="inner").filter(F.struct("doc", "start") > F.col("first"))
+    out = common.stored(later.groupBy("h", "k").agg(F.sort_array(F.collect_list("o")).alias("earlier")))
+    every.drop()
+    first.drop()
+    return out
+
+
 def find(store: DataFrame, units: Units, resolve, by_start: bool) -> common.Stored:
     """Stored (shard, row, first, last): ranges of window starts, in units of their text, that are repeats.
 
@@ -102,7 +132,11 @@ def find(store: DataFrame, units: Units, resolve, by_start: bool) -> common.Stor
     leads = found.df.filter("lead").groupBy("h", "k").agg(F.min(F.struct("doc", "start", "content")).alias("own"))
     owners = common.stored(leads.select("h", "k", F.col("own.doc").alias("own_doc"), F.col("own.start").alias("own_start"), F.col("own.content").alias("content")))
     found.drop("lead=true")
-    several = owners.df.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    several = owners.df.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    several = common.stored(several.withColumn("hot", F.col("n") > HOT_STRETCHES))
+    # Hot grams go by content, so that none of them is in one task; their counts cut the join too.
+    shared = joins.spread_join(owners.df, several.df.select("h", "hot"), ["h"], spread_by=["k"], counts=several.df.select("h", "n"), how="inner")
+    hot = None if several.df.filter("hot").isEmpty() else _hot_ranges(shared.filter("hot"), units, by_start)
     groups = max(1, math.ceil(owners.df.count() / GROUP_STRETCHES))
 
     def resolved(table: pa.Table) -> pa.Table:
@@ -111,18 +145,22 @@ def find(store: DataFrame, units: Units, resolve, by_start: bool) -> common.Stor
         ranges = resolve(contents, table.column("own_doc").to_numpy(), table.column("own_start").to_numpy(), table.column("h").to_numpy())
         return pa.table({"h": table.column("h"), "k": table.column("k"), "earlier": pa.array(ranges, pa.list_(pa.int32()))})
 
-    partly = common.stored(owners.df.join(several, "h").groupBy(F.pmod("h", F.lit(groups)).alias("g")).applyInArrow(
+    partly = common.stored(shared.filter("NOT hot").drop("hot").groupBy(F.pmod("h", F.lit(groups)).alias("g")).applyInArrow(
         resolved, "h long, k long, earlier array<int>").filter(F.size("earlier") > 0))
     own = F.col("doc") == F.col("own_doc")
     if by_start:
         own = own & (F.col("start") == F.col("own_start"))
-    owner = owners.df.select("h", "k", "own_doc", "own_start").join(partly.df, ["h", "k"], "left")
+    found_earlier = partly.df if hot is None else partly.df.unionByName(hot.df)
+    owner = owners.df.select("h", "k", "own_doc", "own_start").join(found_earlier, ["h", "k"], "left")
     rows = found.df.filter("NOT lead").drop("content", "lead").join(owner, ["h", "k"])
     start = F.col("start")
     ranges = F.when(own, F.transform("earlier", lambda o: F.struct((start + o).alias("first"), (start + o).alias("last")))).otherwise(
         F.array(F.struct(start.alias("first"), (start + F.col("windows") - 1).alias("last"))))
     out = common.stored(rows.select("shard", "row", F.explode(ranges).alias("r")).select("shard", "row", "r.first", "r.last"))
     partly.drop()
+    if hot is not None:
+        hot.drop()
+    several.drop()
     owners.drop()
     found.drop()
     return out
