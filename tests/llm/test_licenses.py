@@ -40,3 +40,38 @@ def test_specific_rules_win(spark):
     got = {r.doc_id: r.labels for r in licenses.scan(frame(spark, [(i, t, None, None, None) for i, t in enumerate(TEXTS)])).collect()}
     assert "gpl-2-or-later" not in got[2] and "gpl" in got[2] and "gpl-3-or-later" in got[3] and got[5] == ["apache-2.0"] and got[7] == ["mit"]
     assert licenses.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def shortest(parsed):
+    """The shortest text of a parsed regex; of equally short alternatives the first."""
+    out = ""
+    for kind, value in parsed:
+        if str(kind) == "LITERAL":
+            out += chr(value)
+        elif str(kind) == "NOT_LITERAL":
+            out += "q"
+        elif str(kind) == "IN":
+            out += chr(value[0][1] if str(value[0][0]) == "LITERAL" else value[0][1][0]) if str(value[0][0]) != "NEGATE" else "q"
+        elif str(kind) == "BRANCH":
+            out += min((shortest(v) for v in value[1]), key=len)
+        elif str(kind) == "SUBPATTERN":
+            out += shortest(value[3])
+        elif str(kind) in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += shortest(value[2]) * value[0]
+        else:
+            assert str(kind) in ("ASSERT", "ASSERT_NOT"), kind
+    return out
+
+
+def test_the_shortest_match_of_every_rule_alone(spark):
+    own = licenses.rules()
+    texts = [shortest(re._parser.parse(regex)) for _, _, _, regex in own]
+    assert "0bsd" in texts and "noncommercial use only" in texts
+    assert all(re.search(regex, f" {text} ") for text, (_, _, _, regex) in zip(texts, own))
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    # Rules whose keyword is not in their shortest match have others for it.
+    seen = {i for i, (t, rule) in enumerate(zip(texts, own)) if rule[2] in t}
+    found = {r.doc_id: r.score for r in licenses.scan(frame(spark, rows)).collect()}
+    assert len(seen) > 200 and all(found[i] > 0 for i in seen)
+    lost = [(t, rule[1]) for i, (t, rule) in enumerate(zip(texts, own)) if not found[i]]
+    assert not lost, lost

@@ -193,7 +193,7 @@ def scan(docs: DataFrame, own: list[tuple] | None = None) -> DataFrame:
     The score is 1 - 0.5 ** (detections that are left): 0 for a text without any.
     """
     own = rules() if own is None else own
-    gate = " (" + "|".join(sorted({keyword for _, _, keyword, _ in own})) + ")"
+    gate = "|".join(sorted({keyword for _, _, keyword, _ in own}))  # anywhere in a word, as in `_detections`
     places = [F.col(f"_p{i}") for i in range(len(BASE))]
     nothing = F.struct(F.array().cast("array<string>").alias("labels"), F.lit(0).alias("n"))
     base = docs.select("doc_id", words_of(F.col("text")).alias("_w"))
