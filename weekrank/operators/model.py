@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import product
+from math import sqrt
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekrank import schemas, session
-from weekrank.operators import columns, evaluate, ordered
+from weekrank.operators import columns, compiled, evaluate, ordered
 
 # The regularisation grid and the chosen strength.
 C_GRID = [0.01, 0.1, 1.0, 10.0, 100.0]
@@ -26,8 +30,14 @@ DEEP_TREES = {"maxDepth": 7, "maxIter": 1500, "stepSize": 0.05, "minChildWeight"
               "featureSubset": 1.0}
 SIMPLE_TREES = {"maxDepth": 4, "maxIter": 400, "stepSize": 0.1, "minChildWeight": 5, "subsamplingRate": 0.8,
                 "featureSubset": 0.6}
+SAMPLED_CAPACITIES = [{"maxDepth": 7, "maxIter": 1500}, {"maxDepth": 4, "maxIter": 400}]
 STATIC_FEATURES = ["track_duration", "spotify_popularity"]
 
+#: Boosting rounds between two checkpoints of the running predictions: what a lost executor costs, and the longest lineage.
+CHECKPOINT_ROUNDS = 10
+#: Fits of a sweep that are under way at the same time, so that their small jobs fill the cluster.
+PARALLEL_FITS = 4
+
 _OUTPUT = {"probabilityCol": "_probability", "rawPredictionCol": "_raw", "predictionCol": "_prediction"}
 
 
@@ -37,25 +47,39 @@ def model_input(df: DataFrame, features: Sequence[str], label: str = schemas.LAB
 
 
 def fit_logistic(df: DataFrame, features: Sequence[str], label: str = schemas.LABEL, c: float = 1.0,
-                 scale: bool = False, max_iter: int = 1000, rows: int | None = None) -> PipelineModel:
+                 scale: bool = False, max_iter: int = 1000, rows: int | None = None, tol: float = 1e-6) -> PipelineModel:
     """L2 logistic regression with inverse strength `c`.
 
-    The penalty is stated per summed loss (C form); Spark averages the loss, hence regParam = 1 / (C n).
+    The penalty is stated per summed loss (C form); Spark averages the loss, hence regParam = 1 / (C n). With `scale` the features
+    have mean 0 and variance 1 over the n rows (Spark's scaler divides by n - 1; a second stage makes up for it).
     """
     n = df.count() if rows is None else rows
-    stages = [VectorAssembler(inputCols=list(features), outputCol="_features")]
+    stages, at = [VectorAssembler(inputCols=list(features), outputCol="_features")], "_features"
     if scale:
-        stages.append(StandardScaler(inputCol="_features", outputCol="_scaled", withMean=True, withStd=True))
-    stages.append(LogisticRegression(
-        featuresCol="_scaled" if scale else "_features", labelCol=label, regParam=1.0 / (c * max(n, 1)),
-        elasticNetParam=0.0, standardization=False, maxIter=max_iter, **_OUTPUT))
+        by_n = Vectors.dense([sqrt(n / (n - 1.0)) if n > 1 else 1.0] * len(features))
+        stages += [StandardScaler(inputCol=at, outputCol="_scaled", withMean=True, withStd=True),
+                   ElementwiseProduct(scalingVec=by_n, inputCol="_scaled", outputCol="_standard")]
+        at = "_standard"
+    stages.append(LogisticRegression(featuresCol=at, labelCol=label, regParam=1.0 / (c * max(n, 1)), elasticNetParam=0.0,
+                                     standardization=False, maxIter=max_iter, tol=tol, **_OUTPUT))
     return Pipeline(stages=stages).fit(session.compact(df))
 
 
+def class_weight(df: DataFrame, label: str = schemas.LABEL) -> float:
+    """Negatives per positive of the rows to fit on; 1 without positives."""
+    counts = df.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q")).first()
+    return counts["q"] / counts["p"] if counts["p"] else 1.0
+
+
 def fit_trees(df: DataFrame, features: Sequence[str], label: str = schemas.LABEL, seed: int = 42,
               weight: float | None = None, **settings) -> PipelineModel:
-    """Boosted trees with positives weighted by negatives / positives, or by `weight` (that of an earlier fit)."""
-    settings = dict(settings)
+    """Boosted trees with positives weighted by negatives / positives, or by `weight` (that of the training rows for a refit).
+
+    The running predictions are checkpointed in the shared folder every CHECKPOINT_ROUNDS rounds, so that many rounds are
+    neither one lineage nor lost with an executor. The first r trees of a fit are the fit with r rounds (`compiled.staged`).
+    """
+    settings, context = dict(settings), df.sparkSession.sparkContext
+    session.checkpoint_dir(df.sparkSession)
     balance = df.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q")).first()
     if weight is None:
         weight = balance["q"] / balance["p"] if balance["p"] else 1.0
@@ -68,8 +92,8 @@ def fit_trees(df: DataFrame, features: Sequence[str], label: str = schemas.LABEL
     if subset is not None:
         settings["featureSubsetStrategy"] = "all" if subset >= 1.0 else str(subset)
     weighted = df.withColumn("_weight", F.when(F.col(label) == 1, F.lit(float(weight))).otherwise(F.lit(1.0)))
-    trees = GBTClassifier(featuresCol="_features", labelCol=label, weightCol="_weight", seed=seed,
-                          predictionCol="_prediction", **settings)
+    trees = GBTClassifier(featuresCol="_features", labelCol=label, weightCol="_weight", seed=seed, predictionCol="_prediction", cacheNodeIds=True,
+                          checkpointInterval=CHECKPOINT_ROUNDS if context.getCheckpointDir() else -1, **settings)
     trees = trees.setProbabilityCol("_probability").setRawPredictionCol("_raw")
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
     return Pipeline(stages=[assembler, trees]).fit(session.compact(weighted))
@@ -99,26 +123,69 @@ def model_summary(name: str, scored: DataFrame, threshold: float, k: int = 3, la
     return ordered.beside(areas, hits).select(F.lit(name).alias("model"), "*")
 
 
+def side_by_side(spark: SparkSession, fits: Sequence[Callable[[], DataFrame]], parallel: int = PARALLEL_FITS) -> DataFrame:
+    """The tables of several fits, `parallel` of which run at the same time; each is stored, so nothing is fitted again."""
+    def one(run):
+        return session.cut(run())
+    with ThreadPool(max(1, parallel)) as pool:
+        return ordered.union_all(*pool.map(inheritable_thread_target(spark)(one), fits))
+
+
 def sweep_logistic(train: DataFrame, validation: DataFrame, features: Sequence[str], label: str = schemas.LABEL,
-                   grid: Sequence[float] = C_GRID) -> DataFrame:
+                   grid: Sequence[float] = C_GRID, tol: float = 1e-6) -> DataFrame:
     """Validation metrics per regularisation strength, best average precision first."""
     n = train.count()
-    fits = {str(c): fit_logistic(train, features, label, c=c, rows=n) for c in grid}
+    fits = {str(c): fit_logistic(train, features, label, c=c, rows=n, tol=tol) for c in grid}
     return compare(fits, validation, label).withColumn("C", F.col("model").cast("double")).drop("model").orderBy(F.desc("pr_auc"), "C")
 
 
-def sweep_trees(train: DataFrame, validation: DataFrame, features: Sequence[str], grid: dict[str, Sequence],
-                label: str = schemas.LABEL, name: str = "gbt", **base) -> DataFrame:
+def staged_areas(validation: DataFrame, model: PipelineModel, features: Sequence[str], rounds: Sequence[int], label: str = schemas.LABEL) -> DataFrame:
+    """Validation areas of the first r trees for every r: one pass over the rows, one line each."""
+    scored = session.cut(compiled.staged(validation, model, features, rounds).select(F.col(label).alias("_label"), "probabilities"))
+    rows = [evaluate.area_metrics(scored.select("_label", F.col("probabilities")[i].alias("probability")), label="_label").select(
+        F.lit(r).alias("maxIter"), "*") for i, r in enumerate(rounds)]
+    return ordered.union_all(*rows)
+
+
+def sweep_capacity(train: DataFrame, validation: DataFrame, features: Sequence[str], label: str = schemas.LABEL, grid: dict[str, Sequence] = CAPACITY_GRID,
+                   parallel: int = PARALLEL_FITS, name: str = "gbt", **base) -> DataFrame:
+    """First stage: depth and number of trees. One fit per depth, with the most trees; the smaller numbers are its prefixes.
+
+    Columns model, maxIter, roc_auc, pr_auc, maxDepth; best average precision first.
+    """
+    base = {"stepSize": 0.1, "weight": class_weight(train, label), **base}
+
+    def of(depth):
+        fit = fit_trees(train, features, label, maxDepth=depth, maxIter=max(grid["maxIter"]), **base)
+        areas = staged_areas(validation, fit, features, grid["maxIter"], label).withColumn("maxDepth", F.lit(depth))
+        return areas.withColumn("model", F.concat(F.lit(f"{name}_maxDepth{depth}_maxIter"), F.col("maxIter").cast("string")))
+
+    return side_by_side(train.sparkSession, [lambda d=d: of(d) for d in grid["maxDepth"]], parallel).orderBy(F.desc("pr_auc"), "model")
+
+
+def sweep_trees(train: DataFrame, validation: DataFrame, features: Sequence[str], grid: dict[str, Sequence] = SAMPLING_GRID,
+                label: str = schemas.LABEL, name: str = "gbt", parallel: int = PARALLEL_FITS, **base) -> DataFrame:
     """Validation metrics per point of a parameter grid, best average precision first."""
     points = [dict(zip(grid, values)) for values in product(*grid.values())]
-    rows = []
-    for point in points:
-        model = fit_trees(train, features, label, **{**base, **point})
+    base = {"weight": class_weight(train, label), **base}
+
+    def of(point):
+        fit = fit_trees(train, features, label, **{**base, **point})
         title = f"{name}_" + "_".join(f"{k}{v}" for k, v in point.items())
-        settings = [F.lit(float(v)).alias(k) for k, v in point.items()]
-        rows.append(evaluate.area_metrics(with_probability(validation, model), label=label).select(
-            F.lit(title).alias("model"), "*", *settings))
-    return ordered.union_all(*rows).orderBy(F.desc("pr_auc"), "model")
+        return evaluate.area_metrics(with_probability(validation, fit), label=label).select(
+            F.lit(title).alias("model"), "*", *[F.lit(float(v)).alias(k) for k, v in point.items()])
+
+    return side_by_side(train.sparkSession, [lambda p=p: of(p) for p in points], parallel).orderBy(F.desc("pr_auc"), "model")
+
+
+def sweep_sampling(train: DataFrame, validation: DataFrame, features: Sequence[str], label: str = schemas.LABEL,
+                   capacities: Sequence[dict] = SAMPLED_CAPACITIES, grid: dict[str, Sequence] = SAMPLING_GRID, **base) -> DataFrame:
+    """Second stage: learning rate and sampling around each chosen capacity; `base_config` names the capacity."""
+    swept = []
+    for capacity in capacities:
+        title = "gbt_" + "_".join(f"{k}{v}" for k, v in capacity.items())
+        swept.append(sweep_trees(train, validation, features, grid, label, name=title, **{**base, **capacity}).withColumn("base_config", F.lit(title)))
+    return ordered.union_all(*swept).orderBy(F.desc("pr_auc"), "model")
 
 
 def coefficients(spark: SparkSession, model: PipelineModel, features: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekrank.operators import columns, joins
+from weekrank.operators.compiled import Compiled
 from weekrank.operators.encode import OneHot
 
 
@@ -36,6 +37,16 @@ def score(df: DataFrame, model: PipelineModel, encoder: OneHot, features: list[s
             .withColumn("above_threshold", (F.col(output) >= F.lit(float(threshold))).cast("int")))
 
 
+def score_plain(df: DataFrame, model: Compiled, encoder: OneHot, features: list[str], threshold: float,
+                output: str = "probability") -> DataFrame:
+    """As `score`, by the model's expression: no ML stage, no vectors; `df` keeps its columns."""
+    ready = columns.with_category(df, encoder.column).transform(encoder.transform)
+    scored = columns.with_defaults(ready, features).withColumn(output, model.probability())
+    kept = df.columns if encoder.column in df.columns else [*df.columns, encoder.column]
+    return scored.select(*[F.col(f"`{c}`") for c in kept], output).withColumn(
+        "above_threshold", (F.col(output) >= F.lit(float(threshold))).cast("int"))
+
+
 def decide(scored: DataFrame, threshold: float, request: str = "request_id", index: str = "index",
            probability: str = "probability") -> DataFrame:
     """One candidate: compare with the threshold. Several: only the best one wins (smallest index on ties).

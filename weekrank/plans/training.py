@@ -43,13 +43,13 @@ def prepare(view: DataFrame, *, label: str = schemas.LABEL, week: str = schemas.
     return Prepared(*[model.model_input(s, wanted, label) for s in spans], encoder, wanted)
 
 
-def train_final(data: Prepared, *, label: str = schemas.LABEL, c: float = model.BEST_C, max_iter: int = 1000) -> Trained:
+def train_final(data: Prepared, *, label: str = schemas.LABEL, c: float = model.BEST_C, max_iter: int = 1000, tol: float = 1e-6) -> Trained:
     """Fit on train, tune the threshold on validation, refit on both, evaluate on test."""
-    first = model.fit_logistic(data.train, data.features, label, c=c, max_iter=max_iter)
+    first = model.fit_logistic(data.train, data.features, label, c=c, max_iter=max_iter, tol=tol)
     tuned = evaluate.best_threshold(model.with_probability(data.validation, first), label=label)
     threshold = float(tuned.first()["threshold"])
     both = data.train.unionByName(data.validation)
-    final = model.fit_logistic(both, data.features, label, c=c, max_iter=max_iter)
+    final = model.fit_logistic(both, data.features, label, c=c, max_iter=max_iter, tol=tol)
     scored = model.with_probability(data.test, final)
     return Trained(Artifacts(final, data.encoder, data.features, threshold),
                    evaluate.holdout_metrics(scored, threshold, label=label), scored)
