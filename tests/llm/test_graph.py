@@ -34,3 +34,23 @@ def test_few_and_none(spark):
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(0, 1, 1, 0.0), (0, 2, 2, 0.0)]
     none = few.limit(0)
     assert graph.nearest(none, none).count() == 0
+
+
+def test_a_third_of_the_rows_are_one_vector(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (900, 16)).astype(np.float32)
+    x[rng.permutation(900)[:300]] = x[5] * 2
+    x[40:60] = x[41]
+    vectors = graph.usable(spark.createDataFrame(rows_of(x), SCHEMA))
+    got = graph.nearest(vectors, vectors.filter("vec_id % 20 = 0"), 20, shard=150, block=20, groups=3).toPandas()
+    exact = x.astype(float) @ x.astype(float).T
+    assert len(got) == 45 * 20 and not got.duplicated(["query_id", "vec_id"]).any()
+    hits = 0
+    for q, part in got.groupby("query_id"):
+        part = part.sort_values("rank")
+        others = np.delete(np.arange(900), q)
+        best = others[np.lexsort((others, -exact[q, others]))][:20]
+        hits += len(set(best) & set(part["vec_id"]))
+        if exact[q].max() == exact[q, 5] or (exact[q] == exact[q].max()).sum() >= 21:
+            assert list(part["vec_id"]) == list(best)
+    assert hits >= 0.97 * 45 * 20

@@ -2,11 +2,11 @@
 
 Vectors are dealt into shards of a bounded size by a hash. In each shard every vector gets neighbours that a greedy
 search through the graph so far proposes; relaxed distance pruning keeps diverse edges, and edges are returned. A beam
-search asks every shard, and the nearest of all shards stay. For inner products every vector gets one more component
+search asks every shard, and the nearest of all shards stay. Equal vectors are one node of one shard. For inner products every vector gets one more component
 that makes all of them equally long, so that the largest inner product is the smallest distance.
 
 Vectors that are null, zero, of another length than the first, or hold null or non-finite components take no part.
-Repeated vectors are different candidates; repeated ids count once per row.
+Repeated vectors are different candidates, found together; repeated ids count once per row.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from weekrank.llm import common
 
 SHARD, DEGREE, BUILD_BEAM, BEAM, RELAX, BATCH = 2500, 32, 48, 96, 1.2, 250
-BLOCK = 500  # queries that travel together
+BLOCK = 2500  # queries that travel together
+AT_ONCE = 500  # queries that step through a graph together
+GROUPS = 8  # groups of shards that a block is taken through side by side
 RUNS = 2
 
 
@@ -129,17 +131,42 @@ def build(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, rela
     return edges, start
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, *, shard: int = SHARD, beam: int = BEAM) -> DataFrame:
+class Heap:
+    """The best k (id, score) of every query so far, flat and sorted by query, falling score and id."""
+
+    def __init__(self, q_ids: np.ndarray, k: int):
+        self.q_ids, self.k = q_ids, k
+        self.owner, self.ids, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, owner: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        other = ids != self.q_ids[owner]
+        owner, ids, scores = (np.concatenate([a, b[other]]) for a, b in ((self.owner, owner), (self.ids, ids), (self.scores, scores)))
+        by = np.lexsort((ids, -scores, owner))
+        owner = owner[by]
+        heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else owner
+        place = np.arange(len(owner)) - np.repeat(heads, np.diff(np.append(heads, len(owner))))
+        by = by[place < self.k]
+        self.owner, self.ids, self.scores = owner[place < self.k], ids[by], scores[by]
+
+    def rows(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.q_ids[self.owner]), pa.array(self.ids), pa.array(self.scores)], ["query_id", "vec_id", "score"])
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, *, shard: int = SHARD, beam: int = BEAM, block: int = BLOCK, groups: int = GROUPS) -> DataFrame:
     """query_id, rank, vec_id and score (inner product in doubles) of the k nearest that are found for each query.
 
     `vectors` and `queries` are as from `usable`. A query's own row is no candidate. Fewer than k candidates are all
-    returned. Ties go to the smaller id.
+    returned. Ties go to the smaller id. Equal vectors are one node; it stands for their k + 1 smallest ids, more of
+    which no query can return. A task takes a block of queries through a group of shards one after the other and
+    keeps their k best, so that it returns k rows a query whatever the number of shards.
     """
-    head = vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m"), F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    head = vectors.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("m"), F.max(F.size("v")).alias("d")).first()
     most, width = float(head["m"] or 0.0), int(head["d"] or 0)
     vectors, queries = vectors.filter(F.size("v") == width), queries.filter(F.size("v") == width)
-    shards = max(1, math.ceil(head["n"] / shard))
-    blocks = max(1, math.ceil(queries.count() / BLOCK))
+    copies = Window.partitionBy("v").orderBy("vec_id")
+    kept = common.stored(vectors.select("vec_id", "v").withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1).drop("copy"))
+    shards = max(1, math.ceil(kept.df.count() / shard))
+    blocks, groups = max(1, math.ceil(queries.count() / block)), min(groups, shards)
 
     def matrix(table: pa.Table, name: str):
         column = table.column(name).combine_chunks()
@@ -147,40 +174,71 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, *, shard: int =
 
     def indexed(table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id").combine_chunks()
-        v = matrix(table, "v")
-        long = np.concatenate([v, np.sqrt(np.maximum(most - (v ** 2).sum(axis=1), 0))[:, None]], axis=1)
-        edges, start = build(long.astype(np.float32))
-        return pa.table({"s": [int(table.column("s")[0].as_py())], "start": [start], "ids": [table.column("vec_id").to_numpy().tobytes()],
-                         "points": [v.tobytes()], "edges": [edges.astype(np.int32).tobytes()]})
+        v, ids = matrix(table, "v") + 0.0, table.column("vec_id").to_numpy()
+        _, first, node = np.unique(v.view([("", v.dtype)] * v.shape[1]).ravel(), return_index=True, return_inverse=True)
+        points, ends = v[first], np.concatenate([[0], np.cumsum(np.bincount(node, minlength=len(first)))])
+        edges, start = build(_long(points, most))
+        return pa.table({"s": [int(table.column("s")[0].as_py())], "start": [start], "ids": [ids[np.argsort(node, kind="stable")].tobytes()],
+                         "ends": [ends.astype(np.int64).tobytes()], "points": [points.tobytes()], "edges": [edges.astype(np.int32).tobytes()]})
 
-    dealt = vectors.withColumn("s", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(shards)))
-    index = common.stored(dealt.groupBy("s").applyInArrow(indexed, "s long, start long, ids binary, points binary, edges binary"))
+    dealt = kept.df.withColumn("s", F.pmod(F.xxhash64("v", F.lit(3)), F.lit(shards)))
+    index = common.stored(dealt.groupBy("s").applyInArrow(indexed, "s long, start long, ids binary, ends binary, points binary, edges binary"))
+    kept.drop()
 
     def packed(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        return pa.table({"b": [int(table.column("b")[0].as_py())], "q_ids": [table.column("vec_id").to_numpy().tobytes()], "q": [matrix(table, "v").tobytes()]})
+        return pa.table({"b": [int(table.column("b")[0].as_py())], "ids": [table.column("vec_id").to_numpy().tobytes()], "points": [matrix(table, "v").tobytes()]})
 
-    asked = queries.withColumn("b", F.pmod(F.xxhash64("vec_id", F.lit(4)), F.lit(blocks))).groupBy("b").applyInArrow(packed, "b long, q_ids binary, q binary")
-    # Every block of the stated query set meets every shard.
-    meet = index.df.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))).join(asked, "b").select(
-        "start", "ids", "points", "edges", "q_ids", "q").repartition(shards * blocks)
+    asked = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(4)), F.lit(blocks)).alias("b")).groupBy("b").applyInArrow(packed, "b long, ids binary, points binary")
+    # Every block of the stated query set meets every shard: the queries come first, then the shards of the group.
+    none, order = F.lit(None).cast("binary"), ["b", "g", "s"]
+    numbers = [F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>") for n in (groups, blocks)]
+    first = asked.select("b", F.explode(numbers[0]).alias("g"), F.lit(-1).cast("long").alias("s"), F.lit(0).cast("long").alias("start"), "ids", none.alias("ends"), "points", none.alias("edges"))
+    then = index.df.select(F.explode(numbers[1]).alias("b"), (F.col("s") % groups).alias("g"), "s", "start", "ids", "ends", "points", "edges")
+    meet = first.unionByName(then).repartitionByRange(blocks * groups, "b", "g").sortWithinPartitions(*order)
 
     def search(batches):
+        now, heap, q = None, None, None
         for batch in batches:
-            for start, ids, points, edges, q_ids, q in zip(*[c.to_pylist() for c in batch.columns]):
-                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                v, q = np.frombuffer(points).reshape(len(ids), -1), np.frombuffer(q).reshape(len(q_ids), -1)
-                long = np.concatenate([v, np.sqrt(np.maximum(most - (v ** 2).sum(axis=1), 0))[:, None]], axis=1).astype(np.float32)
-                found, far = beam_search(long, np.frombuffer(edges, np.int32).reshape(len(ids), -1), np.pad(q, ((0, 0), (0, 1))).astype(np.float32), max(beam, 2 * k), start)
-                fit = (found >= 0) & np.isfinite(far)
-                score = np.einsum("qd,qkd->qk", q, v[np.maximum(found, 0)])
-                fit &= ids[np.maximum(found, 0)] != q_ids[:, None]
-                score[~fit] = -np.inf
-                by = np.lexsort((ids[np.maximum(found, 0)], -score), axis=1)[:, :k]
-                node, score = np.take_along_axis(found, by, 1), np.take_along_axis(score, by, 1)
-                good = np.isfinite(score)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, good.sum(axis=1))), pa.array(ids[node[good]]), pa.array(score[good])], ["query_id", "vec_id", "score"])
+            for row in range(batch.num_rows):
+                b, g, s, start = (batch.column(i)[row].as_py() for i in range(4))
+                ids, ends, points, edges = (batch.column(i)[row].as_buffer() for i in range(4, 8))
+                if (b, g) != now:
+                    if heap is not None:
+                        yield heap.rows()
+                    now, heap = (b, g), None
+                ids = np.frombuffer(ids, np.int64)
+                if s < 0:
+                    heap, q = Heap(ids, k), np.frombuffer(points).reshape(len(ids), -1)
+                elif heap is not None:  # else the block has no queries
+                    ends, points = np.frombuffer(ends, np.int64), np.frombuffer(points).reshape(-1, width)
+                    edges, long = np.frombuffer(edges, np.int32).reshape(len(points), -1), _long(points, most)
+                    for low in range(0, len(q), AT_ONCE):
+                        some = q[low:low + AT_ONCE]
+                        owner, node, score = _found(points, long, edges, ids[ends[:-1]], some, max(beam, 2 * k), k, start)
+                        n = np.diff(ends)[node]
+                        at = np.repeat(ends[node] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                        heap.add(np.repeat(owner + low, n), ids[at], np.repeat(score, n))
+        if heap is not None:
+            yield heap.rows()
 
     found = meet.mapInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _long(points: np.ndarray, most: float) -> np.ndarray:
+    """With the component that makes all vectors equally long."""
+    return np.concatenate([points, np.sqrt(np.maximum(most - (points ** 2).sum(axis=1), 0))[:, None]], axis=1).astype(np.float32)
+
+
+def _found(points, long, edges, firsts, queries, beam: int, k: int, start: int):
+    """Query, node and exact score of the best k + 1 nodes of each query's beam; ties to the node with the smaller id."""
+    found, far = beam_search(long, edges, np.pad(queries, ((0, 0), (0, 1))).astype(np.float32), beam, start)
+    node = np.maximum(found, 0)
+    score = np.einsum("qd,qkd->qk", queries, points[node])
+    score[(found < 0) | ~np.isfinite(far)] = -np.inf
+    by = np.lexsort((firsts[node], -score), axis=1)[:, :k + 1]
+    node, score = np.take_along_axis(node, by, 1), np.take_along_axis(score, by, 1)
+    good = np.isfinite(score)
+    return np.repeat(np.arange(len(queries)), good.sum(axis=1)), node[good], score[good]
