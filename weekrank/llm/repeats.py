@@ -26,7 +26,7 @@ from weekrank.llm import common, shards, words
 from weekrank.operators import joins
 
 LAST = np.iinfo(np.int64).max
-GROUP_STRETCHES = 20_000  # about as many different stretches are resolved together
+GROUP_BYTES = 1024 * 1024  # about as many bytes of different stretches are resolved together
 HOT_STRETCHES = 2_000  # different stretches of one gram that one task takes at most
 
 
@@ -137,7 +137,8 @@ def find(store: DataFrame, units: Units, resolve, by_start: bool) -> common.Stor
     # Hot grams go by content, so that none of them is in one task; their counts cut the join too.
     shared = joins.spread_join(owners.df, several.df.select("h", "hot"), ["h"], spread_by=["k"], counts=several.df.select("h", "n"), how="inner")
     hot = None if several.df.filter("hot").isEmpty() else _hot_ranges(shared.filter("hot"), units, by_start)
-    groups = max(1, math.ceil(owners.df.count() / GROUP_STRETCHES))
+    size = owners.df.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    groups = max(1, math.ceil(size / GROUP_BYTES))
 
     def resolved(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()

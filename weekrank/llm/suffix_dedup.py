@@ -19,6 +19,7 @@ from weekrank.llm import common, repeats, shards
 from weekrank.llm.suffixes import WORD, common_prefixes, packed, suffix_array
 
 LENGTH, GRAM = 100, 32
+SHARD_BYTES = 1024 * 1024  # every byte is a unit with a window of its own
 
 
 def resolve(contents: list, docs: np.ndarray, starts: np.ndarray, grams: np.ndarray, length: int = LENGTH) -> list:
@@ -44,7 +45,7 @@ def _units(length: int) -> repeats.Units:
 
 
 def _ranges(docs: DataFrame, length: int):
-    store = shards.stored(docs)
+    store = shards.stored(docs, SHARD_BYTES)
     ranges = repeats.find(store.df, _units(length), lambda *a: resolve(*a, length), True)
     return store, ranges
 
