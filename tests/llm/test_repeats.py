@@ -83,3 +83,25 @@ def test_hot_grams_are_not_gathered(spark, monkeypatch):
     got = collected(suffix_dedup.dedup(frame(spark, rows)))
     assert [(a, b, c, d, bytes(e)) for a, b, c, d, e in got] == brute_bytes(rows, 100)
     assert collected(phrase_dedup.dedup(frame(spark, rows))) == brute_words(rows, 50)
+
+
+def test_equal_windows_have_their_minimiser_at_one_place_in_shards_of_any_size(monkeypatch):
+    import numpy as np
+
+    from weekrank.llm import words
+
+    rng = np.random.default_rng(2)
+    passage = rng.integers(0, 3, 400)
+
+    def places(values, at, start):
+        positions, hashes = words.grams(values, at, 8)
+        starts, chosen = words.anchors(hashes, positions, at, 8, 50)
+        by = dict(zip(starts.tolist(), (positions[chosen] - starts).tolist()))
+        return [by[start + i] for i in range(351)]
+
+    small = places(passage, np.array([0, 400]), 0)
+    before, after = rng.integers(0, 3, 30_000), rng.integers(0, 3, 5_000)
+    large = np.concatenate([before, passage, after])
+    for chunk in (words.CHUNK, 1000, 30_100):
+        monkeypatch.setattr(words, "CHUNK", chunk)
+        assert places(large, np.array([0, 17, len(large)]), len(before)) == small

@@ -106,19 +106,30 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n - width + 1], ahead[width - 1:n])
 
 
+PLACE = 24  # low bits of a gram's hash that make room for its place
+CHUNK = 1 << 23  # window starts looked at together
+
+
 def anchors(hashes: np.ndarray, positions: np.ndarray, at: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     """The minimiser of every window of `window` values: window starts, and for each the index into `hashes`.
 
-    `hashes[i]` is the hash of the `gram` values from `positions[i]`. Equal windows have their minimiser at the
-    same place, because ties go to the leftmost one.
+    `hashes[i]` is the hash of the `gram` values from `positions[i]`. The smallest hash without its PLACE low bits counts, ties go to the
+    leftmost one: a choice that depends on nothing but the window, so equal windows have their minimiser at the same place in every shard.
     """
     n, few = int(at[-1]), window - gram + 1
-    bits = np.uint64(max(int(len(hashes)).bit_length(), 1))
-    full = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    full[positions] = (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)
-    starts = np.flatnonzero(inside_rows(at, window))
-    least = sliding_min(full, few)[starts] if len(starts) else full[:0]
-    return starts, (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    place, starts = np.uint64(PLACE), np.flatnonzero(inside_rows(at, window))
+    chosen = np.zeros(len(starts), np.int64)
+    for low in range(0, n, CHUNK):
+        high = min(n, low + CHUNK + few - 1)
+        a, b = np.searchsorted(positions, [low, high])
+        first, last = np.searchsorted(starts, [low, low + CHUNK])
+        if first == last:
+            continue
+        full = np.full(high - low, np.iinfo(np.uint64).max, np.uint64)
+        full[positions[a:b] - low] = (hashes[a:b] >> place << place) | np.arange(b - a, dtype=np.uint64)
+        least = sliding_min(full, few)[starts[first:last] - low]
+        chosen[first:last] = (least & np.uint64((1 << PLACE) - 1)).astype(np.int64) + a
+    return starts, chosen
 
 
 def runs(starts: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
