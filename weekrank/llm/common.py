@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +18,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Batches go to Python in small pieces, so that long texts do not pile up in a worker.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     # Shuffle files of a finished query are removed at once.
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
@@ -56,24 +55,38 @@ class Stored:
     def df(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
-    def part(self, column: str, value) -> DataFrame:
-        """The rows of one partition value, without the partition column."""
-        fields = [f for f in self.schema.fields if f.name != column]
-        return self.spark.read.schema(type(self.schema)(fields)).parquet(f"{self.path}/{column}={value}")
-
     def drop(self, sub: str = "") -> None:
         """Remove the files once nothing reads them any more."""
         target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path + (f"/{sub}" if sub else ""))
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of the scanned files (Catalyst's estimate; no job is run)."""
-    return session.estimated_bytes(df) or 0
+#: Bits that mark keys in a bitmap: 8 MB at most, whatever the input.
+BITS = 1 << 26
+_ROW = 32768  # bits of one row of a bitmap
+
+
+def bitmap(keys: DataFrame, columns: list[str], bits: int) -> DataFrame:
+    """The keys as bits (bucket, bits): a table of at most `bits` / 8 bytes that may be broadcast."""
+    slot = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    return keys.select(F.floor(slot / _ROW).cast("long").alias("bucket"), (slot % _ROW).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def with_bit(df: DataFrame, table: DataFrame, columns: list[str], bits: int, name: str) -> DataFrame:
+    """Adds `name`: false where the key is certainly not in the bitmap; true where it is, or meets another's bit."""
+    slot = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    table = table.select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits"))
+    found = df.withColumns({"_bucket": F.floor(slot / _ROW).cast("long"), "_bit": (slot % _ROW).cast("int")}).join(F.broadcast(table), "_bucket", "left")
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.withColumn(name, F.coalesce(F.getbit(byte, F.col("_bit") % 8) == 1, F.lit(False))).drop("_bucket", "_bit", "_bits")
 
 
-def pieces(df: DataFrame, bytes_each: int, least: int = 1) -> int:
-    return max(least, math.ceil(input_bytes(df) / bytes_each))
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    name = f"_{name}"
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
 def text_key(text: str = "text"):

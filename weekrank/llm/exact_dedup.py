@@ -20,8 +20,7 @@ from weekrank.llm import common
 from weekrank.operators import joins
 
 PREFIX = 256  # characters whose hash splits the groups of equal length
-BITS = 1 << 26  # bits that mark groups of several rows: 8 MB at most, whatever the input
-_BUCKET = 32768  # bits of one bitmap value
+BITS = common.BITS  # bits that mark groups of several rows
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -31,28 +30,13 @@ def normalised(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, *LOWER))
 
 
-def _slot(length: Column, prefix: Column) -> Column:
-    return F.pmod(F.xxhash64(length, prefix), F.lit(BITS))
-
-
-def _bitmap(keys: DataFrame) -> DataFrame:
-    """The slots of `keys` (length, prefix) as rows (bucket, bits)."""
-    slot = _slot(F.col("length"), F.col("prefix"))
-    return keys.select(F.floor(slot / _BUCKET).cast("long").alias("bucket"), (slot % _BUCKET).alias("bit")).groupBy("bucket").agg(
-        F.bitmap_construct_agg("bit").alias("bits"))
-
-
 def survivors(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     """doc_id, text, length and `shared`: whether another row may have the same length and first characters."""
     whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = whole.withColumns({"length": F.octet_length("text"), "prefix": F.xxhash64(normalised(F.substring("text", 1, prefix)))})
     several = keyed.groupBy("length", "prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    slot = _slot(F.col("length"), F.col("prefix"))
-    marked = keyed.withColumns({"bucket": F.floor(slot / _BUCKET).cast("long"), "bit": (slot % _BUCKET).cast("int")}).join(
-        F.broadcast(_bitmap(several)), "bucket", "left")
-    byte = F.conv(F.hex(F.substring("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    shared = F.coalesce(F.getbit(byte, F.col("bit") % 8) == 1, F.lit(False))
-    return marked.select("doc_id", "text", "length", shared.alias("shared"))
+    marked = common.with_bit(keyed, common.bitmap(several, ["length", "prefix"], BITS), ["length", "prefix"], BITS, "shared")
+    return marked.select("doc_id", "text", "length", "shared")
 
 
 def dedup(docs: DataFrame, prefix: int = PREFIX, digests: bool = False) -> DataFrame:

@@ -96,8 +96,13 @@ def sets_of(texts: pa.Array, size: int):
     return grams, np.searchsorted(owner, np.arange(len(at)))
 
 
+def _names(grams: np.ndarray, at: np.ndarray) -> pa.Array:
+    """64-bit names of the sets; null for one without words."""
+    return pa.array(words.window_hashes(grams, at[:-1], at[1:], words.BASE).view(np.int64), mask=np.diff(at) == 0)
+
+
 def described(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, text_key, the 64-bit name of the set (null without words), its shingles and its band keys."""
+    """doc_id, text_key, the 64-bit name of the set (null without words) and its band keys."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -106,16 +111,32 @@ def described(docs: DataFrame, size: int) -> DataFrame:
             sign = signatures(grams, np.ones(len(grams)), at, BANDS * ROWS)
             order = np.arange(1, ROWS + 1, dtype=np.uint64) * words.BASE
             band = words.mix((words.mix(sign.reshape(-1, BANDS, ROWS) + order)).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-            name = words.window_hashes(grams, at[:-1], at[1:], words.BASE).view(np.int64)
-            name = pa.array(name, mask=np.diff(at) == 0)
             ends = np.arange(len(at)) * BANDS
             ends = ends if len(at) else np.zeros(1, np.int64)
-            ints = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(grams.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), name, ints, common.grouped(band.view(np.int64).ravel(), ends, pa.int64())],
-                                             ["doc_id", "text_key", "name", "grams", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _names(grams, at), common.grouped(band.view(np.int64).ravel(), ends, pa.int64())],
+                                             ["doc_id", "text_key", "name", "bands"])
 
     keyed = docs.select("doc_id", common.text_key().alias("text_key"), "text")
-    return keyed.mapInArrow(run, f"doc_id {kind}, text_key long, name long, grams array<long>, bands array<long>")
+    return keyed.mapInArrow(run, f"doc_id {kind}, text_key long, name long, bands array<long>")
+
+
+def shingles(docs: DataFrame, rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """name and grams of the sets named in `wanted`, read again from their texts.
+
+    Rows (doc_id, text_key, name) of other sets are told apart by a bitmap of the wanted texts before anything is read or shuffled.
+    """
+    texts = rows.join(wanted, "name").groupBy("name").agg(F.min("text_key").alias("text_key")).select("text_key")
+    keyed = docs.select(common.text_key().alias("text_key"), "text")
+    some = common.with_bit(keyed, common.bitmap(texts, ["text_key"], common.BITS), ["text_key"], common.BITS, "wanted").filter("wanted").select("text")
+
+    def run(batches):
+        for batch in common.cut(batches):
+            grams, at = sets_of(batch.column(0), size)
+            yield pa.RecordBatch.from_arrays([_names(grams, at), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(grams.view(np.int64)))], ["name", "grams"])
+
+    found = some.mapInArrow(run, "name long, grams array<long>").filter("name IS NOT NULL")
+    # Copies leave a task once. Other texts with a wanted one's bit go with the join.
+    return found.groupBy("name").agg(F.first("grams").alias("grams")).join(wanted, "name", "left_semi")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
@@ -196,9 +217,9 @@ def _rest(sets: DataFrame, similar: float) -> DataFrame:
     return pairs.select(F.least("x_name", "y_name").alias("a"), F.greatest("x_name", "y_name").alias("b")).distinct()
 
 
-def _whole(keyed: DataFrame, ends: DataFrame, links: DataFrame, root: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+def _whole(near: DataFrame, links: DataFrame, root: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """(name, root) as in `root`, after the bands that are in several groups are searched for the pairs without an end."""
-    names = keyed.join(ends.filter("n > 3"), ["band", "key"]).select("band", "key", "name").join(root, "name", "left").select(
+    names = near.filter("n > 3").select("band", "key", "name").join(root, "name", "left").select(
         "band", "key", "name", F.coalesce("root", "name").alias("root"))
     names = common.stored(names)
     split = names.df.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band", "key")
@@ -215,18 +236,33 @@ def _whole(keyed: DataFrame, ends: DataFrame, links: DataFrame, root: DataFrame,
 def _members(docs: DataFrame, size: int, similar: float) -> DataFrame:
     """doc_id, text_key and the class (a set's name; null without words) of every row."""
     rows = common.stored(described(docs, size))
-    sets = common.stored(rows.df.filter("name IS NOT NULL").dropDuplicates(["name"]).select("name", "grams", "bands"))
-    keyed = sets.df.select("name", F.posexplode("bands").alias("band", "key"))
-    ends = keyed.groupBy("band", "key").agg(F.min("name").alias("low"), F.max("name").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
-    ends = common.stored(ends).df
-    near = keyed.join(ends, ["band", "key"])
-    pairs = near.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("name").alias("b")),
-                                          F.struct(F.col("name").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.*")
-    links = common.stored(_verified(pairs.filter("a <> b").distinct(), sets.df, similar))
-    root = _whole(keyed, ends, links.df, components(links.df), sets.df, similar)
+    names = rows.df.filter("name IS NOT NULL").dropDuplicates(["name"]).select("name", "bands")
+    keyed = common.stored(names.select("name", F.posexplode("bands").alias("band", "key")))
+    ends = common.stored(keyed.df.groupBy("band", "key").agg(F.min("name").alias("low"), F.max("name").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high"))
+    near = common.stored(keyed.df.join(ends.df, ["band", "key"]))
+    keyed.drop()
+    ends.drop()
+    sets = common.stored(shingles(docs, rows.df.select("doc_id", "text_key", "name"), near.df.select("name").distinct(), size))
+    # First one link a set, to the smallest name it shares a band with: that joins most of a large group.
+    first = near.df.filter("name <> low").groupBy("name").agg(F.min("low").alias("a")).select("a", F.col("name").alias("b"))
+    first = common.stored(_verified(first, sets.df, similar))
+    # Then, where a band still holds several groups, each set with the ends of the band that are in other groups.
+    rooted = near.df.join(common.stored(components(first.df)).df, "name", "left").withColumn("root", F.coalesce("root", "name"))
+    rooted = common.stored(rooted)
+    several = rooted.df.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("root", "name").alias("low_root"),
+                                                   F.max_by("root", "name").alias("high_root")).filter("r0 < r1").drop("r0", "r1")
+    still = rooted.df.join(several, ["band", "key"])
+    ends = F.array(F.when(F.col("root") != F.col("low_root"), F.struct(F.col("low").alias("a"), F.col("name").alias("b"))),
+                   F.when(F.col("root") != F.col("high_root"), F.struct(F.col("name").alias("a"), F.col("high").alias("b"))))
+    pairs = still.select(F.explode(F.array_compact(ends)).alias("p")).select("p.*").distinct()
+    links = common.stored(first.df.unionByName(_verified(pairs, sets.df, similar)))
+    first.drop()
+    rooted.drop()
+    root = common.stored(_whole(near.df, links.df, components(links.df), sets.df, similar))
     links.drop()
     sets.drop()
-    return rows.df.select("doc_id", "text_key", "name").join(root, "name", "left").select(
+    near.drop()
+    return rows.df.select("doc_id", "text_key", "name").join(root.df, "name", "left").select(
         "doc_id", "text_key", F.coalesce("root", "name").alias("class"))
 
 
@@ -249,12 +285,13 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, similar: float = SIMILAR) ->
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key"))
     member = common.stored(_members(docs, size, similar).filter("class IS NOT NULL").groupBy("doc_id", "text_key", "class").agg(F.count(F.lit(1)).alias("n")))
     best = member.df.groupBy("class").agg(F.min(order).alias("best"))
+    own, n, lost, again, key, id_ = (common.free_name(docs, c) for c in ("own", "n", "lost", "again", "key", "id"))
     marks = member.df.join(best, "class").select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"),
-        (~(F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.text_key") == F.col("text_key")))).alias("_lost"),
-        (F.col("n") > 1).alias("_again")).filter("_lost OR _again")
-    keyed = docs.withColumn("_own", common.text_key())
-    kept = keyed.join(marks, keyed["doc_id"].eqNullSafe(marks["_id"]) & (keyed["_own"] == marks["_key"]), "left").filter("_lost IS NULL OR NOT _lost")
+        F.col("doc_id").alias(id_), F.col("text_key").alias(key),
+        (~(F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.text_key") == F.col("text_key")))).alias(lost),
+        (F.col("n") > 1).alias(again)).filter(F.col(lost) | F.col(again))
+    keyed = docs.withColumn(own, common.text_key())
+    kept = keyed.join(marks, keyed["doc_id"].eqNullSafe(marks[id_]) & (keyed[own] == marks[key]), "left").filter(F.col(lost).isNull() | ~F.col(lost))
     # Rows that are there several times: the first of each stays.
-    once = Window.partitionBy("doc_id", "_own").orderBy(F.lit(0))
-    return kept.withColumn("_n", F.row_number().over(once)).filter("_lost IS NULL OR _n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    once = Window.partitionBy("doc_id", own).orderBy(F.lit(0))
+    return kept.withColumn(n, F.row_number().over(once)).filter(F.col(lost).isNull() | (F.col(n) == 1)).select(*[F.col(f"`{c}`") for c in docs.columns])
