@@ -66,3 +66,15 @@ def test_removal_keeps_everything_else(spark):
     df = decontaminate.remove(frame(spark, rows), spark.createDataFrame(items, "item_id string, text string"))
     assert collected(df.select("doc_id", "text")) == [(1, "Keep this. ! And that"), (2, None), (3, "clean")]
     assert "text_key" in df.columns
+
+
+def test_removal_in_several_blocks_judges_the_texts_as_they_came(spark):
+    words = [f"w{i}" for i in range(40)]
+    items = [("c", " ".join(words[5:20])), ("d", " ".join(words[12:28])), ("e", "none of these"), ("f", " ".join(words[25:30]))]
+    rows = [(1, " ".join(words), "en", "s", 1), (2, None, None, None, None), (3, "", None, None, None), (4, "clean text", None, None, None), *corpus(7, 30)]
+    tests = spark.createDataFrame(items + items_of(rows), "item_id string, text string")
+    docs = frame(spark, rows).selectExpr("*", "'mine' AS runs")
+    one = collected(decontaminate.remove(docs, tests).select("doc_id", "text", "runs"))
+    many = collected(decontaminate.remove(docs, tests, block_bytes=100).select("doc_id", "text", "runs"))
+    assert one == many and ("mine" in one[0])
+    assert (1, " ".join(words[:5]) + "  " + " ".join(words[30:]), "mine") in many

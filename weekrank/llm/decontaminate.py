@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weekrank.llm import common, words
 from weekrank.llm.suffixes import FMIndex
@@ -178,16 +179,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
 def remove(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with every hit stretch cut out of `text`; all other columns and rows stay.
 
-    Each pass judges what the pass before left, which can only matter for a test set of more than `block_bytes`.
+    All texts are judged as they came in: passes over the blocks of a large test set only mark runs of words, and the last
+    one cuts all of them.
     """
-    columns, at = docs.columns, docs.columns.index("text")
-    for phrases in blocks_of(benchmark, window, block_bytes=block_bytes):
-        def clean(batches, phrases=phrases):
+    columns, at, marks = docs.columns, docs.columns.index("text"), "runs"
+    while marks in columns:
+        marks += "_"
+    schema = docs.schema
+    passes = list(blocks_of(benchmark, window, block_bytes=block_bytes))
+    for number, phrases in enumerate(passes, 1):
+        def search(batches, phrases=phrases, known=number > 1, last=number == len(passes)):
             for batch in common.cut(batches, "text", SHARD_BYTES):
-                found = search_shard(batch.column(at), phrases)
-                parts = [batch.column(i) for i in range(batch.num_columns)]
-                parts[at] = pa.array([None if x is None else y for x, y in zip(parts[at].to_pylist(), without_hits(found).to_pylist())],
-                                     pa.string()) if parts[at].null_count else without_hits(found)
-                yield pa.RecordBatch.from_arrays(parts, columns)
-        docs = docs.mapInArrow(clean, docs.schema)
+                data, starts, ends, offsets, words_at, hit, pairs = search_shard(batch.column(at), phrases)
+                if known:
+                    lists = batch.column(len(columns))
+                    base = np.repeat(words_at[:-1], lists.value_lengths().to_numpy(zero_copy_only=False))
+                    bounds = (lists.flatten().to_numpy(zero_copy_only=False) + base).reshape(-1, 2)
+                    hit = hit | words.covered(len(hit), bounds[:, 0], bounds[:, 1])
+                parts = [batch.column(i) for i in range(len(columns))]
+                if last:
+                    cut = without_hits((data, starts, ends, offsets, words_at, hit, pairs))
+                    parts[at] = pa.array([None if x is None else y for x, y in zip(parts[at].to_pylist(), cut.to_pylist())], pa.string()) if parts[at].null_count else cut
+                    yield pa.RecordBatch.from_arrays(parts, columns)
+                else:
+                    first, stop, text = hit_runs(hit, words_at)
+                    runs = np.stack([first - words_at[text], stop - words_at[text]], axis=1).ravel()
+                    yield pa.RecordBatch.from_arrays([*parts, common.grouped(runs, 2 * np.searchsorted(text, np.arange(len(words_at))), pa.int64())], [*columns, marks])
+        docs = docs.mapInArrow(search, schema if number == len(passes) else T.StructType([*schema.fields, T.StructField(marks, T.ArrayType(T.LongType()))]))
     return docs
