@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weekrank import session
 from weekrank.operators import encode, evaluate, model, score
 from weekrank.sources import artifacts
 
@@ -165,3 +166,30 @@ def test_levels_as_a_table_agree_with_named_columns(spark):
         want = {(r["g"], next((n for n in named.levels if r[f"g__{n}"]), None)) for r in wide.collect()}
         assert got == want
     assert encode.fit_levels(train.limit(0), "g").count() == 0
+
+
+def test_many_levels_are_one_sparse_vector(spark):
+    """100,000 levels and no column for any of them."""
+    n = 100_000
+    rows = spark.range(2 * n).select(F.concat(F.lit("k"), F.col("id") % n).alias("key"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    levels = encode.fit_levels(rows, "key", 1)
+    vectors = encode.level_vectors(rows, "key", levels, True)
+    assert vectors.columns == ["key", "label", "levels"]
+    first = vectors.first()["levels"]
+    assert first.size == n and first.numNonzeros() == 1
+    fit = model.fit_logistic(session.cut(vectors), ["levels"], "label", c=1.0, max_iter=20)
+    found = model.level_coefficients(spark, fit, levels)
+    assert found.count() == n and found.select("level").distinct().count() == n
+    # A level seen once with each label lies between those seen twice with one.
+    by = rows.groupBy(F.col("key").alias("level")).agg(F.sum("label").alias("hits")).join(found, "level").groupBy("hits").agg(F.min("coef"), F.max("coef")).orderBy("hits").collect()
+    assert all(a[2] < b[1] for a, b in zip(by, by[1:]))
+
+
+def test_rows_without_a_level_are_all_zeros(spark):
+    train = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "key string")
+    levels = encode.fit_levels(train, "key", 2)
+    other = spark.createDataFrame([("a",), ("b",), ("new",), (None,), ("other",)], "key string")
+    got = {r["key"]: list(r["levels"].toArray()) for r in encode.level_vectors(other, "key", levels, False).collect()}
+    assert got == {"a": [1.0, 0.0], "b": [0.0, 0.0], "new": [0.0, 0.0], None: [0.0, 0.0], "other": [0.0, 1.0]}
+    assert [list(r["levels"].toArray()) for r in encode.level_vectors(train, "key", levels, True).orderBy("key").collect()] == [
+        [0.0, 1.0], [1.0, 0.0], [1.0, 0.0], [0.0, 1.0]]

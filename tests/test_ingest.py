@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,3 +75,50 @@ def test_empty_first_batch(spark, tmp_path):
     ingest.append_new_rows(rows.limit(0), str(tmp_path / "t"), 0, ["date"])
     ingest.append_new_rows(rows, str(tmp_path / "t"), 1, ["date"])
     assert [(r["name"], r["scrobble_number"]) for r in spark.read.parquet(str(tmp_path / "t")).collect()] == [("a", 1)]
+
+
+@pytest.mark.parametrize("files", [1, 3])
+@pytest.mark.parametrize("backwards", [False, True])
+def test_the_log_holds_every_row_whatever_the_order(spark, tmp_path, rows, files, backwards):
+    days = [[play(f"d{d}", f"2021-01-0{d} 10:00:00"), play("both", "2021-01-05 10:00:00"), play(None, None)] for d in range(1, 7)]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("artist_name", "track_name", "date")])
+    folder, path, state = tmp_path / "in", str(tmp_path / "log"), str(tmp_path / "state")
+    keys = ["artist_name", "track_name", "date"]
+
+    def store(batch, number):
+        ingest.log_rows(batch, path, number, keys)
+
+    landed_days = days[::-1] if backwards else days
+    for half in (landed_days[:3], landed_days[3:]):  # stopped in the middle and started again
+        for day in half:
+            land(folder, f"{len(list(folder.glob('*'))) if folder.exists() else 0}.json", day)
+        ingest.each_batch(ingest.watch(spark, str(folder), schema, files_per_trigger=files), state, store).start().awaitTermination()
+    got = rows(ingest.numbered(spark, path, ["date", "artist_name"]).select("scrobble_number", "artist_name", "date"))
+    want = sorted([("", None)] + [(f"2021-01-0{d} 10:00:00", f"d{d}") for d in range(1, 7)] + [("2021-01-05 10:00:00", "both")])
+    assert [(r[2] or "", r[1]) for r in got] == want and [r[0] for r in got] == list(range(1, 9))
+    log = ingest.commits(spark, path).orderBy(ingest.BATCH).collect()
+    assert sum(r.n for r in log) == 8 and sum(r.n_late for r in log) > 0
+    # The first batch once more, as after a failure between the write and the commit.
+    first = rows(spark.read.parquet(path).filter(f"{ingest.BATCH} = 0"))
+    names = [name for name in folder.glob("*") if any(f'"{r[0]}"' in name.read_text() for r in first if r[0] not in (None, "both"))]
+    store(spark.read.schema(schema).json([str(n) for n in names]), 0)
+    assert rows(spark.read.parquet(path).filter(f"{ingest.BATCH} = 0")) == first
+
+
+def test_weekly_window_gives_a_week_out_once(spark, tmp_path, rows):
+    schema = T.StructType([T.StructField("artist_name", T.StringType()), T.StructField("date", T.TimestampType())])
+    folder, path, state = tmp_path / "in", str(tmp_path / "weeks"), str(tmp_path / "state")
+
+    def run():
+        counts = ingest.weekly_counts(ingest.watch(spark, str(folder), schema, files_per_trigger=1), ["artist_name"], "date", "2 days")
+        counts.writeStream.option("checkpointLocation", state).format("parquet").option("path", path).trigger(availableNow=True).start().awaitTermination()
+        return rows(spark.read.schema("artist_name string, week_saturday date, n long").parquet(path))
+
+    land(folder, "a.json", [play("x", "2021-01-03 00:00:00"), play("x", "2021-01-09 23:59:59"), play("x", "2021-01-10 00:00:00")])
+    assert run() == []
+    land(folder, "b.json", [play("x", "2021-01-11 23:00:00"), play("x", "2021-01-04 00:00:00")])
+    assert run() == []
+    land(folder, "c.json", [play("y", "2021-01-13 00:00:00")])
+    assert [(a, str(w), n) for a, w, n in run()] == [("x", "2021-01-09", 3)]
+    land(folder, "d.json", [play("x", "2021-01-05 00:00:00"), play("y", "2021-01-25 00:00:00")])
+    assert sorted((a, str(w), n) for a, w, n in run()) == [("x", "2021-01-09", 3), ("x", "2021-01-16", 2), ("y", "2021-01-16", 1)]

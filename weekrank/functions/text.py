@@ -36,14 +36,28 @@ def _fold_unicode(c: Column) -> Column:
     return F.pandas_udf(fold, T.StringType())(c)
 
 
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
+def ascii_key(c: Column) -> Column:
+    """The canonical key of an ASCII name, without Python."""
+    return F.lower(_collapse(c))
+
+
+def unicode_key(c: Column) -> Column:
+    """The canonical key of any name, in Python."""
+    return _fold_unicode(c)
+
+
 def canonical_key(c: Column) -> Column:
     """Key on which differently typed names meet: NFKC, trimmed, single-spaced, case-folded.
 
-    ASCII names never leave the JVM; only the others are sent to Python. Call it on distinct
-    names (see `operators.joins.name_keys`).
+    Every row passes through Arrow, ASCII names as null. Call it on distinct names (see `operators.joins.name_keys`), or
+    split the rows first (`operators.joins.split_keys`).
     """
-    ascii_only = c.rlike(r"^[\x00-\x7F]*$")
-    return F.coalesce(F.when(ascii_only, F.lower(_collapse(c))), _fold_unicode(F.when(~ascii_only, c)))
+    ascii_only = is_ascii(c)
+    return F.coalesce(F.when(ascii_only, ascii_key(c)), unicode_key(F.when(~ascii_only, c)))
 
 
 def clean_credit(c: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,3 +126,18 @@ def with_level(df: DataFrame, column: str, levels: DataFrame, fitting: bool, nam
     joined = joins.lookup(df.withColumn("_level", value), session.cut(known), ["_level"], spread_by=keys)
     found = F.coalesce("_found", F.lit("other")) if fitting else F.col("_found")
     return joined.withColumn(name, found).drop("_level", "_found")
+
+
+def level_vectors(df: DataFrame, column: str, levels: DataFrame, fitting: bool, output: str = "levels") -> DataFrame:
+    """Adds one sparse vector a row with a 1 at the number of its level (`numbered_levels`), all zeros where it has none.
+
+    There is no column per level and no list of levels in the driver: the number comes from the level table by a join, and a row
+    holds one index. The vector goes into `model.fit_logistic` like any other feature.
+    """
+    numbered = session.cut(numbered_levels(levels))
+    n = numbered.count()
+    marked = joins.lookup(with_level(df, column, levels, fitting), numbered, ["level"], spread_by=df.columns)
+    # Number n stands for no level; the encoder drops the last number.
+    marked = marked.withColumn("level_index", F.coalesce(F.col("level_index"), F.lit(n)).cast("double"))
+    encoder = OneHotEncoder(inputCol="level_index", outputCol=output, dropLast=True).fit(df.sparkSession.createDataFrame([(float(n),)], "level_index double"))
+    return encoder.transform(marked).drop("level", "level_index")

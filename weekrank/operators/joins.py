@@ -143,6 +143,19 @@ def with_keys(df: DataFrame, names: dict[str, str] = KEY_NAMES) -> DataFrame:
                            for c, key in names.items() if c in df.columns})
 
 
+def split_keys(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Adds the canonical key of `name` by a split plan: ASCII and null names in the JVM, each other name once in Python.
+
+    The rows are read twice, once for each side; give a stored table. Rows with other names meet their keys by a join.
+    """
+    value = F.col(f"`{name}`").cast("string")
+    plain = F.coalesce(text.is_ascii(value), F.lit(True))
+    native = df.filter(plain).withColumn(key, text.ascii_key(value))
+    others = df.filter(~plain).withColumn("_name", value)
+    keyed = by_distinct(others, ["_name"], lambda d: d.withColumn(key, text.unicode_key(F.col("_name"))), spread_by=df.columns)
+    return native.unionByName(keyed.drop("_name"))
+
+
 def name_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct name combinations with their keys and `n`, the number of rows of each."""
     return with_keys(key_counts(df, columns), {c: KEY_NAMES[c] for c in columns if c in KEY_NAMES})

@@ -7,6 +7,7 @@ from itertools import product
 from math import sqrt
 from multiprocessing.pool import ThreadPool
 
+import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekrank import schemas, session
-from weekrank.operators import columns, compiled, evaluate, ordered
+from weekrank.operators import columns, compiled, encode, evaluate, joins, ordered
 
 # The regularisation grid and the chosen strength.
 C_GRID = [0.01, 0.1, 1.0, 10.0, 100.0]
@@ -195,5 +196,12 @@ def coefficients(spark: SparkSession, model: PipelineModel, features: Sequence[s
     return table.orderBy(F.desc("abs_coef"), "feature")
 
 
+def level_coefficients(spark: SparkSession, model: PipelineModel, levels: DataFrame, first: int = 0) -> DataFrame:
+    """level and coefficient for the levels of a sparse vector whose numbers start at feature `first` (as many as the model holds)."""
+    values = model.stages[-1].coefficients.toArray()[first:]
+    table = spark.createDataFrame(pd.DataFrame({"level_index": range(len(values)), "coef": values}), "level_index long, coef double")
+    return joins.lookup(encode.numbered_levels(levels), session.cut(table), ["level_index"], spread_by=["level"]).select("level", "coef")
+
+
 def leaderboard(table: DataFrame, n: int, by: str = "abs_coef", tie_break: str = "feature") -> DataFrame:
     return ordered.top(table, n, F.desc(by), tie_break)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weekrank import schemas
+from weekrank import schemas, session
 from weekrank.functions import dates, nested, numbers, text
 from weekrank.operators import columns, impute, joins
 from weekrank.plans.clean import clean_events as clean_plan
@@ -44,8 +44,24 @@ SELECT artist_name, track_name, count(*) AS n, lower(trim(regexp_replace(artist_
   lower(track_name) AS track_key FROM t GROUP BY artist_name, track_name"""
 
 
+_WIDE = "".join(chr(0xFEE0 + ord(c)) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ#0123456789")
+
+
+def unicode_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys of customer names, a third of them in full-width letters with no-break spaces: split between the JVM and Python."""
+    customer = tables(spark, folder, "customer")
+    wide = F.concat(F.lit("\u00a0\u3000"), F.translate(F.upper("c_name"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ#0123456789", _WIDE), F.lit("\u00a0X\u2003"))
+    names = session.cut(customer.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, wide).when(F.col("c_custkey") % 7 != 0, F.concat(F.lit(" \t"), "c_name", F.lit("  x"))).alias("name")))
+    return report(joins.split_keys(names, "name", "key").select("c_custkey", "key"))
+
+
+QUERIES["unicode_keys"] = unicode_keys
+SQL["unicode_keys"] = """
+SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 7 <> 0 THEN lower(c_name) || ' x' END AS key FROM customer"""
+
+
 def text_keys(spark: SparkSession, folder: str) -> DataFrame:
-    """Join keys of whole documents in several languages, with how many documents share each key's length."""
+    """Lengths of the join keys of whole documents in several languages."""
     documents = tables(spark, folder, "documents")
     keyed = documents.select("doc_id", "lang", F.length(text.canonical_key(F.col("text"))).alias("key_length"))
     return report(keyed)

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekrank import schemas, session
-from weekrank.operators import columns, compiled, encode, evaluate, model, ordered, score
+from weekrank.operators import compiled, encode, evaluate, joins, model, ordered, score
 from weekrank.plans import training
-from weekrank.queries.common import ORDERS_CTE, SEGMENT, order_weekly, r, report, weekly_cte
+from weekrank.queries.common import ORDERS_CTE, SEGMENT, order_weekly, report, tables, weekly_cte
 from weekrank.queries.modelling import _WEEKS, _split_sql
 from weekrank.sources import artifacts
 
@@ -210,13 +210,47 @@ def coef_standard(spark: SparkSession, folder: str) -> DataFrame:
     """The three largest coefficients of standardised features."""
     data = prepared(spark, folder)
     fit = model.fit_logistic(data.train, data.features, c=model.BEST_C, scale=True, tol=TOL)
-    return rounded(model.leaderboard(model.coefficients(spark, fit, data.features), 3), 4, "coef", "abs_coef")
+    # Levels that complement each other have opposite coefficients: the names decide between equal sizes.
+    return model.leaderboard(rounded(model.coefficients(spark, fit, data.features), 4, "coef", "abs_coef"), 3)
 
 
 QUERIES["coef_standard"] = coef_standard
 _STANDARD = ", ".join(f"CASE WHEN stddev_pop(\"{f}\") OVER () > 0 THEN (\"{f}\" - avg(\"{f}\") OVER ()) / stddev_pop(\"{f}\") OVER () ELSE 0 END AS \"{f}\"" for f in X)
 SQL["coef_standard"] = (f"{_fits(f'data AS (SELECT 1 AS fit, CAST({model.BEST_C} AS DOUBLE) AS c, y, {_STANDARD} FROM x WHERE split = {chr(39)}train{chr(39)})')}, {newton('data', X)}, "
-                        f"long AS ({_LONG}) SELECT feature, (round(coef, 4) + 0.0) AS coef, round(abs(coef), 4) AS abs_coef FROM long WHERE {_PRESENT} ORDER BY abs(coef) DESC, feature LIMIT 3")
+                        f"long AS ({_LONG}) SELECT feature, (round(coef, 4) + 0.0) AS coef, round(abs(coef), 4) AS abs_coef FROM long WHERE {_PRESENT} ORDER BY round(abs(coef), 4) DESC, feature LIMIT 3")
+
+
+def level_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """Returned or not by part: a fit whose only feature is one of thousands of levels, as sparse vectors, and its coefficients."""
+    items = session.cut(tables(spark, folder, "lineitem").select(F.col("l_partkey").alias("part"), (F.col("l_returnflag") == "R").cast("int").alias("label")))
+    levels = encode.fit_levels(items, "part", 4)
+    vectors = session.cut(encode.level_vectors(items, "part", levels, True))
+    fit = model.fit_logistic(vectors, ["levels"], "label", c=FINAL_C, tol=TOL)
+    marked = encode.with_level(items, "part", levels, True).groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("returned"))
+    found = joins.lookup(marked, session.cut(model.level_coefficients(spark, fit, levels)), ["level"], spread_by=["level"])
+    p = 1.0 / (1.0 + F.exp(-F.lit(float(fit.stages[-1].intercept)) - F.col("coef")))
+    proof = F.col("n") * p - F.col("returned") + F.col("coef") / FINAL_C
+    return rounded(found.withColumn("gradient", proof), 2, "coef", "gradient")
+
+
+QUERIES["level_fit"] = level_fit
+
+
+def _level_newton(steps: int = 12) -> str:
+    """Newton's method for one category: each level only meets the intercept, so a step is one pass over the levels."""
+    out = ["v0 AS MATERIALIZED (SELECT level, n, returned, CAST(0 AS DOUBLE) AS w0, CAST(0 AS DOUBLE) AS w FROM cells)"]
+    for s in range(steps):
+        out += [f"u{s} AS MATERIALIZED (SELECT *, n * p * (1 - p) AS s, n * p - returned AS g0, n * p - returned + w / {FINAL_C} AS g, n * p * (1 - p) + 1.0 / {FINAL_C} AS h "
+                f"FROM (SELECT *, 1.0 / (1.0 + exp(-(w0 + w))) AS p FROM v{s}))",
+                f"t{s} AS MATERIALIZED (SELECT (sum(g0) - sum(s * g / h)) / (sum(s) - sum(s * s / h)) AS d FROM u{s})",
+                f"v{s + 1} AS MATERIALIZED (SELECT level, n, returned, w0 - d AS w0, w - (g - s * d) / h AS w FROM u{s}, t{s})"]
+    return ", ".join(out) + f", done AS (SELECT * FROM v{steps})"
+
+
+SQL["level_fit"] = f"""
+WITH c AS (SELECT CAST(l_partkey AS VARCHAR) AS part, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS returned FROM lineitem GROUP BY 1),
+cells AS MATERIALIZED (SELECT CASE WHEN n >= 4 THEN part ELSE 'other' END AS level, CAST(sum(n) AS BIGINT) AS n, CAST(sum(returned) AS BIGINT) AS returned FROM c GROUP BY 1),
+{_level_newton()} SELECT level, n, returned, (round(w, 2) + 0.0) AS coef, CAST(0 AS DOUBLE) AS gradient FROM done"""
 
 
 # --- stored models and batch scoring -------------------------------------------------------------------------------------

@@ -8,8 +8,8 @@ from pyspark.sql import types as T
 
 from weekrank import schemas, session
 from weekrank.functions import dates
-from weekrank.operators import columns
-from weekrank.queries.common import r, report, tables
+from weekrank.operators import columns, merge, ordered
+from weekrank.queries.common import r, report, saturday, tables
 from weekrank.sources import landed
 from weekrank.sources import tables as files
 from weekrank.streaming import ingest
@@ -204,6 +204,26 @@ def json_report(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES["json_report"] = json_report
 SQL["json_report"] = f"SELECT c_mktsegment, count(*) AS n, {r('avg(c_acctbal)')} AS balance FROM customer GROUP BY 1"
 
+def loaded_inputs(spark: SparkSession, folder: str) -> DataFrame:
+    """Events and tracks written as the curated CSV tables and loaded by name; the other five tables are absent."""
+    path = session.scratch_path(spark, "inputs")
+    events = tables(spark, folder, "events").select(
+        F.col("event_id").alias("scrobble_number"), F.concat(F.lit("user "), F.col("user_id")).alias("username"), F.col("event_type").alias("track_name"),
+        F.col("ts").alias("date"), F.when(F.col("value") > 50, F.lit("n/a")).otherwise(F.col("event_type")).alias("artist_name"))
+    files.write_csv(columns.conform(events, schemas.SCROBBLES), f"{path}/scrobbles.csv")
+    files.write_csv(events.select("artist_name", "track_name", F.length("track_name").alias("track_duration")).distinct(), f"{path}/tracks.csv")
+    found = files.load_inputs(spark, path, fmt="csv")
+    missing = files.load_inputs(spark, f"{path}/none", fmt="csv")
+    rows = found["scrobbles"].join(found["tracks"].groupBy("track_name").agg(F.max("track_duration").alias("track_duration")), "track_name")
+    return report(rows.groupBy("track_name", "artist_name").agg(F.count(F.lit(1)).alias("n"), F.max("date").alias("last"), F.sum("track_duration").alias("duration"))
+                  .withColumns({"tables": F.lit(len(found)), "without_events": F.lit(int(missing is None))}))
+
+
+QUERIES["loaded_inputs"] = loaded_inputs
+SQL["loaded_inputs"] = """
+SELECT event_type AS track_name, CASE WHEN value > 50 THEN NULL ELSE event_type END AS artist_name, count(*) AS n, strftime(max(date_trunc('second', ts)), '%Y-%m-%d %H:%M:%S') AS last,
+  CAST(sum(length(event_type)) AS BIGINT) AS duration, CAST(2 AS BIGINT) AS tables, CAST(1 AS BIGINT) AS without_events FROM events GROUP BY 1, 2"""
+
 # --- incremental ingest as a stream -------------------------------------------------------------
 
 
@@ -273,3 +293,67 @@ n AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, near ORDER
 SELECT 'user ' || user_id AS artist_name, event_type AS track_name, 't' || event_id AS spotify_track_id,
   strftime(ts, '%Y-%m-%d %H:%M:%S') AS added_at_utc, CAST(near AS VARCHAR) AS week_saturday_utc, CAST(1 AS BIGINT) AS is_week_favorite
 FROM n WHERE rn = 1"""
+
+
+def stream_any_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Events landed as files from the newest to the oldest, with some rows twice, one and three files a trigger, stopped half way.
+
+    Every row is in the log once and numbered by its time, however it came.
+    """
+    events, order = session.cut(tables(spark, folder, "events")), ["ts", "event_id"]
+    slices = [F.col("ts") >= F.lit("2024-01-22").cast("timestamp_ntz"), F.col("ts").between(F.lit("2024-01-14").cast("timestamp_ntz"), F.lit("2024-01-23").cast("timestamp_ntz")),
+              F.col("ts").between(F.lit("2024-01-07").cast("timestamp_ntz"), F.lit("2024-01-14").cast("timestamp_ntz")), F.col("ts") < F.lit("2024-01-08").cast("timestamp_ntz")]
+    read = []
+    for files in (1, 3):
+        landing, path, state = (session.scratch_path(spark, name) for name in ("landing", "log", "state"))
+
+        def store(batch: DataFrame, number: int, path: str = path) -> None:
+            ingest.log_rows(batch, path, number, ["event_id"], "ts")
+
+        for half in (slices[:2], slices[2:]):
+            for part in half:
+                events.filter(part).coalesce(1).write.mode("append").parquet(landing)
+            watched = ingest.watch(spark, landing, events.schema, "parquet", "*.parquet", files)
+            ingest.each_batch(watched, state, store).start().awaitTermination()
+        read.append(ingest.numbered(spark, path, order).withColumn("files", F.lit(files)))
+    return report(ordered.union_all(*read).select("files", "scrobble_number", "event_id", "ts"))
+
+
+QUERIES["stream_any_order"] = stream_any_order
+SQL["stream_any_order"] = """
+WITH e AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS scrobble_number, event_id, ts FROM events)
+SELECT files, scrobble_number, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM e, (SELECT unnest([1, 3]) AS files)"""
+
+
+def stream_weeks(spark: SparkSession, folder: str) -> DataFrame:
+    """Events per type and week from a watermarked seven-day window: the weeks that no row is waited for any more."""
+    path, state = session.scratch_path(spark, "weeks"), session.scratch_path(spark, "state")
+    counts = ingest.weekly_counts(_event_stream(spark, folder), ["event_type"], "ts")
+    query = (counts.writeStream.option("checkpointLocation", state).format("parquet").option("path", path).outputMode("append")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return report(spark.read.schema(counts.schema).parquet(path))
+
+
+QUERIES["stream_weeks"] = stream_weeks
+SQL["stream_weeks"] = f"""
+WITH e AS (SELECT event_type, {saturday('ts')} AS week FROM events)
+SELECT event_type, CAST(week AS VARCHAR) AS week_saturday, count(*) AS n FROM e
+WHERE week + 1 <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY ALL"""
+
+
+def versioned_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers' newest order per month, merged in three rounds into versions, the oldest rows last; old versions cleaned."""
+    path, keys = session.scratch_path(spark, "versions"), ["o_custkey", "month"]
+    orders = tables(spark, folder, "orders").select("o_custkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderkey", "o_orderdate", "o_totalprice")
+    for part in (F.col("o_orderdate") >= F.lit("1997-01-15"), F.col("o_orderkey") % 2 == 0, F.lit(True)):
+        merge.upsert_versions(orders.filter(part), path, keys, ["o_orderdate", "o_orderkey"], "month")
+    table = merge.Versioned(spark, path, orders.schema, "month")
+    table.clean()
+    return report(table.read())
+
+
+QUERIES["versioned_labels"] = versioned_labels
+SQL["versioned_labels"] = f"""
+SELECT o_custkey, strftime(o_orderdate, '%Y-%m') AS month, o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, {r('o_totalprice')} AS o_totalprice
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, strftime(o_orderdate, '%Y-%m') ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1"""

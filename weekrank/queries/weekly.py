@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weekrank import schemas, session
 from weekrank.functions import dates
-from weekrank.operators import columns, features, joins, weekly
+from weekrank.operators import columns, features, joins, ordered, weekly
 from weekrank.plans import weekly_table as plans
 from weekrank.queries.common import (
     CUSTOMER, EVENT_ENTITY, EVENTS_CTE, ORDERS_CTE, SEGMENT, WEEKLY_COLUMNS, order_events, order_weekly, r, report,
@@ -323,3 +323,30 @@ def dedupe_drop_nulls(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES["dedupe_drop_nulls"] = dedupe_drop_nulls
 SQL["dedupe_drop_nulls"] = (
     "SELECT DISTINCT user_id, event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events WHERE value > 100")
+
+
+def export_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The weekly base in export order: the place of every row."""
+    base = weekly.in_week_order(order_weekly(spark, folder), entity=SEGMENT).withColumn("_at", F.monotonically_increasing_id())
+    return report(ordered.running_number(session.cut(base), ["_at"], "place").select("place", *SEGMENT, schemas.WEEK))
+
+
+QUERIES["export_order"] = export_order
+SQL["export_order"] = (
+    f"WITH {ORDERS_CTE}, {weekly_cte('w', 'oe', SEGMENT, 'o_orderdate', 'label')} SELECT row_number() OVER (ORDER BY week, {_keys(SEGMENT)}) AS place, "
+    f"{_keys(SEGMENT)}, CAST(week AS VARCHAR) AS week_saturday_utc FROM w")
+
+
+def shared_features(spark: SparkSession, folder: str) -> DataFrame:
+    """The features that a table and a poorer one share, with their sums over both."""
+    table = session.cut(feature_table(spark, folder))
+    poorer = table.drop("momentum_4w_ratio", "days_since_release", "released_within_28d").withColumn("genre__x", F.lit(1))
+    names = columns.common_features(table, poorer)
+    both = columns.with_defaults(table, names).select(names).unionAll(columns.with_defaults(poorer, names).select(names))
+    return report(both.agg(*[F.sum(c).alias(c) for c in names]).unpivot([], names, "feature", "total").withColumn("total", F.round("total", 2)))
+
+
+QUERIES["shared_features"] = shared_features
+_SHARED = [c for c in schemas.CORE_FEATURES if c not in ("track_duration", "momentum_4w_ratio", "days_since_release")]
+SQL["shared_features"] = f"WITH {TABLE_CTE} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round(2 * sum(coalesce(CAST({c} AS DOUBLE), 0)), 2) AS total FROM t" for c in _SHARED)

@@ -71,6 +71,48 @@ def append_new_rows(incoming: DataFrame, path: str, batch: int, order: Sequence[
     _append(ordered.running_number(fresh, order, number, start), path, batch)
 
 
+def log_rows(incoming: DataFrame, path: str, batch: int, keys: Sequence[str], ts: str = "date") -> None:
+    """Append the rows whose `keys` the log does not have yet, whatever their time: nothing is lost to the order of arrival.
+
+    The log has one folder per batch, which a repeated batch writes again. `late` tells rows that are not after the newest row of
+    the batches before. Only stored rows within the time span of the batch are compared (Parquet statistics skip the rest); rows
+    without a time are compared with each other. Numbers are dealt when the log is read (`numbered`).
+    """
+    stored = _stored(incoming.sparkSession, path, batch)
+    at = dates.to_utc(F.col(ts))
+    fresh, mark = joins.first_per_key(incoming, keys, keys), None
+    if stored is not None:
+        span = incoming.agg(F.min(ts).alias("low"), F.max(ts).alias("high")).first()
+        mark = stored.agg(F.max(at)).first()[0]
+        near = stored.filter(F.col(ts).between(F.lit(span["low"]), F.lit(span["high"])) | F.col(ts).isNull())
+        seen = near.select(*[F.col(k).alias(f"_seen_{k}") for k in keys])
+        fresh = fresh.join(seen, joins.same([(k, f"_seen_{k}") for k in keys]), "left_anti")
+    late = F.lit(False) if mark is None else F.coalesce(at <= F.lit(mark), F.lit(False))
+    _append(fresh.withColumn("late", late), path, batch)
+
+
+def numbered(spark: SparkSession, path: str, order: Sequence[str], number: str = "scrobble_number") -> DataFrame:
+    """The whole log with numbers from 1 in a total order; late rows have their place among the others."""
+    return ordered.running_number(spark.read.parquet(path), order, number)
+
+
+def commits(spark: SparkSession, path: str, ts: str = "date") -> DataFrame:
+    """What every batch added: rows, late rows, first and last time."""
+    return spark.read.parquet(path).groupBy(BATCH).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("late").alias("n_late"), F.min(ts).alias("first"), F.max(ts).alias("last"))
+
+
+def weekly_counts(stream: DataFrame, entity: Sequence[str], ts: str, delay: str = "1 day") -> DataFrame:
+    """Events per entity and Saturday-ended week as a watermarked window: a week is given out once, when no row of it is waited for.
+
+    Weeks run from Sunday 00:00 to Saturday 24:00. Rows of a week that was given out are dropped by the watermark, `delay` after the newest time seen.
+    """
+    # The epoch fell on a Thursday: windows of seven days are moved to Sunday.
+    window = F.window(F.col(ts), "7 days", startTime="3 days")
+    counts = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).groupBy(window.alias("week"), *entity).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(*entity, F.to_date(F.col("week.end") - F.expr("INTERVAL 1 DAY")).alias("week_saturday"), "n")
+
+
 def append_unseen(events: DataFrame, path: str, batch: int, keys: Sequence[str],
                   enrich: Callable[[DataFrame], DataFrame]) -> None:
     """Append `enrich(unseen keys)` for the keys of this batch the table does not have yet."""
@@ -78,6 +120,11 @@ def append_unseen(events: DataFrame, path: str, batch: int, keys: Sequence[str],
     _append(enrich(joins.pending_keys(events, known, keys)), path, batch)
 
 
+def merge_versions(labels: DataFrame, path: str, keys: Sequence[str], newest: Sequence[str], partition: str) -> int:
+    """As `merge_labels`, into versioned partitions whose manifest is swapped once."""
+    return merge.upsert_versions(labels, path, keys, newest, partition)
+
+
 def merge_labels(labels: DataFrame, path: str, keys: Sequence[str], newest: Sequence[str], partition: str) -> None:
     merge.upsert_partitions(labels, path, keys, newest, partition, exists(labels.sparkSession, path))
 
