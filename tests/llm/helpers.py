@@ -63,7 +63,7 @@ def frame(spark, rows, schema=SCHEMA):
     return spark.createDataFrame(rows, schema).withColumns({c: F.lit("clash") for c in EXTRA}).repartition(5)
 
 
-EXTRA = ["text_key", "h", "chunk", "n_words", "spans", "score", "key", "band", "label", "rank", "word", "codes", "slot", "item"]
+EXTRA = ["text_key", "h", "chunk", "n_words", "spans", "score", "key", "band", "label", "rank", "word", "codes", "slot", "item", "_own", "_n", "_lost", "_again", "_id", "_key", "_quality"]
 
 
 def collected(df):

@@ -1,4 +1,5 @@
 import public_tokenizers
+import pytest
 from helpers import SCHEMA, collected, corpus, frame
 from tokenizers import Tokenizer
 
@@ -9,16 +10,37 @@ ODD = ["It's 3½ o'clock <|endoftext|> don'T <|START|> x", "ｆｕｌｌ ①②
        "tab\tnew\nline nbsp　wide", "ͅᾳ ﬁ ǅ", "\x00\x01", "हिन्दी ไทย العربية", "a" * 3000, "²³ ⅷ ⅷ١", "ẞß Ǆ", "x y\u0085z"]
 
 
-def test_same_as_the_tokenizer(spark):
+@pytest.mark.parametrize("most_common", [bpe.COMMON, 40, 0])
+def test_same_as_the_tokenizer(spark, monkeypatch, most_common):
+    monkeypatch.setattr(bpe, "SHARD_BYTES", 8000)
     rows = corpus(3) + [(1000 + i, t, None, None, None) for i, t in enumerate(ODD)]
     tokenizer = Tokenizer.from_file(PATH)
     want = []
     for row in rows:
         ids = tokenizer.encode(row[1] or "", add_special_tokens=False).ids
         want.append((row[0], ids, tokenizer.decode(ids, skip_special_tokens=False)))
-    got = bpe.decode(bpe.encode(frame(spark, rows), PATH), bpe.pieces(spark, PATH))
+    got = bpe.decode(bpe.encode(frame(spark, rows), PATH, most_common), bpe.pieces(spark, PATH))
     assert collected(got) == sorted(want, key=repr)
 
 
+def test_decoding_while_encoding_is_the_same(spark):
+    docs, table = frame(spark, corpus(4)), bpe.pieces(spark, PATH)
+    assert collected(bpe.encode(docs, PATH, table=table)) == collected(bpe.decode(bpe.encode(docs, PATH), table))
+    assert bpe.encode(spark.createDataFrame([], SCHEMA), PATH, table=table).columns == ["doc_id", "ids", "decoded"]
+
+
+def test_common_words_stay_within_their_number(spark):
+    table = spark.createDataFrame([(f"w{i}", 1 + i // 10, [i]) for i in range(1000)] + [("x" * 40, 10 ** 6, [1])], "word string, n long, ids array<int>")
+    for most in (0, 5, 100, 999, 1000, 5000):
+        got = bpe.common_words(table, most).collect()
+        assert len(got) <= most and (most < 1000 or len(got) == 1000) and all(len(r.word) <= bpe.LONG for r in got)
+
+
+def test_ids_without_a_piece_and_null_lists(spark):
+    table = spark.createDataFrame([(1, "a"), (2, "b")], "id int, piece string")
+    rows = spark.createDataFrame([(1, [1, 2, 9]), (2, None), (3, []), (4, [9])], "doc_id long, ids array<int>")
+    assert [r.decoded for r in bpe.decode(rows, table).orderBy("doc_id").collect()] == ["a b", "", "", ""]
+
+
 def test_empty_table(spark):
     assert bpe.decode(bpe.encode(spark.createDataFrame([], SCHEMA), PATH), bpe.pieces(spark, PATH)).count() == 0

@@ -1,20 +1,26 @@
 """BPE encoding and decoding by way of a table of distinct words.
 
-Texts are split into words shard by shard. Each distinct word of the corpus is encoded once; its ids go back to the
-shards that hold it, and each shard puts them where the word stands. Decoding joins ids to pieces: the piece table has
-one row per vocabulary entry (a bounded size, checked), so the join happens inside the tasks.
-
-A null text counts as empty and has no ids. Rows are encoded one by one, also repeated ones.
+Texts are split into words shard by shard; a shard keeps its distinct words and, for every place, the number of the word there. The
+distinct words of the corpus are counted over all shards and each is encoded once. Their ids go back to the shards by a join:
+the words of the most shards, at most COMMON of them, as a table that every task holds, all others by shuffling
+(word, shard, number) rows. Both ways give the same ids; the first keeps a word that stands in every shard from
+being one row for each of them. Each shard then puts the ids where its words stand. Decoding joins ids to the piece table by id inside
+the tasks, which hold that table: it is as large as the vocabulary, whatever the texts.
+
+A null text counts as empty and has no ids. Rows are encoded one by one, also repeated ones. A text of any length is one
+row of one shard; shards are of a bounded size unless a text alone is larger.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +29,10 @@ from tokenizers import Tokenizer
 from weekrank.llm import common, shards
 
 SHARD_BYTES = 4 * 1024 * 1024  # text bytes whose distinct words are listed together
-MOST_PIECES = 1_000_000  # largest vocabulary that decode() takes into the tasks
+COMMON = 1 << 18  # words of at most LONG characters whose ids go to every task: 20 MB at most
+LONG = 32
+LISTED = 1 << 18  # distinct words that a task counts before it hands them on
+IDS_AT_ONCE = 1 << 21  # ids that are decoded together
 
 
 class Splitter:
@@ -80,9 +89,53 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and the ids of the whole text, for every row of `docs`."""
+def word_table(lists: DataFrame, path: str) -> DataFrame:
+    """word, n (shards that hold it) and ids of every distinct word; `lists` holds the word lists of the shards."""
+    def count(batches):
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for blob in batch.column(0):
+                seen.update(shards.unpack(blob).column("word").to_pylist())
+                if len(seen) > LISTED:
+                    yield out()
+                    seen = Counter()
+        yield out()
+
+    def once(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(encoder(path).ids(batch.column(0).to_pylist()), pa.list_(pa.int32()))], ["word", "n", "ids"])
+
+    counted = lists.select("words").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return counted.mapInArrow(once, "word string, n long, ids array<int>")
+
+
+def _often(n):
+    """Eighths of powers of two: a few hundred classes of counts, whatever the counts."""
+    return F.floor(F.log2(n) * 8).cast("int")
+
+
+def common_words(table: DataFrame, most: int = COMMON) -> DataFrame:
+    """The words of the highest classes of counts that have at most `most` words together."""
+    short = table.filter(F.length("word") <= LONG).withColumn("often", _often(F.col("n")))
+    left, least = most, None
+    for row in sorted(short.groupBy("often").count().collect(), key=lambda r: -r["often"]):
+        left -= row["count"]
+        if left < 0:
+            break
+        least = row["often"]
+    return short.filter(F.lit(False) if least is None else F.col("often") >= least).select("word", "ids")
+
+
+def encode(docs: DataFrame, path: str, most_common: int = COMMON, table: DataFrame | None = None) -> DataFrame:
+    """doc_id and the ids of the whole text, for every row of `docs`; with a piece `table` also `decoded`, as from `decode`.
+
+    Decoding here spares a second Python worker per task.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    named = None if table is None else Pieces(table)
     store = shards.stored(docs.select("doc_id", "text"), SHARD_BYTES)
 
     def split(shard, table):
@@ -93,44 +146,85 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             parts.append(np.fromiter((slots.setdefault(w, len(slots)) for w in found), np.int32, len(found)))
             counts.append(len(found))
         slot = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        sequence = shards.pack(pa.table({"doc_id": table.column("doc_id"), "slots": common.grouped(slot, np.concatenate([[0], np.cumsum(counts)]), pa.int32())}))
-        n = len(slots)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n + 1, shard)), pa.array([-1, *range(n)], pa.int32()), pa.array([None, *slots], pa.string()),
-                                          pa.array([sequence] + [None] * n, pa.binary()), pa.array([False] + [True] * n)],
-                                         ["shard", "slot", "word", "blob", "listed"])
-
-    cut = common.stored(shards.each(store.df, split, "shard long, slot int, word string, blob binary, listed boolean"), "listed")
+        # Frequent words get small numbers, which pack well.
+        by = np.argsort(-np.bincount(slot, minlength=len(slots)), kind="stable")
+        rank = np.empty(len(slots), np.int32)
+        rank[by] = np.arange(len(slots), dtype=np.int32)
+        words = pa.array(list(slots), pa.string()).take(pa.array(by))
+        texts = shards.pack(pa.table({"doc_id": table.column("doc_id"), "n": pa.array(counts, pa.int64())}))
+        yield pa.RecordBatch.from_arrays([pa.array([shard] * 2), pa.array([shards.pack(pa.table({"word": words})), None], pa.binary()), pa.array([None, texts], pa.binary()),
+                                          pa.array([None, _planes(rank[slot] if len(slot) else slot)], pa.binary()), pa.array([True, False])],
+                                         ["shard", "words", "texts", "places", "listed"])
+
+    cut = common.stored(shards.each(store.df, split, "shard long, words binary, texts binary, places binary, listed boolean"), "listed")
     store.drop()
-    # All rows of a word come one after the other in one task, which encodes it once.
-    words = cut.df.filter("listed").select("word", "shard", "slot").repartition("word").sortWithinPartitions("word")
+    lists = cut.df.filter("listed").select("shard", "words")
+    words_of = common.stored(word_table(lists, path))
+    known = common_words(words_of.df, most_common).toArrow().sort_by("word").combine_chunks()
+    shared = docs.sparkSession.sparkContext.broadcast(shards.pack(known))
 
-    def once(batches):
-        last, known = None, None
+    def rare(batches):
+        """The words of a shard that are not common, row by row, and once a shard where its common words stand in their table."""
         for batch in batches:
-            word = batch.column(0)
-            coded = word.dictionary_encode()
-            new = coded.dictionary.to_pylist()
-            ids = encoder(path).ids(new[1:] if new[:1] == [last] else new)
-            ids = [known, *ids] if new[:1] == [last] else ids
-            last, known = new[-1:][0] if new else last, ids[-1] if ids else known
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(ids, pa.list_(pa.int32())).take(coded.indices)], ["shard", "slot", "ids"])
-
-    back = common.stored(words.mapInArrow(once, "shard long, slot int, ids array<int>"))
+            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = shards.unpack(blob).column("word").combine_chunks()
+                places = _common(shared.value)[0]
+                at = np.fromiter((places.get(word, -1) for word in words.to_pylist()), np.int64, len(words))
+                slots = np.flatnonzero(at < 0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slots) + 1, shard)), pa.array(np.append(np.int32(-1), slots)), pa.concat_arrays([pa.nulls(1, pa.string()), words.take(pa.array(slots))]),
+                                                  pa.array([_planes(at + 1), *[None] * len(slots)], pa.binary())], ["shard", "slot", "word", "common"])
+
+    listed = common.stored(lists.mapInArrow(rare, "shard long, slot int, word string, common binary"))
     cut.drop("listed=true")
+    back = common.stored(listed.df.filter("slot >= 0").select("shard", "slot", "word").join(words_of.df.select("word", "ids"), "word").select(
+        "shard", "slot", "ids", F.lit(None).cast("binary").alias("common")).unionByName(
+        listed.df.filter("slot < 0").select("shard", "slot", F.lit(None).cast("array<int>").alias("ids"), "common")))
+    listed.drop()
+    words_of.drop()
 
     def place(found: pa.Table, rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks().sort_by("slot").combine_chunks()
-        ids = rows.column("ids").combine_chunks()
-        values, starts = ids.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-        column = found.column("slots").combine_chunks()
-        slot = column.flatten().to_numpy(zero_copy_only=False)
-        n = np.diff(starts)[slot] if len(slot) else np.zeros(0, np.int64)
+        rows = rows.combine_chunks().sort_by("slot").combine_chunks()  # the one with the common words comes first
+        ids = _common(shared.value)[1]
+        at = _numbers(rows.column("common")[0]).astype(np.int64) - 1
+        own = pa.concat_arrays([ids, _ids(rows.column("ids").slice(1))])
+        at[rows.column("slot").to_numpy()[1:]] = len(ids) + np.arange(rows.num_rows - 1)
+        sizes = own.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        values, starts = own.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes
+        texts = shards.unpack(found.column("texts")[0])
+        word = at[_numbers(found.column("places")[0])]
+        n = sizes[word]
         ends = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat(starts[slot] - ends[:-1], n) + np.arange(ends[-1]) if len(slot) else np.zeros(0, np.int64)
-        bounds = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-        return pa.table({"doc_id": found.column("doc_id"), "ids": common.grouped(values[at] if len(at) else at, ends[bounds], pa.int32())})
+        flat = values[np.repeat(starts[word] - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = np.concatenate([[0], np.cumsum(texts.column("n").to_numpy())]).astype(np.int64)
+        out = pa.table({"doc_id": texts.column("doc_id"), "ids": common.grouped(flat, ends[bounds], pa.int32())})
+        return out if named is None else out.append_column("decoded", named.joined(flat, np.diff(ends[bounds]), " "))
 
-    return shards.each_with(cut.df.filter("NOT listed").select("shard", "blob"), back.df, place, f"doc_id {kind}, ids array<int>")
+    return cut.df.filter("NOT listed").select("shard", "texts", "places").groupBy("shard").cogroup(back.df.groupBy("shard")).applyInArrow(place, f"doc_id {kind}, ids array<int>" + ("" if named is None else ", decoded string"))
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32 packed byte plane by byte plane; planes of zeros take nothing."""
+    raw = np.ascontiguousarray(numbers, np.uint32).view(np.uint8).reshape(-1, 4).T
+    return len(numbers).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(raw).tobytes(), codec="zstd", asbytes=True)
+
+
+def _numbers(blob) -> np.ndarray:
+    raw = blob.as_buffer()
+    n = int.from_bytes(raw.slice(0, 8).to_pybytes(), "little")
+    planes = pa.decompress(raw.slice(8), decompressed_size=4 * n, codec="zstd") if n else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view(np.uint32).ravel()
+
+
+@lru_cache(maxsize=1)
+def _common(packed: bytes) -> tuple[dict[str, int], pa.Array]:
+    """Places of the common words and their ids, unpacked once in a worker."""
+    table = shards.unpack(packed)
+    return {word: i for i, word in enumerate(table.column("word").to_pylist())}, _ids(table.column("ids"))
+
+
+def _ids(column) -> pa.ListArray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return (column if isinstance(column, pa.Array) else pa.array([], pa.list_(pa.int32()))).cast(pa.list_(pa.int32()))
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -139,19 +233,47 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(i, p) for p, i in tokenizer.get_vocab(with_added_tokens=True).items()], "id int, piece string")
 
 
+class Pieces:
+    """The id-to-piece table in a task, sorted by id, to which whole batches of ids are joined."""
+
+    def __init__(self, table: DataFrame):
+        rows = table.dropDuplicates(["id"]).toArrow().sort_by("id").combine_chunks()
+        self.numbers = rows.column("id").to_numpy()
+        self.names = rows.column("piece").combine_chunks() if rows.num_rows else pa.array([], pa.string())
+
+    def joined(self, ids: np.ndarray, sizes: np.ndarray, between: str) -> pa.Array:
+        """The pieces of consecutive lists of ids, joined; ids that are not in the table have no piece."""
+        place = np.minimum(np.searchsorted(self.numbers, ids), max(len(self.numbers) - 1, 0))
+        hit = self.numbers[place] == ids if len(self.numbers) else np.zeros(len(ids), bool)
+        ends = np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], np.cumsum(sizes)])]
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self.names.take(pa.array(place[hit]))), between)
+
+
 def decode(encoded: DataFrame, table: DataFrame, between: str = " ") -> DataFrame:
-    """Adds `decoded`: the pieces of `ids`, joined; an id that is not in the table has no piece, null ids no text."""
-    if table.count() > MOST_PIECES:
-        raise ValueError(f"a vocabulary of more than {MOST_PIECES} pieces")
-    rows = table.orderBy("id").collect()
-    known = {r["id"]: r["piece"] for r in rows}
-    columns = encoded.columns
+    """Adds `decoded`: the pieces of `ids`, joined; an id that is not in the table has no piece, null ids no text.
+
+    `table` has one row per vocabulary entry; every task holds it.
+    """
+    named, columns = Pieces(table), encoded.columns
     at = columns.index("ids")
 
     def joined(batches):
         for batch in batches:
-            texts = [between.join([known[i] for i in ids if i in known]) for ids in (x or [] for x in batch.column(at).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*columns, "decoded"])
+            for part in _slices(batch, at):
+                lists = part.column(at)
+                sizes = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+                texts = named.joined(lists.flatten().to_numpy(zero_copy_only=False), sizes, between)
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*columns, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(joined, f"{fields}, decoded string")
+
+
+def _slices(batch: pa.RecordBatch, at: int):
+    """The batch in slices of about IDS_AT_ONCE ids."""
+    ends = np.cumsum(pc.fill_null(batch.column(at).value_lengths(), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + IDS_AT_ONCE, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop

@@ -83,7 +83,7 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 @query
 def op3_bpe_encode_decode(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every whole document, and the text they decode to."""
-    found = bpe.decode(bpe.encode(common.table(spark, folder, "documents"), WORD_BPE), bpe.pieces(spark, WORD_BPE))
+    found = bpe.encode(common.table(spark, folder, "documents"), WORD_BPE, table=bpe.pieces(spark, WORD_BPE))
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         hex_of(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), hex_of(F.col("decoded")).alias("decoded_sha256"))
 

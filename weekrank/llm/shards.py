@@ -57,11 +57,14 @@ def each(shards: DataFrame, function, schema: str) -> DataFrame:
         for batch in batches:
             for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 yield from function(shard, unpack(blob))
+                pa.default_memory_pool().release_unused()  # idle workers stay beside the next stage's
     return shards.mapInArrow(run, schema)
 
 
 def each_with(shards: DataFrame, rows: DataFrame, function, schema: str) -> DataFrame:
     """`function(table, rows)` returns an Arrow table for each shard and what `rows` holds under its number."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.concat_tables([function(unpack(blob), right) for blob in left.column("blob")])
+        done = pa.concat_tables([function(unpack(blob), right) for blob in left.column("blob")])
+        pa.default_memory_pool().release_unused()
+        return done
     return shards.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(run, schema)
