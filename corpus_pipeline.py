@@ -13,7 +13,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.configure(spark)
     whole = common.table(spark, sf_dir, "documents")
     network = quality.train(whole, common.table(spark, sf_dir, "labels"))
-    return quality.score(docs, network, "_quality").filter(F.col("_quality") >= quality.THRESHOLD).select(*docs.columns)
+    name = common.free_name(docs, "quality")
+    return quality.score(docs, network, name).filter(F.col(name) >= quality.THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the text they decode to."""
     common.configure(spark)
-    return bpe.decode(bpe.encode(docs, queries.WORD_BPE), bpe.pieces(spark, queries.WORD_BPE))
+    return bpe.encode(docs, queries.WORD_BPE, table=bpe.pieces(spark, queries.WORD_BPE))
 
 
 STAGES = [("quality", keep_good), ("near_dedup", keep_one_of_each), ("repeats", cut_repeats), ("benchmark", cut_benchmark), ("bpe", encode)]

@@ -271,11 +271,11 @@ def logreg_grid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gbt_grid(spark: SparkSession, folder: str) -> DataFrame:
-    """Validation areas of a small tree grid: capacity, then learning and sampling."""
+    """Validation areas of two depths with up to 40 trees, one fit each, then of learning and sampling around one of them."""
     data = _prepared(spark, folder)
-    capacity = model.sweep_trees(data.train, data.validation, data.features, {"maxDepth": [2, 4], "maxIter": [5]}, stepSize=0.1)
-    sampling = model.sweep_trees(data.train, data.validation, data.features, {"stepSize": [0.1], "minChildWeight": [5], "subsamplingRate": [0.8],
-                                 "featureSubset": [0.6]}, maxDepth=4, maxIter=5)
+    capacity = model.sweep_capacity(data.train, data.validation, data.features, grid={"maxDepth": [3, 5], "maxIter": [10, 20, 40]})
+    sampling = model.sweep_sampling(data.train, data.validation, data.features, capacities=[{"maxDepth": 4, "maxIter": 10}], grid={
+        "stepSize": [0.05, 0.1], "minChildWeight": [5], "subsamplingRate": [0.8], "featureSubset": [0.6]})
     return report(ordered.union_all(capacity, sampling, fill=True).orderBy(F.desc("pr_auc"), "model"))
 
 
