@@ -75,7 +75,10 @@ def _hot_ranges(owners: DataFrame, units: Units, by_start: bool):
         windows_of, "h long, k long, x long, y long, doc long, start long, o int"))
     first = every.df.groupBy("h", "x", "y").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     first = common.stored(first)
-    later = joins.spread_join(every.df, first.df.select("h", "x", "y", "first"), ["h", "x", "y"], spread_by=["k", "o"],
+    # Windows that are there once stay where they are: a bitmap of the others tells them apart before the join.
+    keys = ["h", "x", "y"]
+    some = common.with_bit(every.df, common.bitmap(first.df, keys, common.BITS), keys, common.BITS, "again").filter("again").drop("again")
+    later = joins.spread_join(some, first.df.select("h", "x", "y", "first"), keys, spread_by=["k", "o"],
                               counts=first.df.select("h", "x", "y", "n"), how="inner").filter(F.struct("doc", "start") > F.col("first"))
     out = common.stored(later.groupBy("h", "k").agg(F.sort_array(F.collect_list("o")).alias("earlier")))
     every.drop()
@@ -144,6 +147,7 @@ def find(store: DataFrame, units: Units, resolve, by_start: bool) -> common.Stor
         table = table.combine_chunks()
         contents = table.column("content").to_pylist()
         ranges = resolve(contents, table.column("own_doc").to_numpy(), table.column("own_start").to_numpy(), table.column("h").to_numpy())
+        common.release()
         return pa.table({"h": table.column("h"), "k": table.column("k"), "earlier": pa.array(ranges, pa.list_(pa.int32()))})
 
     partly = common.stored(shared.filter("NOT hot").drop("hot").groupBy(F.pmod("h", F.lit(groups)).alias("g")).applyInArrow(
