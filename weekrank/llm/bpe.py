@@ -68,11 +68,12 @@ class WordEncoder:
     """Ids of single words that are already split off and normalised."""
 
     def __init__(self, path: str):
-        spec = Splitter(path)
-        self.specials = spec.specials
-        spec.spec["normalizer"], spec.spec["added_tokens"] = None, []
-        spec.spec["pre_tokenizer"] = spec.spec["pre_tokenizer"]["pretokenizers"][1]
-        self.tokenizer = Tokenizer.from_str(json.dumps(spec.spec))
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        spec["normalizer"], spec["added_tokens"] = None, []
+        spec["pre_tokenizer"] = spec["pre_tokenizer"]["pretokenizers"][1]
+        self.tokenizer = Tokenizer.from_str(json.dumps(spec))
 
     def ids(self, some: list[str]) -> list[list[int]]:
         found = [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
@@ -89,6 +90,13 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def forget() -> None:
+    """Drop the vocabularies that a worker holds, at the end of a task."""
+    for held in (splitter, encoder, _common):
+        held.cache_clear()
+    common.release()
+
+
 def word_table(lists: DataFrame, path: str) -> DataFrame:
     """word, n (shards that hold it) and ids of every distinct word; `lists` holds the word lists of the shards."""
     def count(batches):
@@ -103,10 +111,13 @@ def word_table(lists: DataFrame, path: str) -> DataFrame:
                     yield out()
                     seen = Counter()
         yield out()
+        seen = Counter()
+        common.release()
 
     def once(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(encoder(path).ids(batch.column(0).to_pylist()), pa.list_(pa.int32()))], ["word", "n", "ids"])
+        forget()
 
     counted = lists.select("words").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return counted.mapInArrow(once, "word string, n long, ids array<int>")
@@ -135,9 +146,7 @@ def encode(docs: DataFrame, path: str, most_common: int = COMMON, table: DataFra
     Decoding here spares a second Python worker per task.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    named = None if table is None else Pieces(table)
-    store = shards.stored(docs.select("doc_id", "text"), SHARD_BYTES)
-
+    named, most = None if table is None else Pieces(table), SHARD_BYTES
     def split(shard, table):
         slots: dict[str, int] = {}
         parts, counts = [], []
@@ -156,8 +165,13 @@ def encode(docs: DataFrame, path: str, most_common: int = COMMON, table: DataFra
                                           pa.array([None, _planes(rank[slot] if len(slot) else slot)], pa.binary()), pa.array([True, False])],
                                          ["shard", "words", "texts", "places", "listed"])
 
-    cut = common.stored(shards.each(store.df, split, "shard long, words binary, texts binary, places binary, listed boolean"), "listed")
-    store.drop()
+    def every(batches):
+        for shard, table in shards.tables(batches, most):
+            yield from split(shard, table.combine_chunks())
+        common.release()
+
+    # Written once: all that follows reads the shards as they were numbered here.
+    cut = common.stored(docs.select("doc_id", "text").mapInArrow(every, "shard long, words binary, texts binary, places binary, listed boolean"), "listed")
     lists = cut.df.filter("listed").select("shard", "words")
     words_of = common.stored(word_table(lists, path))
     known = common_words(words_of.df, most_common).toArrow().sort_by("word").combine_chunks()
@@ -173,6 +187,7 @@ def encode(docs: DataFrame, path: str, most_common: int = COMMON, table: DataFra
                 slots = np.flatnonzero(at < 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slots) + 1, shard)), pa.array(np.append(np.int32(-1), slots)), pa.concat_arrays([pa.nulls(1, pa.string()), words.take(pa.array(slots))]),
                                                   pa.array([_planes(at + 1), *[None] * len(slots)], pa.binary())], ["shard", "slot", "word", "common"])
+        forget()
 
     listed = common.stored(lists.mapInArrow(rare, "shard long, slot int, word string, common binary"))
     cut.drop("listed=true")

@@ -30,23 +30,25 @@ def texts_of(table: pa.Table) -> pa.Array:
     return column.chunk(0) if column.num_chunks == 1 else pa.array([], pa.string()) if not column.num_chunks else column.combine_chunks()
 
 
+def tables(batches: Iterator[pa.RecordBatch], bytes_each: int = BYTES) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of a task as numbered shards; a number is a shard's own as long as the task is not run again."""
+    number, have, size = TaskContext.get().partitionId() << 32, [], 0
+    for batch in common.cut(batches, most=bytes_each):
+        more = pc.sum(pc.binary_length(batch.column(batch.schema.get_field_index("text")))).as_py() or 0
+        if have and size + more > bytes_each:
+            yield number, pa.Table.from_batches(have)
+            number, have, size = number + 1, [], 0
+        have.append(batch)
+        size += more
+    if have:
+        yield number, pa.Table.from_batches(have)
+
+
 def stored(docs: DataFrame, bytes_each: int = BYTES) -> common.Stored:
     """All columns of the documents as (shard, blob), written once, so that a shard stays what it is if a task runs again."""
     def gather(batches: Iterator[pa.RecordBatch]):
-        number, have, size = TaskContext.get().partitionId() << 32, [], 0
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([pack(pa.Table.from_batches(have))], pa.binary())],
-                                              ["shard", "blob"])
-        for batch in common.cut(batches, most=bytes_each):
-            more = pc.sum(pc.binary_length(batch.column(batch.schema.get_field_index("text")))).as_py() or 0
-            if have and size + more > bytes_each:
-                yield out()
-                number, have, size = number + 1, [], 0
-            have.append(batch)
-            size += more
-        if have:
-            yield out()
+        for number, table in tables(batches, bytes_each):
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([pack(table)], pa.binary())], ["shard", "blob"])
 
     return common.stored(docs.mapInArrow(gather, "shard long, blob binary"))
 
@@ -57,7 +59,7 @@ def each(shards: DataFrame, function, schema: str) -> DataFrame:
         for batch in batches:
             for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 yield from function(shard, unpack(blob))
-                pa.default_memory_pool().release_unused()  # idle workers stay beside the next stage's
+        common.release()
     return shards.mapInArrow(run, schema)
 
 
@@ -65,6 +67,6 @@ def each_with(shards: DataFrame, rows: DataFrame, function, schema: str) -> Data
     """`function(table, rows)` returns an Arrow table for each shard and what `rows` holds under its number."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         done = pa.concat_tables([function(unpack(blob), right) for blob in left.column("blob")])
-        pa.default_memory_pool().release_unused()
+        common.release()
         return done
     return shards.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(run, schema)
