@@ -281,8 +281,18 @@ def lift_bins(df: DataFrame, feature: str, label: str = schemas.LABEL, edges: Se
 # --- correlation and information ----------------------------------------------------------------
 
 def pearson_with_label(df: DataFrame, columns: Sequence[str], label: str = schemas.LABEL) -> DataFrame:
-    """Correlation of each column with the label over rows that have both, in one aggregate."""
-    row = df.agg(*[F.corr(F.col(c).cast("double"), F.col(label).cast("double")).alias(c) for c in columns])
+    """Correlation of each column with the label over rows that have both, in one aggregate.
+
+    NaN where the column or the label is the same in all of them; null with fewer than two such rows.
+    """
+    def value(column: str) -> Column:
+        a, b = F.col(column).cast("double"), F.col(label).cast("double")
+        x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+        # `corr` divides by this product itself and fails on 0.
+        spread = F.sqrt(F.var_pop(x) * F.var_pop(y))
+        return F.when(F.count(x) > 1, F.when(spread == 0, F.lit(float("nan"))).otherwise(F.try_divide(F.covar_pop(a, b), spread)))
+
+    row = df.agg(*[value(c).alias(c) for c in columns])
     return row.unpivot([], list(columns), "feature", "correlation")
 
 
