@@ -4,8 +4,10 @@ import datetime
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from compare import normalised
+from weekrank.operators import compiled
 from weekrank.queries import registry
 
 
@@ -37,3 +39,19 @@ def agrees(spark, folder, name):
 def test_correlation_with_a_constant_label_is_not_a_number(spark, folder):
     columns, rows = agrees(spark, folder, "pearson")
     assert len(rows) == 5 and {r[columns.index("correlation")] for r in rows} == {"NULL"}  # the frames' NaN
+
+
+def test_a_model_without_a_finite_intercept_is_stored_and_scores(spark, folder):
+    columns, rows = agrees(spark, folder, "stored_scoring")
+    assert len(rows) > 0 and len({r[columns.index("probability")] for r in rows}) == 1
+
+
+def test_a_literal_of_every_double():
+    values = [float("inf"), float("-inf"), 0.1, -1e300]
+    found = duckdb.sql(f"SELECT {', '.join(map(compiled.number, [*values, float('nan')]))}").fetchall()[0]
+    assert list(found[:4]) == values and found[4] != found[4]
+
+
+def test_literals_in_spark(spark):
+    values = [float("inf"), float("-inf"), 0.1, -1e300]
+    assert list(spark.range(1).select(*[F.expr(compiled.number(v)) for v in values]).first()) == values

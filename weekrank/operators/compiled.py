@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from math import isfinite, isnan
 
 import numpy as np
 import pandas as pd
@@ -53,7 +54,12 @@ class Compiled:
 
 
 def number(value: float) -> str:
-    """A double literal: an exponent, so that no engine reads a decimal; 17 digits, so that none is lost."""
+    """A double literal: an exponent, so that no engine reads a decimal; 17 digits, so that none is lost.
+
+    Labels that are all the same give an infinite intercept, which has no digits: it is cast from its name.
+    """
+    if not isfinite(value):
+        return f"CAST('{'NaN' if isnan(value) else 'Infinity' if value > 0 else '-Infinity'}' AS DOUBLE)"
     return f"{value:.17e}"
 
 
