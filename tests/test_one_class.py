@@ -55,3 +55,8 @@ def test_a_literal_of_every_double():
 def test_literals_in_spark(spark):
     values = [float("inf"), float("-inf"), 0.1, -1e300]
     assert list(spark.range(1).select(*[F.expr(compiled.number(v)) for v in values]).first()) == values
+
+
+def test_trees_without_a_split_take_the_first_cut(spark, folder):
+    columns, rows = agrees(spark, folder, "stump_rounds")
+    assert len(rows) == 4 and {r[columns.index("feature")] for r in rows} == {"scrobbles_week"}

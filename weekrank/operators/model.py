@@ -100,6 +100,14 @@ def fit_trees(df: DataFrame, features: Sequence[str], label: str = schemas.LABEL
     return Pipeline(stages=[assembler, trees]).fit(session.compact(weighted))
 
 
+def first_cut(df: DataFrame, features: Sequence[str]) -> tuple[str, float] | None:
+    """The first feature with two different values, and the middle of its two lowest; None where all are constant."""
+    values = [F.col(f"`{f}`").cast("double") for f in features]
+    lowest = df.agg(*[F.min(v) for v in values]).first()
+    above = df.agg(*[F.min(F.when(v > F.lit(low), v)) for v, low in zip(values, lowest)]).first()
+    return next(((f, (low + high) / 2.0) for f, low, high in zip(features, lowest, above) if high is not None), None)
+
+
 def with_probability(df: DataFrame, model: PipelineModel, name: str = "probability") -> DataFrame:
     """Append the positive-class probability; intermediate columns are dropped."""
     scored = model.transform(df)

@@ -6,6 +6,8 @@ written out. The fits go through the same library code as those over all feature
 
 from __future__ import annotations
 
+from math import isclose
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -333,11 +335,27 @@ def _boosted(fit: str, rows: str, rounds: str) -> str:
 
 
 def stump_rounds(spark: SparkSession, folder: str) -> DataFrame:
-    """The trees of a weighted boosting fit of depth 1: feature, threshold, the value on each side, and the tree's weight."""
+    """The trees of a weighted boosting fit of depth 1: feature, threshold, the value on each side, and the tree's weight.
+
+    Where no split is better than none (a tree of one leaf, or of two equal ones), all splits tie: the first one stands, with the
+    leaf's value on both sides. Without negatives no row has a weight, and the sides no mean.
+    """
     data = prepared(spark, folder)
     fit = model.fit_trees(data.train, data.features, maxDepth=1, maxIter=max(ROUNDS), stepSize=STEP, maxBins=64)
-    rows = [(i, data.features[t.feature], t.threshold, t.left.value, t.right.value, w)
-            for i, (w, t) in enumerate(compiled.trees_of(fit.stages[-1]), 1)]
+    rows, even = [], []
+    for i, (w, t) in enumerate(compiled.trees_of(fit.stages[-1]), 1):
+        if isinstance(t, compiled.Leaf):
+            even.append((i, t.value, w))
+        elif isclose(t.left.value, t.right.value, rel_tol=1e-9, abs_tol=1e-12):
+            even.append((i, t.left.value, w))  # a gain of rounding errors
+        else:
+            rows.append((i, data.features[t.feature], t.threshold, t.left.value, t.right.value, w))
+    first = model.first_cut(data.train, data.features) if even else None
+    if first is not None:
+        weightless = model.class_weight(data.train) == 0
+        for i, value, w in even:
+            value = float("nan") if weightless else value
+            rows.append((i, *first, value, value, w))
     trees = spark.createDataFrame(rows, "round long, feature string, cut double, low double, high double, share double")
     return rounded(trees, 5, "low", "high")
 
