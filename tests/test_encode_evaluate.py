@@ -193,3 +193,27 @@ def test_rows_without_a_level_are_all_zeros(spark):
     assert got == {"a": [1.0, 0.0], "b": [0.0, 0.0], "new": [0.0, 0.0], None: [0.0, 0.0], "other": [0.0, 1.0]}
     assert [list(r["levels"].toArray()) for r in encode.level_vectors(train, "key", levels, True).orderBy("key").collect()] == [
         [0.0, 1.0], [1.0, 0.0], [1.0, 0.0], [0.0, 1.0]]
+
+
+def test_a_wide_level_vector_is_fitted_on_tables(spark):
+    """20,000 levels: the optimum, with the coefficients as a table and none of them in the driver."""
+    n = 20_000
+    rows = spark.range(3 * n).select((F.col("id") % n).cast("string").alias("key"), (F.xxhash64("id") % 3 == 0).cast("int").alias("label"))
+    fitted = encode.fit_levels(rows, "key", 1)
+    vectors = session.cut(encode.level_vectors(rows, "key", fitted, True))
+    fit = model.fit_logistic(vectors, ["levels"], "label", c=2.0, tol=1e-11)
+    last, found = fit.stages[-1], model.level_coefficients(spark, fit, fitted)
+    assert last.table.columns == ["at", "coef"] and last.numFeatures == n
+    assert len(vectors.schema.json()) < 1000  # no name of a level
+    by = rows.groupBy(F.col("key").alias("level")).agg(F.count("*").alias("n"), F.sum("label").alias("hits")).join(found, "level")
+    p = 1.0 / (1.0 + F.exp(-F.lit(last.intercept) - F.col("coef")))
+    worst, total, count = by.agg(F.max(F.abs(F.col("n") * p - F.col("hits") + F.col("coef") / 2.0)), F.sum(F.col("n") * p - F.col("hits")), F.count("*")).first()
+    assert count == n and worst < 1e-9 and abs(total) < 1e-6
+    scored = model.with_probability(vectors, fit)
+    assert scored.columns == [*vectors.columns, "probability"]
+    want = by.select(F.col("level").alias("key"), p.alias("want"))
+    assert scored.join(want, "key").filter(F.abs(F.col("probability") - F.col("want")) < 1e-12).count() == 3 * n
+    for value, intercept in ((1, float("inf")), (0, float("-inf"))):
+        same = model.fit_logistic(vectors.withColumn("label", F.lit(value)), ["levels"], "label")
+        assert same.stages[-1].intercept == intercept
+        assert model.level_coefficients(spark, same, fitted).agg(F.count("*"), F.max(F.abs("coef"))).first() == (n, 0.0)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import OneHotEncoder
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weekrank import schemas, session
 from weekrank.operators import joins, ordered
@@ -131,13 +132,20 @@ def with_level(df: DataFrame, column: str, levels: DataFrame, fitting: bool, nam
 def level_vectors(df: DataFrame, column: str, levels: DataFrame, fitting: bool, output: str = "levels") -> DataFrame:
     """Adds one sparse vector a row with a 1 at the number of its level (`numbered_levels`), all zeros where it has none.
 
-    There is no column per level and no list of levels in the driver: the number comes from the level table by a join, and a row
-    holds one index. The vector goes into `model.fit_logistic` like any other feature.
+    There is no column per level and no list of levels in the driver: the vector comes from the level table by a join, and its
+    column carries the size, but no names (`OneHotEncoder` writes the name of every level into the schema, which goes to the driver
+    and to every task). The vector goes into `model.fit_logistic` like any other feature.
     """
     numbered = session.cut(numbered_levels(levels))
     n = numbered.count()
-    marked = joins.lookup(with_level(df, column, levels, fitting), numbered, ["level"], spread_by=df.columns)
-    # Number n stands for no level; the encoder drops the last number.
-    marked = marked.withColumn("level_index", F.coalesce(F.col("level_index"), F.lit(n)).cast("double"))
-    encoder = OneHotEncoder(inputCol="level_index", outputCol=output, dropLast=True).fit(df.sparkSession.createDataFrame([(float(n),)], "level_index double"))
-    return encoder.transform(marked).drop("level", "level_index")
+    vectors = session.cut(numbered.select("level", _unit_vector(n, F.concat(F.lit("["), F.col("level_index").cast("string"), F.lit("]")), F.lit("[1.0]")).alias("_vector")))
+    # Stored: the second join counts its keys, which would run the first one again.
+    marked = joins.lookup(session.cut(with_level(df, column, levels, fitting)), vectors, ["level"], spread_by=df.columns)
+    vector = F.coalesce("_vector", _unit_vector(n, F.lit("[]"), F.lit("[]")))
+    return marked.select(*[F.col(f"`{c}`") for c in df.columns], vector.alias(output, metadata={"ml_attr": {"num_attrs": n}}))
+
+
+def _unit_vector(size: int, indices: Column, values: Column) -> Column:
+    """A sparse vector from the text of its lists."""
+    text = F.concat(F.lit(f'{{"v":{{"type":0,"size":{size},"indices":'), indices, F.lit(',"values":'), values, F.lit("}}"))
+    return F.from_json(text, T.StructType([T.StructField("v", VectorUDT())]))["v"]

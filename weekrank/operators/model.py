@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekrank import schemas, session
-from weekrank.operators import columns, compiled, encode, evaluate, joins, ordered
+from weekrank.operators import columns, compiled, encode, evaluate, joins, levels, ordered
 
 # The regularisation grid and the chosen strength.
 C_GRID = [0.01, 0.1, 1.0, 10.0, 100.0]
@@ -53,7 +53,13 @@ def fit_logistic(df: DataFrame, features: Sequence[str], label: str = schemas.LA
 
     The penalty is stated per summed loss (C form); Spark averages the loss, hence regParam = 1 / (C n). With `scale` the features
     have mean 0 and variance 1 over the n rows (Spark's scaler divides by n - 1; a second stage makes up for it).
+
+    One wide vector that marks a level is fitted on tables instead (`levels.fit`): the same optimum, whatever the number of levels.
     """
+    counted = levels.cells(df, features[0], label) if len(features) == 1 and not scale else None
+    if counted is not None:
+        intercept, table = levels.fit(counted[0], c, max_iter, tol)
+        return PipelineModel([levels.LevelLogisticModel(intercept=intercept, table=table, size=counted[1], columns={"featuresCol": features[0], **_OUTPUT})])
     n = df.count() if rows is None else rows
     stages, at = [VectorAssembler(inputCols=list(features), outputCol="_features")], "_features"
     if scale:
@@ -204,11 +210,16 @@ def coefficients(spark: SparkSession, model: PipelineModel, features: Sequence[s
     return table.orderBy(F.desc("abs_coef"), "feature")
 
 
-def level_coefficients(spark: SparkSession, model: PipelineModel, levels: DataFrame, first: int = 0) -> DataFrame:
+def level_coefficients(spark: SparkSession, model: PipelineModel, fitted: DataFrame, first: int = 0) -> DataFrame:
     """level and coefficient for the levels of a sparse vector whose numbers start at feature `first` (as many as the model holds)."""
-    values = model.stages[-1].coefficients.toArray()[first:]
+    last, numbered = model.stages[-1], encode.numbered_levels(fitted)
+    if isinstance(last, levels.LevelLogisticModel):
+        table = session.cut(last.table.filter(F.col("at") >= first).select((F.col("at") - first).alias("level_index"), "coef"))
+        held = F.when(F.col("level_index") < last.numFeatures - first, F.coalesce("coef", F.lit(0.0)))
+        return joins.lookup(numbered, table, ["level_index"], spread_by=["level"]).select("level", held.alias("coef"))
+    values = last.coefficients.toArray()[first:]
     table = spark.createDataFrame(pd.DataFrame({"level_index": range(len(values)), "coef": values}), "level_index long, coef double")
-    return joins.lookup(encode.numbered_levels(levels), session.cut(table), ["level_index"], spread_by=["level"]).select("level", "coef")
+    return joins.lookup(numbered, session.cut(table), ["level_index"], spread_by=["level"]).select("level", "coef")
 
 
 def leaderboard(table: DataFrame, n: int, by: str = "abs_coef", tie_break: str = "feature") -> DataFrame:

@@ -228,7 +228,7 @@ def level_fit(spark: SparkSession, folder: str) -> DataFrame:
     levels = encode.fit_levels(items, "part", 4)
     vectors = session.cut(encode.level_vectors(items, "part", levels, True))
     fit = model.fit_logistic(vectors, ["levels"], "label", c=FINAL_C, tol=TOL)
-    marked = encode.with_level(items, "part", levels, True).groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("returned"))
+    marked = session.cut(encode.with_level(items, "part", levels, True).groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("returned")))
     found = joins.lookup(marked, session.cut(model.level_coefficients(spark, fit, levels)), ["level"], spread_by=["level"])
     p = 1.0 / (1.0 + F.exp(-F.lit(float(fit.stages[-1].intercept)) - F.col("coef")))
     proof = F.col("n") * p - F.col("returned") + F.col("coef") / FINAL_C
