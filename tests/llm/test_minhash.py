@@ -67,3 +67,28 @@ def test_a_bucket_of_similar_texts_keeps_its_pairs(spark):
     sets = [shingles(t) for t in texts[:242]]
     assert 0.8 <= len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.81 and 0.7 < len(sets[240] & sets[241]) / len(sets[240] | sets[241]) < 0.78
     assert got == {i: i - 1 if i < 240 and i % 2 else i for i in range(3000)}
+
+
+def test_pairs_that_are_too_different_are_not_verified(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(-2**62, 2**62, 300)
+    sets = []
+    for i in range(60):  # most pairs of copies share all but their own changes, and stay below the threshold
+        changed = rng.permutation(300)[:rng.choice([5, 15, 25, 32])]
+        grams = base.copy()
+        grams[changed] = rng.integers(-2**62, 2**62, len(changed))
+        sets.append((i, i % 50, np.unique(grams).tolist()))
+    sets += [(100, 100, base[:3].tolist()), (101, 101, base[:3].tolist()), (102, 102, base[:240].tolist()), (103, 103, base.tolist() + list(range(5000)))]
+    frame = spark.createDataFrame(sets, "name long, root long, grams array<long>")
+    got = {(r.a, r.b) for r in minhash._rest(frame, 0.8).collect()}
+    shares = {(a, b): len(set(x) & set(y)) / len(set(x) | set(y)) for a, r, x in sets for b, s, y in sets if a < b and r != s}
+    assert {p for p, share in shares.items() if share >= 0.8} <= got
+    assert not any(shares[p] < 0.7 for p in got)
+
+
+def test_bits_of_a_set(spark):
+    rng = np.random.default_rng(6)
+    sets = [(1, []), (2, [7]), (3, rng.integers(-2**62, 2**62, 5000).tolist())]
+    for r in minhash._with_bits(spark.createDataFrame(sets, "name long, grams array<long>")).collect():
+        n = sum(bin(r[f"b{i}"] & (1 << 64) - 1).count("1") for i in range(minhash.BITS // 64))
+        assert n + r.spare == len(sets[r.name - 1][1]) and n <= minhash.BITS

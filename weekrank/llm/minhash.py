@@ -16,6 +16,8 @@ shingle; a text without words is in no group but its own. A row without an id ta
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ from weekrank.llm import common, words
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 5  # a pair at 0.8 shares no band once in 15,000 times
 KEY_SETS = 1000  # sets of one shingle that a piece of a hot one holds
+PIECE = 512 * 1024  # text bytes whose shingles and darts a task holds at once
+BITS = 2048  # bits of a set's shingles
 
 
 def _poisson(h: np.ndarray) -> np.ndarray:
@@ -106,7 +110,7 @@ def described(docs: DataFrame, size: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in common.cut(batches):
+        for batch in common.cut(batches, most=PIECE):
             grams, at = sets_of(batch.column(2), size)
             sign = signatures(grams, np.ones(len(grams)), at, BANDS * ROWS)
             order = np.arange(1, ROWS + 1, dtype=np.uint64) * words.BASE
@@ -115,6 +119,7 @@ def described(docs: DataFrame, size: int) -> DataFrame:
             ends = ends if len(at) else np.zeros(1, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _names(grams, at), common.grouped(band.view(np.int64).ravel(), ends, pa.int64())],
                                              ["doc_id", "text_key", "name", "bands"])
+        common.release()
 
     keyed = docs.select("doc_id", common.text_key().alias("text_key"), "text")
     return keyed.mapInArrow(run, f"doc_id {kind}, text_key long, name long, bands array<long>")
@@ -130,9 +135,10 @@ def shingles(docs: DataFrame, rows: DataFrame, wanted: DataFrame, size: int) ->
     some = common.with_bit(keyed, common.bitmap(texts, ["text_key"], common.BITS), ["text_key"], common.BITS, "wanted").filter("wanted").select("text")
 
     def run(batches):
-        for batch in common.cut(batches):
+        for batch in common.cut(batches, most=PIECE):
             grams, at = sets_of(batch.column(0), size)
             yield pa.RecordBatch.from_arrays([_names(grams, at), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(grams.view(np.int64)))], ["name", "grams"])
+        common.release()
 
     found = some.mapInArrow(run, "name long, grams array<long>").filter("name IS NOT NULL")
     # Copies leave a task once. Other texts with a wanted one's bit go with the join.
@@ -153,6 +159,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 keep[i] = both >= similar * (len(u) + len(v) - both)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
+        common.release()
     return wide.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
@@ -198,22 +205,47 @@ def _prefixes(sets: DataFrame, similar: float) -> DataFrame:
         F.col("k.key").alias("key"), "name", "root", "size", (F.col("at") < F.col("short")).alias("lead"))
 
 
+def _with_bits(sets: DataFrame) -> DataFrame:
+    """name, the bits that the set's shingles fall on as longs b0, b1 and so on, and `spare`: shingles less bits."""
+    names = [f"b{i}" for i in range(BITS // 64)]
+
+    def run(batches):
+        for batch in batches:
+            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+                sizes = part.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                flags = np.zeros((len(sizes), BITS), bool)
+                flags[np.repeat(np.arange(len(sizes)), sizes), words.mix(part.column(1).flatten().to_numpy().view(np.uint64)) % np.uint64(BITS)] = True
+                bits = np.packbits(flags, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes - flags.sum(axis=1)), *map(pa.array, np.ascontiguousarray(bits.T))], ["name", "spare", *names])
+        common.release()
+    return sets.select("name", "grams").mapInArrow(run, "name long, spare long, " + ", ".join(f"{n} long" for n in names))
+
+
+def _reachable(similar: float):
+    """Whether two sets can reach the similarity: they have at most the bits in common and the spare shingles of one."""
+    both = reduce(add, [F.bit_count(F.col(f"x_b{i}").bitwiseAND(F.col(f"y_b{i}"))) for i in range(BITS // 64)])
+    return (both + F.least("x_spare", "y_spare")) * (1 + similar) >= (F.col("x_size") + F.col("y_size")) * similar - 1e-6
+
+
 def _rest(sets: DataFrame, similar: float) -> DataFrame:
     """Pairs (a, b) of sets with different roots that can reach the similarity (all that do are among them).
 
-    A key with many sets is dealt in pieces: the sets outside its most frequent root meet all sets of the key.
+    A key with many sets is dealt in pieces: the sets outside its most frequent root meet all sets of the key. Pairs whose
+    bits show that they are too different are left out there.
     """
     found = common.stored(_prefixes(sets, similar))
     kinds = found.df.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     keys = kinds.groupBy("key").agg(F.sum("n").alias("all"), F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
     keys = common.stored(keys.select("key", "main", F.ceil(F.col("all") / KEY_SETS).cast("long").alias("parts")))
-    mine = found.df.join(keys.df, "key")
+    mine = common.stored(found.df.join(keys.df, "key").join(_with_bits(sets), "name")).df
     odd = mine.filter("root <> main").withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")))
     every = mine.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    x, y = (d.select("key", "part", *[F.col(c).alias(f"{side}_{c}") for c in ("name", "root", "size", "lead")]) for d, side in ((odd, "x"), (every, "y")))
+    x, y = (d.select("key", "part", "main", *[F.col(c).alias(f"{side}_{c}") for c in ("name", "root", "size", "lead", "spare", *[f"b{i}" for i in range(BITS // 64)])]) for d, side in ((odd, "x"), (every, "y")))
     smaller = F.struct(F.col("x_size"), F.col("x_name")) < F.struct(F.col("y_size"), F.col("y_name"))
     able = F.least("x_size", "y_size") >= F.greatest("x_size", "y_size") * (similar - 1e-9)
-    pairs = x.join(y, ["key", "part"]).filter((F.col("x_root") != F.col("y_root")) & able & F.when(smaller, F.col("x_lead")).otherwise(F.col("y_lead")))
+    once = (F.col("y_root") == F.col("main")) | (F.col("x_name") < F.col("y_name"))  # both sets are among the odd ones
+    leads = F.when(smaller, F.col("x_lead")).otherwise(F.col("y_lead"))
+    pairs = x.drop("main").join(y, ["key", "part"]).filter((F.col("x_root") != F.col("y_root")) & once & able & leads & _reachable(similar))
     return pairs.select(F.least("x_name", "y_name").alias("a"), F.greatest("x_name", "y_name").alias("b")).distinct()
 
 
