@@ -1,3 +1,6 @@
+import random
+import re
+
 import public_tokenizers
 import pytest
 from helpers import SCHEMA, collected, corpus, frame
@@ -44,3 +47,16 @@ def test_ids_without_a_piece_and_null_lists(spark):
 
 def test_empty_table(spark):
     assert bpe.decode(bpe.encode(spark.createDataFrame([], SCHEMA), PATH), bpe.pieces(spark, PATH)).count() == 0
+
+
+def test_plain_texts_are_split_as_by_the_library():
+    splitter = bpe.splitter(PATH)
+    signs = [chr(i) for low, high in ((0, 0x250), (0x400, 0x460), (0x2010, 0x2028), (0x20AC, 0x20AD)) for i in range(low, high)]
+    rng = random.Random(3)
+    texts = [f"a{s}b1 {s}{s} 'S{s}'s" for s in signs] + ["".join(rng.choices(signs, k=40)) for _ in range(500)]
+    for text in texts:
+        normal = splitter.full.normalizer.normalize_str(text)
+        assert splitter.words(text) == [normal[a:b] for _, (a, b) in splitter.full.pre_tokenizer.pre_tokenize_str(normal)]
+    # Nearly all texts take the expression of written-out classes.
+    assert isinstance(splitter.quick, re.Pattern) and splitter.quick.findall("naïve été, x1'll\xa0ok") == ["naïve", "été", ",", "x", "1", "'ll", "ok"]
+    assert bpe._written_out(r" ?\p{L}+") is None

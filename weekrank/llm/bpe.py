@@ -29,10 +29,21 @@ from tokenizers import Tokenizer
 from weekrank.llm import common, shards
 
 SHARD_BYTES = 4 * 1024 * 1024  # text bytes whose distinct words are listed together
-COMMON = 1 << 18  # words of at most LONG characters whose ids go to every task: 20 MB at most
-LONG = 32
+COMMON, LONG = shards.COMMON, shards.LONG
 LISTED = 1 << 18  # distinct words that a task counts before it hands them on
 IDS_AT_ONCE = 1 << 21  # ids that are decoded together
+PLAIN = r"\x00-ɏЀ-џ‐-‧€"  # signs that every version of the character tables classes alike
+
+
+def _written_out(pattern: str) -> re.Pattern | None:
+    """The pattern for texts of PLAIN signs with its classes written out as signs, for the faster `re`; None if that cannot be done."""
+    if regex.search(r"\\[pP]|\\s", regex.sub(r"\[[^\]]*\]", "", pattern)):  # a class outside of brackets
+        return None
+    signs = [s for s in map(chr, range(0x20AD)) if regex.fullmatch(f"[{PLAIN}]", s)]
+
+    def written(found) -> str:
+        return "".join(re.escape(s) for s in signs if regex.fullmatch(found[0], s))
+    return re.compile(regex.sub(r"\\p\{\w+\}|\\s", written, pattern))
 
 
 class Splitter:
@@ -47,8 +58,9 @@ class Splitter:
         specials = [t["content"] for t in self.spec["added_tokens"]]
         self.special = re.compile("(" + "|".join(re.escape(t) for t in specials) + ")") if specials else None
         self.specials = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
-        # Signs that every version of the character tables classes alike; other texts are split by the library.
-        self.plain = re.compile(r"[\x00-ɏЀ-џ‐-‧€]*")
+        # Other texts are split by the library.
+        self.plain = re.compile(f"[{PLAIN}]*")
+        self.quick = _written_out(pattern) or self.pattern
 
     def words(self, text: str) -> list[str]:
         if self.special and "<" in text and self.special.search(text):
@@ -56,8 +68,10 @@ class Splitter:
         return self._words(text)
 
     def _words(self, text: str) -> list[str]:
-        if text.isascii():
-            return self.pattern.findall(text.lower())
+        low = text.lower()
+        # Composing changes nothing in a text of plain signs, and blanks are left out whichever they are.
+        if text.isascii() or self.plain.fullmatch(text) and self.plain.fullmatch(low):
+            return self.quick.findall(low)
         text = self.full.normalizer.normalize_str(text)
         if self.plain.fullmatch(text):
             return self.pattern.findall(text)
@@ -76,7 +90,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(json.dumps(spec))
 
     def ids(self, some: list[str]) -> list[list[int]]:
-        found = [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
         return [[self.specials[w]] if w in self.specials else i for w, i in zip(some, found)]
 
 
@@ -123,21 +137,9 @@ def word_table(lists: DataFrame, path: str) -> DataFrame:
     return counted.mapInArrow(once, "word string, n long, ids array<int>")
 
 
-def _often(n):
-    """Eighths of powers of two: a few hundred classes of counts, whatever the counts."""
-    return F.floor(F.log2(n) * 8).cast("int")
-
-
 def common_words(table: DataFrame, most: int = COMMON) -> DataFrame:
     """The words of the highest classes of counts that have at most `most` words together."""
-    short = table.filter(F.length("word") <= LONG).withColumn("often", _often(F.col("n")))
-    left, least = most, None
-    for row in sorted(short.groupBy("often").count().collect(), key=lambda r: -r["often"]):
-        left -= row["count"]
-        if left < 0:
-            break
-        least = row["often"]
-    return short.filter(F.lit(False) if least is None else F.col("often") >= least).select("word", "ids")
+    return shards.common_words(table, "ids", most)
 
 
 def encode(docs: DataFrame, path: str, most_common: int = COMMON, table: DataFrame | None = None) -> DataFrame:
@@ -162,7 +164,7 @@ def encode(docs: DataFrame, path: str, most_common: int = COMMON, table: DataFra
         words = pa.array(list(slots), pa.string()).take(pa.array(by))
         texts = shards.pack(pa.table({"doc_id": table.column("doc_id"), "n": pa.array(counts, pa.int64())}))
         yield pa.RecordBatch.from_arrays([pa.array([shard] * 2), pa.array([shards.pack(pa.table({"word": words})), None], pa.binary()), pa.array([None, texts], pa.binary()),
-                                          pa.array([None, _planes(rank[slot] if len(slot) else slot)], pa.binary()), pa.array([True, False])],
+                                          pa.array([None, shards.planes(rank[slot] if len(slot) else slot)], pa.binary()), pa.array([True, False])],
                                          ["shard", "words", "texts", "places", "listed"])
 
     def every(batches):
@@ -186,7 +188,7 @@ def encode(docs: DataFrame, path: str, most_common: int = COMMON, table: DataFra
                 at = np.fromiter((places.get(word, -1) for word in words.to_pylist()), np.int64, len(words))
                 slots = np.flatnonzero(at < 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slots) + 1, shard)), pa.array(np.append(np.int32(-1), slots)), pa.concat_arrays([pa.nulls(1, pa.string()), words.take(pa.array(slots))]),
-                                                  pa.array([_planes(at + 1), *[None] * len(slots)], pa.binary())], ["shard", "slot", "word", "common"])
+                                                  pa.array([shards.planes(at + 1), *[None] * len(slots)], pa.binary())], ["shard", "slot", "word", "common"])
         forget()
 
     listed = common.stored(lists.mapInArrow(rare, "shard long, slot int, word string, common binary"))
@@ -200,13 +202,13 @@ def encode(docs: DataFrame, path: str, most_common: int = COMMON, table: DataFra
     def place(found: pa.Table, rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks().sort_by("slot").combine_chunks()  # the one with the common words comes first
         ids = _common(shared.value)[1]
-        at = _numbers(rows.column("common")[0]).astype(np.int64) - 1
+        at = shards.numbers(rows.column("common")[0]).astype(np.int64) - 1
         own = pa.concat_arrays([ids, _ids(rows.column("ids").slice(1))])
         at[rows.column("slot").to_numpy()[1:]] = len(ids) + np.arange(rows.num_rows - 1)
         sizes = own.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         values, starts = own.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes
         texts = shards.unpack(found.column("texts")[0])
-        word = at[_numbers(found.column("places")[0])]
+        word = at[shards.numbers(found.column("places")[0])]
         n = sizes[word]
         ends = np.concatenate([[0], np.cumsum(n)])
         flat = values[np.repeat(starts[word] - ends[:-1], n) + np.arange(ends[-1])]
@@ -217,19 +219,6 @@ def encode(docs: DataFrame, path: str, most_common: int = COMMON, table: DataFra
     return cut.df.filter("NOT listed").select("shard", "texts", "places").groupBy("shard").cogroup(back.df.groupBy("shard")).applyInArrow(place, f"doc_id {kind}, ids array<int>" + ("" if named is None else ", decoded string"))
 
 
-def _planes(numbers: np.ndarray) -> bytes:
-    """Numbers below 2 ** 32 packed byte plane by byte plane; planes of zeros take nothing."""
-    raw = np.ascontiguousarray(numbers, np.uint32).view(np.uint8).reshape(-1, 4).T
-    return len(numbers).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(raw).tobytes(), codec="zstd", asbytes=True)
-
-
-def _numbers(blob) -> np.ndarray:
-    raw = blob.as_buffer()
-    n = int.from_bytes(raw.slice(0, 8).to_pybytes(), "little")
-    planes = pa.decompress(raw.slice(8), decompressed_size=4 * n, codec="zstd") if n else b""
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view(np.uint32).ravel()
-
-
 @lru_cache(maxsize=1)
 def _common(packed: bytes) -> tuple[dict[str, int], pa.Array]:
     """Places of the common words and their ids, unpacked once in a worker."""
