@@ -60,3 +60,23 @@ def test_plain_texts_are_split_as_by_the_library():
     # Nearly all texts take the expression of written-out classes.
     assert isinstance(splitter.quick, re.Pattern) and splitter.quick.findall("naïve été, x1'll\xa0ok") == ["naïve", "été", ",", "x", "1", "'ll", "ok"]
     assert bpe._written_out(r" ?\p{L}+") is None
+
+
+def test_a_worker_keeps_no_memory_of_an_encoder():
+    def held():
+        with open("/proc/self/smaps_rollup") as file:
+            return next(int(line.split()[1]) for line in file if line.startswith("Anonymous:")) / 1024
+
+    rng, sizes = random.Random(5), []
+    for task in range(7):
+        words = [f"{task}{rng.randrange(10 ** 12):x}" for _ in range(20_000)]
+        bpe.encoder(PATH).ids(words)
+        bpe.forget()
+        sizes.append(held())
+    assert sizes[-1] - sizes[1] < 40
+
+
+def test_words_have_the_ids_of_the_whole_tokenizer():
+    tokenizer, rng = Tokenizer.from_file(PATH), random.Random(6)
+    words = sorted({"".join(rng.choices("abcdeinorst", k=rng.randint(1, 14))) for _ in range(20_000)} | {"日本語", "été", "'s", "🙂", "7", "<|endoftext|>"})
+    assert bpe.encoder(PATH).ids(words) == [tokenizer.encode(word, add_special_tokens=False).ids for word in words]

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models
 
 from weekrank.llm import common, shards
 
@@ -51,13 +51,13 @@ class Splitter:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
-            self.spec = json.load(file)
+            spec = json.load(file)
         self.full = Tokenizer.from_file(path)
-        pattern = self.spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pattern = regex.compile(pattern)
-        specials = [t["content"] for t in self.spec["added_tokens"]]
+        specials = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("(" + "|".join(re.escape(t) for t in specials) + ")") if specials else None
-        self.specials = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
+        self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         # Other texts are split by the library.
         self.plain = re.compile(f"[{PLAIN}]*")
         self.quick = _written_out(pattern) or self.pattern
@@ -87,7 +87,12 @@ class WordEncoder:
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         spec["normalizer"], spec["added_tokens"] = None, []
         spec["pre_tokenizer"] = spec["pre_tokenizer"]["pretokenizers"][1]
+        model = {name: value for name, value in spec["model"].items() if name != "type" and value is not None}
+        model["merges"] = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        spec["model"] = {"type": "BPE", "vocab": {}, "merges": []}
         self.tokenizer = Tokenizer.from_str(json.dumps(spec))
+        # No word comes twice, and the cache of a tokenizer outlives it: a worker would gather one from every task.
+        self.tokenizer.model = models.BPE(**model, cache_capacity=0)
 
     def ids(self, some: list[str]) -> list[list[int]]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
@@ -106,7 +111,7 @@ def encoder(path: str) -> WordEncoder:
 
 def forget() -> None:
     """Drop the vocabularies that a worker holds, at the end of a task."""
-    for held in (splitter, encoder, _common):
+    for held in (splitter, encoder, _common, _common_ids):
         held.cache_clear()
     common.release()
 
@@ -184,7 +189,7 @@ def encode(docs: DataFrame, path: str, most_common: int = COMMON, table: DataFra
         for batch in batches:
             for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = shards.unpack(blob).column("word").combine_chunks()
-                places = _common(shared.value)[0]
+                places = _common(shared.value)
                 at = np.fromiter((places.get(word, -1) for word in words.to_pylist()), np.int64, len(words))
                 slots = np.flatnonzero(at < 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slots) + 1, shard)), pa.array(np.append(np.int32(-1), slots)), pa.concat_arrays([pa.nulls(1, pa.string()), words.take(pa.array(slots))]),
@@ -201,7 +206,7 @@ def encode(docs: DataFrame, path: str, most_common: int = COMMON, table: DataFra
 
     def place(found: pa.Table, rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks().sort_by("slot").combine_chunks()  # the one with the common words comes first
-        ids = _common(shared.value)[1]
+        ids = _common_ids(shared.value)
         at = shards.numbers(rows.column("common")[0]).astype(np.int64) - 1
         own = pa.concat_arrays([ids, _ids(rows.column("ids").slice(1))])
         at[rows.column("slot").to_numpy()[1:]] = len(ids) + np.arange(rows.num_rows - 1)
@@ -220,10 +225,15 @@ def encode(docs: DataFrame, path: str, most_common: int = COMMON, table: DataFra
 
 
 @lru_cache(maxsize=1)
-def _common(packed: bytes) -> tuple[dict[str, int], pa.Array]:
-    """Places of the common words and their ids, unpacked once in a worker."""
-    table = shards.unpack(packed)
-    return {word: i for i, word in enumerate(table.column("word").to_pylist())}, _ids(table.column("ids"))
+def _common(packed: bytes) -> dict[str, int]:
+    """Places of the common words, unpacked once in a worker."""
+    return {word: i for i, word in enumerate(shards.unpack(packed).column("word").to_pylist())}
+
+
+@lru_cache(maxsize=1)
+def _common_ids(packed: bytes) -> pa.Array:
+    """Ids of the common words by place; the words themselves are not unpacked as strings."""
+    return _ids(shards.unpack(packed).column("ids"))
 
 
 def _ids(column) -> pa.ListArray:
