@@ -221,7 +221,12 @@ def encode(docs: DataFrame, path: str, most_common: int = COMMON, table: DataFra
         out = pa.table({"doc_id": texts.column("doc_id"), "ids": common.grouped(flat, ends[bounds], pa.int32())})
         return out if named is None else out.append_column("decoded", named.joined(flat, np.diff(ends[bounds]), " "))
 
-    return cut.df.filter("NOT listed").select("shard", "texts", "places").groupBy("shard").cogroup(back.df.groupBy("shard")).applyInArrow(place, f"doc_id {kind}, ids array<int>" + ("" if named is None else ", decoded string"))
+    def placed(found: pa.Table, rows: pa.Table) -> pa.Table:
+        done = place(found, rows)
+        common.release()
+        return done
+
+    return cut.df.filter("NOT listed").select("shard", "texts", "places").groupBy("shard").cogroup(back.df.groupBy("shard")).applyInArrow(placed, f"doc_id {kind}, ids array<int>" + ("" if named is None else ", decoded string"))
 
 
 @lru_cache(maxsize=1)

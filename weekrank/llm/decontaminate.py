@@ -154,6 +154,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
                 found = search_shard(batch.column(2), phrases)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *_answers(found, phrases)],
                                                  ["doc_id", "text_key", "n_words", "spans", "items"])
+                del found
+            common.release()
         return docs.mapInArrow(search, out)
 
     passes = [one(phrases) for phrases in blocks_of(benchmark, window, block_bytes=block_bytes)]
@@ -188,22 +190,25 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block
     schema = docs.schema
     passes = list(blocks_of(benchmark, window, block_bytes=block_bytes))
     for number, phrases in enumerate(passes, 1):
-        def search(batches, phrases=phrases, known=number > 1, last=number == len(passes)):
+        def marked(batch, phrases=phrases, known=number > 1, last=number == len(passes)):
+            data, starts, ends, offsets, words_at, hit, pairs = search_shard(batch.column(at), phrases)
+            if known:
+                lists = batch.column(len(columns))
+                base = np.repeat(words_at[:-1], lists.value_lengths().to_numpy(zero_copy_only=False))
+                bounds = (lists.flatten().to_numpy(zero_copy_only=False) + base).reshape(-1, 2)
+                hit = hit | words.covered(len(hit), bounds[:, 0], bounds[:, 1])
+            parts = [batch.column(i) for i in range(len(columns))]
+            if last:
+                cut = without_hits((data, starts, ends, offsets, words_at, hit, pairs))
+                parts[at] = pa.array([None if x is None else y for x, y in zip(parts[at].to_pylist(), cut.to_pylist())], pa.string()) if parts[at].null_count else cut
+                return pa.RecordBatch.from_arrays(parts, columns)
+            first, stop, text = hit_runs(hit, words_at)
+            runs = np.stack([first - words_at[text], stop - words_at[text]], axis=1).ravel()
+            return pa.RecordBatch.from_arrays([*parts, common.grouped(runs, 2 * np.searchsorted(text, np.arange(len(words_at))), pa.int64())], [*columns, marks])
+
+        def search(batches, marked=marked):
             for batch in common.cut(batches, "text", SHARD_BYTES):
-                data, starts, ends, offsets, words_at, hit, pairs = search_shard(batch.column(at), phrases)
-                if known:
-                    lists = batch.column(len(columns))
-                    base = np.repeat(words_at[:-1], lists.value_lengths().to_numpy(zero_copy_only=False))
-                    bounds = (lists.flatten().to_numpy(zero_copy_only=False) + base).reshape(-1, 2)
-                    hit = hit | words.covered(len(hit), bounds[:, 0], bounds[:, 1])
-                parts = [batch.column(i) for i in range(len(columns))]
-                if last:
-                    cut = without_hits((data, starts, ends, offsets, words_at, hit, pairs))
-                    parts[at] = pa.array([None if x is None else y for x, y in zip(parts[at].to_pylist(), cut.to_pylist())], pa.string()) if parts[at].null_count else cut
-                    yield pa.RecordBatch.from_arrays(parts, columns)
-                else:
-                    first, stop, text = hit_runs(hit, words_at)
-                    runs = np.stack([first - words_at[text], stop - words_at[text]], axis=1).ravel()
-                    yield pa.RecordBatch.from_arrays([*parts, common.grouped(runs, 2 * np.searchsorted(text, np.arange(len(words_at))), pa.int64())], [*columns, marks])
+                yield marked(batch)
+            common.release()
         docs = docs.mapInArrow(search, schema if number == len(passes) else T.StructType([*schema.fields, T.StructField(marks, T.ArrayType(T.LongType()))]))
     return docs

@@ -193,6 +193,7 @@ def score(docs: DataFrame, network: Network, name: str = "score") -> DataFrame:
         for batch in common.cut(batches):
             p = network.probabilities(*common.flat(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], [*columns, name])
+        common.release()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(scored, f"{fields}, `{name}` double")
