@@ -63,3 +63,20 @@ def test_edge_cases(spark):
     scored = Q.score(docs, network())
     assert scored.count() == len(rows) and scored.columns == [*[c for c in docs.columns if c != "score"], "score"]
     assert collected(scored.select("doc_id", "text"))[:3] == collected(docs.select("doc_id", "text"))[:3]
+
+
+def test_the_driver_holds_little_for_a_fit_and_gives_it_back(spark, monkeypatch):
+    import tracemalloc
+
+    texts = [bytes(row) for row in np.random.default_rng(3).integers(32, 127, (2000, 4000)).astype(np.uint8)]
+    tracemalloc.start()
+    Q.fit(texts, np.arange(2000) % 2, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * 8_000_000  # one byte for a sign; with eight the signs alone were 64 MB
+    calls = []
+    monkeypatch.setattr(Q.common, "release", lambda: calls.append(1))
+    rows = [r for r in corpus(4, 60) if r[0] is not None]
+    labels = spark.createDataFrame([(r[0], i % 2) for i, r in enumerate(rows)], "doc_id long, quality int")
+    Q.train(frame(spark, rows), labels)
+    assert calls == [1]

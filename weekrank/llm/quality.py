@@ -11,6 +11,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ CLASSES = 64
 
 def _classes() -> np.ndarray:
     """256 bytes in 64 classes: letters by themselves without case in one bit, other signs in groups."""
-    out = np.zeros(256, np.int64)
+    out = np.zeros(256, np.uint8)
     for byte in range(256):
         if 97 <= byte <= 122:
             out[byte] = 1 + (byte - 97) // 2
@@ -77,7 +78,7 @@ class Network:
         # Max-pool in blocks of an eighth of a chunk: chunks are unions of blocks, so overlaps are not computed twice.
         block = CHUNK // 8
         blocks = -(-(sizes + WIDTH - 1) // block)  # the last WIDTH - 1 places are padding
-        padded = np.zeros(int((blocks * block).sum()) + WIDTH, np.int64)
+        padded = np.zeros(int((blocks * block).sum()) + WIDTH, np.uint8)
         first = np.concatenate([[0], np.cumsum(blocks * block)])
         where = np.repeat(first[:-1] - offsets[:-1], sizes) + np.arange(len(data))
         padded[where] = CLASS_OF[data]
@@ -177,10 +178,13 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", rows: i
     drawn = keys.filter("y = 0").orderBy(order).limit(rows // 2).unionByName(keys.filter("y = 1").orderBy(order).limit(rows // 2))
     text = F.coalesce("text", F.lit(""))
     fits = docs.select("doc_id", text.alias("text"), F.octet_length(text).alias("bytes")).join(F.broadcast(drawn), "doc_id")
-    fits = fits.filter(F.col("bytes") <= LONGEST).toPandas()
-    fits = fits.sort_values(["bytes", "doc_id"])
-    fits = fits[fits["bytes"].cumsum() <= most].sort_values("doc_id")
-    return fit([t.encode() for t in fits["text"]], fits["y"].to_numpy(np.int64), seed=seed)
+    fits = fits.filter(F.col("bytes") <= LONGEST).toArrow().sort_by([("bytes", "ascending"), ("doc_id", "ascending")])
+    fits = fits.filter(pc.less_equal(pc.cumulative_sum(fits.column("bytes").cast(pa.int64())), most)).sort_by("doc_id")
+    network = fit(fits.column("text").cast(pa.binary()).to_pylist(), fits.column("y").to_numpy().astype(np.int64), seed=seed)
+    # The driver lives on through all that follows, and does not need the sample any more.
+    del fits
+    common.release()
+    return network
 
 
 def score(docs: DataFrame, network: Network, name: str = "score") -> DataFrame:
