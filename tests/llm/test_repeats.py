@@ -105,3 +105,48 @@ def test_equal_windows_have_their_minimiser_at_one_place_in_shards_of_any_size(m
     for chunk in (words.CHUNK, 1000, 30_100):
         monkeypatch.setattr(words, "CHUNK", chunk)
         assert places(large, np.array([0, 17, len(large)]), len(before)) == small
+
+
+def test_common_prefixes_against_the_bytes():
+    import numpy as np
+
+    from weekrank.llm import suffixes
+
+    rng = np.random.default_rng(6)
+    data = np.concatenate([np.tile(rng.integers(0, 256, 70), 4), rng.integers(0, 2, 500), np.zeros(30, np.int64), np.full(30, 255)]).astype(np.uint8)
+    raw = data.tobytes()
+    order, place = suffixes.suffix_array(suffixes.packed(data), suffixes.WORD)
+    assert order.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+    got = suffixes.common_prefixes(data, order, place, 100)
+    for i in range(1, len(raw)):
+        a, b = raw[order[i - 1]:][:100], raw[order[i]:][:100]
+        assert got[i] == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_bytes_are_read_only_of_stretches_that_meet_others(spark, monkeypatch):
+    from weekrank.llm import common
+
+    rng, tables = random.Random(9), []
+
+    def stored(df, *partition, plain=common.stored):
+        out = plain(df, *partition)
+        if "content" in out.df.columns:
+            tables.append(out.df.filter("content IS NOT NULL").count())
+        return out
+    monkeypatch.setattr(common, "stored", stored)
+    text = "".join(rng.choices("abcdefgh ", k=3000))
+    copies = [(i, text, None, None, None) for i in range(6)]
+    for module in (suffix_dedup, phrase_dedup):
+        tables.clear()
+        got = collected(module.dedup(frame(spark, copies)))
+        assert tables and sum(tables) == 0  # equal stretches only
+        assert [r[2] > 0 for r in got] == [False] + [True] * 5
+        # A sign in the middle is another: the stretches around it are compared by their bytes.
+        tables.clear()
+        rows = [*copies, (7, text[:1500] + "X" + text[1501:], None, None, None)]
+        got = collected(module.dedup(frame(spark, rows)))
+        assert sum(tables) > 0
+        if module is suffix_dedup:
+            assert [(a, b, c, d, bytes(e)) for a, b, c, d, e in got] == brute_bytes(rows, 100)
+        else:
+            assert got == brute_words(rows, 50)

@@ -35,3 +35,22 @@ def test_a_worker_keeps_short_tables_of_powers_only():
     words.grams(values, np.array([0, 1_000_000, 2_000_000]), 32)
     words.hashed(values, np.array([0, 2_000_000]), True)
     assert sum(table.nbytes for pair in words._POWERS.values() for table in pair) < 20_000_000
+
+
+def test_windows_of_one_size_have_the_hashes_of_their_values():
+    rng = np.random.default_rng(4)
+    for n, kind in ((0, np.uint8), (5, np.uint8), (40_000, np.uint8), (40_000, np.uint64)):
+        values = rng.integers(0, 256, n).astype(kind) * kind(1 if kind is np.uint8 else 0x0123456789ABCDEF)
+        for length in (1, 5, 10, 32, 33, 63):
+            starts = np.arange(max(n - length + 1, 0))
+            assert (words.sized_hashes(values, length, words.GRAM) == words.window_hashes(values, starts, starts + length, words.GRAM)).all()
+    # Windows that reach into the next row are left out; rows may be empty or shorter than a window.
+    at = np.array([0, 0, 3, 10, 10, 40, 41])
+    starts, hashes = words.grams(values, at, 7)
+    assert starts.tolist() == [3, *range(10, 34)] and len(hashes) == len(starts)
+
+
+def test_minima_of_windows_of_any_size():
+    values = np.random.default_rng(5).integers(0, 50, 300).astype(np.uint64)
+    for width in (1, 2, 3, 64, 69, 299, 300, 301):
+        assert words.sliding_min(values, width).tolist() == [values[i:i + width].min() for i in range(300 - width + 1)]

@@ -4,7 +4,8 @@
    once cannot belong to a repeated window; their windows go no further.
 2. Consecutive windows with one minimiser form a stretch. Equal stretches are one row with the earliest place, its
    owner: at every later place all its windows are repeats.
-3. Different stretches with the same gram may still share windows. They meet in a group of grams (by hash), where
+3. Different stretches with the same gram may still share windows. Their bytes are read from the shards of their owners
+   and meet in a group of grams (by hash), where
    `resolve` finds which windows of the owner's place occur earlier elsewhere. A gram with more than HOT_STRETCHES of
    them is not gathered: its windows are dealt by their own hash, and the earliest place of each is taken in Spark.
 4. The repeated ranges go back to the shards of their documents.
@@ -26,7 +27,7 @@ from weekrank.llm import common, shards, words
 from weekrank.operators import joins
 
 LAST = np.iinfo(np.int64).max
-GROUP_BYTES = 1024 * 1024  # about as many bytes of different stretches are resolved together
+GROUP_BYTES = 512 * 1024  # about as many bytes of different stretches are resolved together
 HOT_STRETCHES = 2_000  # different stretches of one gram that one task takes at most
 
 
@@ -43,6 +44,17 @@ class Units:
         values, starts, ends, at = words.hashed(data, offsets, False)
         return values, at, data, starts, ends
 
+    def contents(self, table: pa.Table, row: np.ndarray, start: np.ndarray, windows: np.ndarray) -> list[bytes]:
+        """The bytes of the stretches of so many windows from `start` on, in units of the text in `row`."""
+        data, at = common.flat(shards.texts_of(table))
+        starts = None
+        if self.in_words:
+            starts, ends, at = words.spans(data, at, words.BLANK_WORDS)
+        first = at[row] + start
+        stop = first + windows + self.window - 1
+        low, high = (first, stop) if starts is None else (starts[first], ends[stop - 1])
+        return [data[a:b].tobytes() for a, b in zip(low.tolist(), high.tolist())]
+
     def stretches(self, values: np.ndarray, at: np.ndarray):
         """First and last window start of each stretch, and the hash of its gram."""
         if len(values) < self.window:
@@ -106,41 +118,33 @@ def find(store: DataFrame, units: Units, resolve, by_start: bool) -> common.Stor
     seen.drop()
 
     def stretches_of(table: pa.Table, rows: pa.Table) -> pa.Table:
-        values, at, data, starts, ends = units.read(table)
+        values, at, *_ = units.read(table)
         first, last, h = units.stretches(values, at)
         keep = np.isin(h.view(np.int64), rows.column("h").to_numpy())
         first, last, h = first[keep], last[keep], h[keep]
         row = np.searchsorted(at, first, "right") - 1
-        stop = last + units.window
-        k = words.window_hashes(values, first, stop, words.BASE)  # with the gram's hash: 128 bits
-        place = first - at[row]
-        doc = ids_of(table)[row]
-        # The bytes go along once per shard, with the earliest place.
-        by = np.lexsort((place, doc, k, h))
-        head = np.ones(len(by), bool)
-        head[1:] = (k[by][1:] != k[by][:-1]) | (h[by][1:] != h[by][:-1])
-        lead = by[head]
-        low, high = (first, stop) if starts is None else (starts[first], ends[stop - 1])
-        content = [data[a:b].tobytes() for a, b in zip(low[lead].tolist(), high[lead].tolist())]
-        n, m = len(h), len(lead)
+        k = words.window_hashes(values, first, last + units.window, words.BASE)  # with the gram's hash: 128 bits
         shard = rows.column("shard")[0].as_py() if rows.num_rows else 0
-        every = np.concatenate([np.arange(n), lead])
-        return pa.table({"h": h[every].view(np.int64), "k": k[every].view(np.int64), "doc": doc[every], "start": place[every],
-                         "windows": (last - first + 1).astype(np.int32)[every], "shard": np.full(n + m, shard, np.int64), "row": row.astype(np.int32)[every],
-                         "content": pa.array([None] * n + content, pa.binary()), "lead": pa.array(np.arange(n + m) >= n)})
+        return pa.table({"h": h.view(np.int64), "k": k.view(np.int64), "doc": ids_of(table)[row], "start": first - at[row],
+                         "windows": (last - first + 1).astype(np.int32), "shard": np.full(len(h), shard, np.int64), "row": row.astype(np.int32)})
 
-    found = common.stored(shards.each_with(store, known.df, stretches_of, "h long, k long, doc long, start long, windows int, shard long, row int, "
-                                           "content binary, lead boolean"), "lead")
+    found = common.stored(shards.each_with(store, known.df, stretches_of, "h long, k long, doc long, start long, windows int, shard long, row int"))
     known.drop()
-    leads = found.df.filter("lead").groupBy("h", "k").agg(F.min(F.struct("doc", "start", "content")).alias("own"))
-    owners = common.stored(leads.select("h", "k", F.col("own.doc").alias("own_doc"), F.col("own.start").alias("own_start"), F.col("own.content").alias("content")))
-    found.drop("lead=true")
+    leads = found.df.groupBy("h", "k").agg(F.min(F.struct("doc", "start", "shard", "row", "windows")).alias("own"))
+    owners = common.stored(leads.select("h", "k", F.col("own.doc").alias("own_doc"), F.col("own.start").alias("own_start"), "own.shard", "own.row", "own.windows"))
     several = owners.df.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     several = common.stored(several.withColumn("hot", F.col("n") > HOT_STRETCHES))
     # Hot grams go by content, so that none of them is in one task; their counts cut the join too.
     shared = joins.spread_join(owners.df, several.df.select("h", "hot"), ["h"], spread_by=["k"], counts=several.df.select("h", "n"), how="inner")
-    hot = None if several.df.filter("hot").isEmpty() else _hot_ranges(shared.filter("hot"), units, by_start)
-    size = owners.df.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+
+    def contents_of(table: pa.Table, rows: pa.Table) -> pa.Table:
+        content = units.contents(table, *[rows.column(c).to_numpy() for c in ("row", "own_start", "windows")])
+        return rows.select(["h", "k", "own_doc", "own_start", "hot"]).append_column("content", pa.array(content, pa.binary()))
+
+    # Bytes are read only now, of the owners that have something to be compared with.
+    shared = common.stored(shards.each_with(store, shared, contents_of, "h long, k long, own_doc long, own_start long, hot boolean, content binary"))
+    hot = None if several.df.filter("hot").isEmpty() else _hot_ranges(shared.df.filter("hot"), units, by_start)
+    size = shared.df.filter("NOT hot").agg(F.sum(F.octet_length("content"))).first()[0] or 0
     groups = max(1, math.ceil(size / GROUP_BYTES))
 
     def resolved(table: pa.Table) -> pa.Table:
@@ -150,19 +154,20 @@ def find(store: DataFrame, units: Units, resolve, by_start: bool) -> common.Stor
         common.release()
         return pa.table({"h": table.column("h"), "k": table.column("k"), "earlier": pa.array(ranges, pa.list_(pa.int32()))})
 
-    partly = common.stored(shared.filter("NOT hot").drop("hot").groupBy(F.pmod("h", F.lit(groups)).alias("g")).applyInArrow(
+    partly = common.stored(shared.df.filter("NOT hot").drop("hot").groupBy(F.pmod("h", F.lit(groups)).alias("g")).applyInArrow(
         resolved, "h long, k long, earlier array<int>").filter(F.size("earlier") > 0))
     own = F.col("doc") == F.col("own_doc")
     if by_start:
         own = own & (F.col("start") == F.col("own_start"))
     found_earlier = partly.df if hot is None else partly.df.unionByName(hot.df)
     owner = owners.df.select("h", "k", "own_doc", "own_start").join(found_earlier, ["h", "k"], "left")
-    rows = found.df.filter("NOT lead").drop("content", "lead").join(owner, ["h", "k"])
+    rows = found.df.join(owner, ["h", "k"])
     start = F.col("start")
     ranges = F.when(own, F.transform("earlier", lambda o: F.struct((start + o).alias("first"), (start + o).alias("last")))).otherwise(
         F.array(F.struct(start.alias("first"), (start + F.col("windows") - 1).alias("last"))))
     out = common.stored(rows.select("shard", "row", F.explode(ranges).alias("r")).select("shard", "row", "r.first", "r.last"))
     partly.drop()
+    shared.drop()
     if hot is not None:
         hot.drop()
     several.drop()

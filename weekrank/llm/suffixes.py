@@ -23,7 +23,7 @@ def suffix_array(keys: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     doubles. Suffixes that are already alone in their group are not touched again.
     """
     n = len(keys)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)  # in any order inside a group, as in the end every suffix is alone
     rank = np.zeros(n, np.int64)  # the first place of the group + 1
     if not n:
         return order, rank
@@ -38,7 +38,7 @@ def suffix_array(keys: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         further = at + depth
         second = np.where(further < n, n + rank[np.minimum(further, n - 1)], n - at)  # the shorter one first
         both = (rank[at] << shift) | second
-        by = np.argsort(both, kind="stable")
+        by = np.argsort(both, kind="stable")  # nearly in order already, which a stable sort makes use of
         at, both = at[by], both[by]
         order[slots] = at
         new = np.concatenate([[True], both[1:] != both[:-1]])
@@ -49,6 +49,12 @@ def suffix_array(keys: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return order, rank - 1
 
 
+def _same_bytes(differ: np.ndarray) -> np.ndarray:
+    """Leading bytes in which two packed words agree, from their exclusive or: the exponent of its highest bit as a double."""
+    top = (differ & ~(differ >> np.uint64(1))).astype(np.float64)  # without the bit below, so that rounding cannot carry
+    return np.minimum((1086 - (top.view(np.int64) >> 52)) >> 3, WORD)
+
+
 def common_prefixes(data: np.ndarray, order: np.ndarray, place: np.ndarray, most: int, lanes: int = 128) -> np.ndarray:
     """Bytes, up to `most`, that each suffix shares with the one before it in `order`.
 
@@ -63,7 +69,6 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, place: np.ndarray, most
     length = max(1, min(lanes, n))
     starts = np.arange(0, n, length)
     shared = np.zeros(len(starts), np.int64)
-    limits = np.uint64(1) << np.arange(56, 0, -8, dtype=np.uint64)
     for step in range(length):
         at = starts + step
         live = at < n
@@ -76,9 +81,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, place: np.ndarray, most
         going = np.flatnonzero(live & (shared < most))
         while len(going):
             i, j = at[going] + shared[going], before[going] + shared[going]
-            differ = words[i] ^ words[j]
-            more = np.where(differ == 0, WORD, (differ[:, None] < limits).sum(axis=1))
-            more = np.minimum(more, n - np.maximum(i, j))
+            more = np.minimum(_same_bytes(words[i] ^ words[j]), n - np.maximum(i, j))
             shared[going] += more
             going = going[(more == WORD) & (shared[going] < most)]
         np.minimum(shared, most, out=shared)
