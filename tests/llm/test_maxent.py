@@ -6,7 +6,7 @@ import pyarrow as pa
 from helpers import LOWER, SCHEMA, blank_words, corpus, fold, frame
 from pyspark.sql import functions as F
 
-from weekrank.llm import maxent
+from weekrank.llm import maxent, shards
 
 
 def test_base_against_brute_force_and_model_beats_it(spark):
@@ -66,3 +66,68 @@ def test_gradients_against_every_context():
         for kind in features:
             np.add.at(want, kind, error)
         assert np.allclose(maxent._gradients(tokens, weights)[0].T, want, atol=1e-4)
+
+
+def layered(tokens, held, shared):
+    """Log10 probability of every text: counts of all words after all contexts on `shared`, the share of a word without context."""
+    after, contexts = Counter(), Counter()
+
+    def places(own):
+        for i, t in enumerate(own):
+            one, two = own[i - 1] if i else "", own[i - 2] if i > 1 else ""
+            yield t, [("skip", two), ("prior", one), ("pair", two, one)]
+
+    for own, out in zip(tokens, held):
+        for t, found in places(own) if not out else ():
+            contexts.update(found)
+            after.update((f, t) for f in found)
+    scores = []
+    for own in tokens:
+        total = 0
+        for t, found in places(own):
+            p = shared[t]
+            for f, firm in zip(found, (10000, 3000, 8)):
+                p = (after[f, t] + firm * p) / (contexts[f] + firm)
+            total += math.log10(p)
+        scores.append(total)
+    return scores
+
+
+def test_score_counts_every_word_after_every_context(spark, monkeypatch):
+    rows = corpus(9, n=60, vocabulary=50)
+    rows = [r for r in rows if r[0] is not None]
+    tokens = [[*blank_words((r[1] or "").translate(LOWER)), None] for r in rows]
+    held = [fold(r[0], 10) == 0 for r in rows]
+    counts = Counter(t for own, out in zip(tokens, held) if not out for t in own)
+    kind = {t: int(maxent.classes_of(maxent.hashes_of(pa.array([t or ""])))[0]) for own in tokens for t in own}
+    totals, kinds = Counter(), Counter()
+    for t, n in counts.items():
+        totals[kind[t]] += n
+        kinds[kind[t]] += 1
+    every = sum(totals.values()) + 0.1 * maxent.CLASSES
+    # Without rounds all contexts have the classes' own shares.
+    shared = {t: (totals[k] + 0.1) / every * (counts[t] + 0.1) / (totals[k] + 0.1 * (kinds[k] + 1)) for t, k in kind.items()}
+    want = sorted((r[0], s) for r, s in zip(rows, layered(tokens, held, shared)))
+    for counted in (1 << 21, 500):  # one bucket, and many
+        monkeypatch.setattr(maxent, "COUNTED", counted, raising=False)
+        got = sorted((r.doc_id, r.score) for r in maxent.score(frame(spark, rows), ~maxent.held_out(), rounds=0).collect())
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-5)
+
+
+def test_texts_that_come_twice_are_scored_apart(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.permutation(400)) for _ in range(150)]  # the same words in all
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts + texts[:20])]
+    got = {r.doc_id: r for r in maxent.score(frame(spark, rows), F.lit(True)).collect()}
+    twice = {*range(20), *range(150, 170)}
+    # Well apart: by 0.1 a token.
+    assert min(got[i].score for i in twice) > max(r.score for i, r in got.items() if i not in twice) + 0.1 * 401
+    assert np.ptp([r.base_score for r in got.values()]) < 1e-6
+
+
+def test_planes_of_any_width():
+    for width in (1, 3, 4, 5, 8):
+        for x in ([], [0], [(1 << 8 * width - 1) + 1, 3, 0]):
+            packed = pa.array([shards.planes(np.array(x, np.uint64), width)], pa.binary())[0]
+            assert shards.numbers(packed, width).tolist() == x
